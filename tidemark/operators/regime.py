@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -109,7 +111,7 @@ def causal_median(
     feed = current.unionByName(sent.withColumn("_i", F.lit(None).cast("long")))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields), f"{idx} bigint", f"{name} double"])
 
-    def follow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         old = pdf[pdf["_i"].isna()].sort_values("_x")
         new = pdf[pdf["_i"].notna()].sort_values("_i")
         below = int(old["_lo"].min()) if len(old) else 0

@@ -30,7 +30,7 @@ def sql(final: str, **local: str) -> str:
 
 
 def r(expr: str, alias: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {alias}"
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {alias}"
 
 
 cte("q_ticks", """
