@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger as L
@@ -13,22 +12,39 @@ from tidemark.plans import inputs as I
 ALL_MODELS = (L.BASELINE, L.POLICY, L.GUARD)
 
 
-def forecasts(spark: SparkSession, sf_dir: str, models=ALL_MODELS) -> DataFrame:
-    return L.issue_replay(I.hourly(spark, sf_dir), models)
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every forecast the three rule models issue over the hourly bars."""
+    return I.derived(spark, sf_dir, "forecasts", lambda: L.forecast_rows(attempts(spark, sf_dir)))
+
 
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.issue_attempts(state(spark, sf_dir), ALL_MODELS)
 
-def ledger_parts(spark: SparkSession, sf_dir: str, models=ALL_MODELS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bars, forecasts, resolutions); the forecasts are written out before reuse."""
+
+def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = I.hourly(spark, sf_dir)
-    fc = I.settle(L.issue_replay(bars, models))
+    return I.derived(spark, sf_dir, "signal_state", lambda: L.signal_state(bars))
+
+
+def ledger_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bars, forecasts, resolutions)."""
+    bars, fc = I.hourly(spark, sf_dir), forecasts(spark, sf_dir)
     matched = L.resolve_exact(fc, bars, I.now_ms(bars))
     return bars, fc, L.score(matched, F.col("candle_close_ms") + L.RESOLVE_DELAY_MS)
 
 
-def joined(spark: SparkSession, sf_dir: str, models=ALL_MODELS) -> DataFrame:
-    _, fc, res = ledger_parts(spark, sf_dir, models)
-    return I.settle(L.ledger_join(fc, res))
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, fc, res = ledger_parts(spark, sf_dir)
+    return I.derived(spark, sf_dir, "joined", lambda: L.ledger_join(fc, res))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.scored(joined(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str, models=ALL_MODELS) -> DataFrame:
-    return M.scored(joined(spark, sf_dir, models))
+def contrarian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored ledger with every call turned round, for reports that need an edge."""
+    flip = F.when(F.col("direction") == "up", "down").otherwise("up")
+    turned = joined(spark, sf_dir).withColumn("direction", flip)
+    right = L.S.outcome(F.col("direction"), F.col("entry_price"), F.col("actual_close")) == 1
+    return M.scored(turned.withColumn("direction_correct", right))

@@ -33,7 +33,7 @@ _PLAIN_SQL = "regexp_replace({}, '(sma|sma24|sma72)=[0-9.]+', '\\1', 'g')"
 
 def _signal(model):
     def run(spark, d):
-        tried = L.issue_attempts(L.signal_state(I.hourly(spark, d)), (model,), None)
+        tried = L.issue_attempts(D.state(spark, d), (model,), None)
         h = L.MODEL_HORIZONS[model][-1]
         one = tried.filter((F.col("horizon") == h) & (F.col("run_ms") == F.col("close_time_ms")))
         return report(one.select("series_id", "run_ms", "direction", "probability", _plain("reason")), 9)
@@ -97,10 +97,12 @@ _scalar(
     r("signed * 10000 - 2", "maker_bps", 6) + ", " + r("signed * 10000 - 10", "taker_bps", 6),
     6,
 )
+_away = F.when(_c("direction") == "down", _c("entry_price") * 1.05).otherwise(_c("entry_price") * 0.95)
 _scalar(
     "invalidation_level",
-    {"level": F.round(S.invalidation_level(_c("direction"), _c("entry_price")), 1)},
-    "round(CASE WHEN direction = 'down' THEN entry_price * 1.05 ELSE entry_price * 0.95 END, 1) + 0.0 AS level",
+    {"exact_level": _away, "rounded_to_cent": F.abs(S.invalidation_level(_c("direction"), _c("entry_price")) - _away) <= 0.005 + 1e-9},
+    r("CASE WHEN direction = 'down' THEN entry_price * 1.05 ELSE entry_price * 0.95 END", "exact_level", 5) + ", true AS rounded_to_cent",
+    5,
 )
 
 

@@ -16,6 +16,9 @@ cte("q_rel", """
 SELECT *, TRY_CAST(nullif(regexp_extract(confidence_reason, 'rel=([0-9.]+)', 1), '') AS DOUBLE) AS rel,
        CAST((issued_ms // 3600000) % 24 AS INTEGER) AS hr, (issued_ms // 86400000 + 3) % 7 AS dow FROM q_resolved
 """)
+cte("q_turned", """
+SELECT * REPLACE (CASE direction WHEN 'up' THEN 'down' ELSE 'up' END AS direction, CASE WHEN actual_close = entry_price THEN 0 ELSE 1 - o END AS o, -signed AS signed) FROM q_banded
+""")
 cte("q_banded", """
 SELECT *, CASE WHEN rel < 0.001 THEN 'rel<0.1%' WHEN rel < 0.003 THEN 'rel_0.1-0.3%' WHEN rel < 0.005 THEN 'rel_0.3-0.5%' WHEN rel < 0.01 THEN 'rel_0.5-1%'
                WHEN rel IS NOT NULL THEN 'rel>=1%' END AS band, printf('%02d', hr) AS hh FROM q_rel
@@ -27,7 +30,7 @@ SELECT unnest(list_filter([
   'horizon=' || horizon || '|hour_utc=' || hh, 'horizon=' || horizon || '|dow=' || dow, 'sma_' || band, 'horizon=' || horizon || '|sma_' || band,
   CASE WHEN horizon IN ('12h', '24h') THEN 'policy:h12_24_only' END, CASE WHEN horizon IN ('12h', '24h') AND hr <> 20 THEN 'policy:h12_24_skip_hour20' END,
   CASE WHEN horizon IN ('12h', '24h') AND rel < 0.005 THEN 'policy:h12_24_mild_rel' END], lambda x: x IS NOT NULL)) AS slice, o, signed, actual_return
-FROM q_banded
+FROM q_turned
 """)
 cte("q_ranked", f"""
 SELECT *, ex * 10000 - 2 + 50 * lift + 10 * lower_b AS score FROM (
@@ -49,7 +52,7 @@ def rel_parse(spark, d):
 SELECT slice, n, {r('hit', 'hit_rate')}, {r('lower_b', 'wilson_lb_95')}, {r('lift', 'vs_majority_pp')}, {r('ex * 10000', 'expectancy_bps')},
        {r('ex * 10000 - 2', 'expectancy_maker_2bps')}, {r('maj', 'majority_rate')}, {r('score', 'score')} FROM q_ranked"""))
 def slice_hunt(spark, d):
-    return report(H.slice_hunt(D.scored(spark, d)))
+    return report(H.slice_hunt(D.contrarian(spark, d)))
 
 
 _COLS = f"slice, n, {r('hit', 'hit_rate')}, {r('ex * 10000 - 2', 'expectancy_maker_2bps')}, {r('lift', 'vs_majority_pp')}, {r('score', 'score')}"
@@ -63,7 +66,7 @@ UNION ALL SELECT 'improvement_target', * FROM (SELECT {_COLS} FROM q_ranked WHER
 UNION ALL SELECT 'next_experiments', * FROM (SELECT {_COLS} FROM q_tradeable ORDER BY q_tradeable.score DESC, slice LIMIT 8) d2
   WHERE NOT (slice LIKE 'horizon=%' AND slice NOT LIKE '%|%')"""))
 def hunt_report(spark, d):
-    return report(H.hunt_report(I.settle(H.slice_hunt(D.scored(spark, d)))))
+    return report(H.hunt_report(I.settle(H.slice_hunt(D.contrarian(spark, d)))))
 
 
 cte("q_pick", """
@@ -93,9 +96,9 @@ LEFT JOIN (SELECT {finish('series_id, model_version, horizon')} FROM (SELECT ser
 LEFT JOIN (SELECT series_id, model_version, horizon, count(*) AS r30_n, avg(o) AS r30_hit, avg(signed) * 10000 - 2 AS r30_maker FROM q_r30 GROUP BY 1, 2, 3) b USING (series_id, model_version, horizon)) y""",
     q_r30=_R30))
 def signal_gates(spark, d):
-    bars, fc, res = D.ledger_parts(spark, d)
+    bars, fc, _ = D.ledger_parts(spark, d)
     now = I.now_ms(bars)
-    rows = M.scored(I.settle(D.L.ledger_join(fc, res)))
+    rows = D.scored(spark, d)
     keys = ("series_id", "model_version", "horizon")
     all_time = M.bucket_metrics(rows, keys)
     recent = M.bucket_metrics(rows.filter(F.col("issued_ms") >= now - 30 * 86_400_000), keys)
