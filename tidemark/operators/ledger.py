@@ -380,7 +380,8 @@ def probe_table(price_bars: DataFrame, now_ms: Column, by_source: bool) -> DataF
     )
     return (
         price_bars.filter(F.col("close_time_ms") <= now_ms)
-        .select(*SERIES, "source", bar.alias("bar"), F.inline(probes))
+        .withColumn("bar", bar)
+        .select(*SERIES, "source", "bar", F.inline(probes))
         .groupBy(*keys)
         .agg(F.min_by("bar", "rank").alias("bar"))
     )

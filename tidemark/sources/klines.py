@@ -28,9 +28,9 @@ def scan_kline_array(payloads: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
     )
 
     def by_layout(value):
-        out = None
+        out = F.lit(None)
         for source, lay in LAYOUTS.items():
-            out = (out or F).when(F.col("source") == source, value(lay))
+            out = F.when(F.col("source") == source, value(lay)).otherwise(out)
         return out
 
     def field(name):
