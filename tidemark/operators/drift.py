@@ -56,30 +56,22 @@ def ewma_drift(df: DataFrame, keys: Sequence[str], x: str = "x", **config) -> Da
     return f.withColumn("ewma_alarm", alarm).drop("_prev")
 
 
-def ks_distance(reference: Column, recent: Column) -> Column:
-    """Largest gap of two empirical distributions given as arrays.
+def ks_distance(reference: Column, recent: Column, m: Column, n: Column) -> Column:
+    """Largest gap of two empirical distributions given as arrays of m and n values.
 
     Both samples are walked in one sorted merge; at equal values the reference side
-    advances first, one value at a time, and the gap is taken after every step until one
-    side is used up, then once more.
+    advances first, one value at a time, and the gap is taken after every step. Once a
+    side is used up the gap can only shrink, so the walk may run to the end.
     """
     marked = F.concat(
         F.transform(reference, lambda v: F.struct(v.alias("v"), F.lit(0).alias("side"))),
         F.transform(recent, lambda v: F.struct(v.alias("v"), F.lit(1).alias("side"))),
     )
-    m, n = F.size(reference), F.size(recent)
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("d"))
 
     def step(acc, e):
-        i = acc["i"] + F.when(e["side"] == 0, 1).otherwise(0)
-        j = acc["j"] + F.when(e["side"] == 1, 1).otherwise(0)
-        gap = F.abs(i / m - j / n)
-        done = (acc["i"] >= m) | (acc["j"] >= n)
-        return F.struct(
-            F.when(done, acc["i"]).otherwise(i).alias("i"),
-            F.when(done, acc["j"]).otherwise(j).alias("j"),
-            F.when(done, acc["d"]).otherwise(F.greatest(acc["d"], gap)).alias("d"),
-        )
+        i, j = acc["i"] + 1 - e["side"], acc["j"] + e["side"]
+        return F.struct(i.alias("i"), j.alias("j"), F.greatest(acc["d"], F.abs(i / m - j / n)).alias("d"))
 
     return F.aggregate(F.array_sort(marked), start, step, lambda acc: acc["d"])
 
@@ -103,7 +95,7 @@ def ks_window(df: DataFrame, keys: Sequence[str], x: str = "x", **config) -> Dat
     reference = F.slice(vals, F.greatest(size - k - ref + 1, F.lit(1)), F.lit(ref))
     critical = F.lit(KS_COEFFICIENT[c["alpha"]]) * F.sqrt((F.lit(float(ref)) + k) / (F.lit(float(ref)) * k))
     return (
-        f.withColumn("ks_d", F.when(ready, ks_distance(reference, recent)))
+        f.withColumn("ks_d", F.when(ready, ks_distance(reference, recent, F.lit(float(ref)), k.cast("double"))))
         .withColumn("ks_alarm", F.coalesce(ready & (F.col("ks_d") > critical), F.lit(False)))
         .drop("_vals")
     )

@@ -1,4 +1,4 @@
-"""Drift queries: error streams are the Brier components of the ledger, features are bar prices."""
+"""Drift queries: error streams are the log-loss components of the ledger, features are bar prices."""
 
 from __future__ import annotations
 
@@ -20,8 +20,8 @@ ONE = ("series_id",)
 
 
 def errors(spark, d):
-    """Brier components per (series, model, horizon) in issue order."""
-    rows = D.scored(spark, d).select(*TAPE_KEYS, "issued_ms", "forecast_id", _c("brier_component").alias("x"))
+    """Log-loss components per (series, model, horizon) in issue order."""
+    rows = D.scored(spark, d).select(*TAPE_KEYS, "issued_ms", "forecast_id", _c("logloss_component").alias("x"))
     return I.derived(spark, d, "error_stream", lambda: with_row_index(rows, TAPE_KEYS, ("issued_ms", "forecast_id")))
 
 
@@ -30,7 +30,7 @@ def prices(spark, d):
 
 
 cte("q_err", """
-SELECT series_id, model_version, horizon, issued_ms, brier_component AS x, row_number() OVER k AS row_idx
+SELECT series_id, model_version, horizon, issued_ms, logloss_component AS x, row_number() OVER k AS row_idx
 FROM q_resolved WINDOW k AS (PARTITION BY series_id, model_version, horizon ORDER BY issued_ms, forecast_id)
 """)
 _K = "PARTITION BY series_id, model_version, horizon ORDER BY row_idx"
@@ -61,7 +61,7 @@ cte("q_ks_alarm", "SELECT *, d > 1.628 * sqrt((200.0 + r) / (200.0 * r)) AS alar
 _NAMES = "series_id, model_version, horizon, row_idx"
 
 
-@query("page_hinkley", sql(f"SELECT {_NAMES}, {r('mean', 'ph_mean')}, {r('cum', 'ph_cum')}, {r('lo', 'ph_min')}, {r('hi', 'ph_max')}, alarm AS ph_alarm FROM q_ph_alarm"))
+@query("page_hinkley", sql(f"SELECT {_NAMES}, {r('mean', 'ph_mean', 6)}, {r('cum', 'ph_cum', 6)}, {r('lo', 'ph_min', 6)}, {r('hi', 'ph_max', 6)}, alarm AS ph_alarm FROM q_ph_alarm"))
 def page_hinkley(spark, d):
     out = R.page_hinkley(errors(spark, d), TAPE_KEYS, **PH_CONFIG)
     return report(out.select(*TAPE_KEYS, "row_idx", "ph_mean", "ph_cum", "ph_min", "ph_max", "ph_alarm"))

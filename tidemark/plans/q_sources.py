@@ -146,7 +146,7 @@ def _answers(spark, d):
 
 
 cte("q_answers", """
-SELECT event_id, v, k, value / 100000 AS funding, value + 10000 AS mark, CASE WHEN k > 5 THEN k END AS oi, k / 100 AS buy, (99 - k) / 100 AS sell, epoch_ms(ts) AS at_ms
+SELECT event_id, v, k, value / 100000 AS funding, value + 10000 AS mark, CASE WHEN k > 5 THEN k END AS oi, k / 100 AS buy, (99 - k) / 100 AS sell, epoch_us(ts) // 1000 AS at_ms
 FROM (SELECT *, user_id % 4 AS v, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) x
 """)
 cte("q_flat", """
