@@ -316,8 +316,13 @@ def platt(fit_rows: DataFrame):
 
 
 def isotonic(fit_rows: DataFrame):
-    """Non-decreasing fit with linear interpolation and clamped ends."""
-    model = IsotonicRegression(featuresCol="p", labelCol="_y", predictionCol="_iso").fit(fit_rows.withColumn("_y", F.col("y").cast("double")))
+    """Non-decreasing fit with linear interpolation and clamped ends.
+
+    Rows with equal probabilities are pooled with a weight first, which shrinks what the
+    fit has to merge to the distinct probabilities.
+    """
+    pooled = fit_rows.groupBy("p").agg(F.avg("y").alias("_y"), F.count("*").cast("double").alias("_w"))
+    model = IsotonicRegression(featuresCol="p", labelCol="_y", weightCol="_w", predictionCol="_iso").fit(pooled)
 
     def apply(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("p", S.clip(F.col("_iso"), 0.0, 1.0)).drop("_iso")

@@ -225,10 +225,10 @@ def platt(spark, d):
 
 
 @query("isotonic", sql(f"""
-WITH g AS (SELECT p, sum(y) AS sy, count(*) AS n FROM q_preds WHERE model = 'last_direction' GROUP BY 1),
- runs AS (SELECT a.p AS lo, b.p AS hi, sum(c.sy) / sum(c.n) AS m FROM g a JOIN g b ON b.p >= a.p JOIN g c ON c.p BETWEEN a.p AND b.p GROUP BY 1, 2),
- low AS (SELECT t.p, runs.lo, min(m) AS m FROM g t JOIN runs ON runs.lo <= t.p AND runs.hi >= t.p GROUP BY 1, 2)
-SELECT round(p, 6) + 0.0 AS p_raw, {r('max(m)', 'p_cal')} FROM low GROUP BY p"""))
+SELECT round(p, 6) + 0.0 AS p_raw, {r('max(m)', 'p_cal')} FROM q_iso_low GROUP BY p""",
+    q_iso_g="SELECT p, sum(y) AS sy, count(*) AS n FROM q_preds WHERE model = 'last_direction' GROUP BY 1",
+    q_iso_runs="SELECT a.p AS lo, b.p AS hi, sum(c.sy) / sum(c.n) AS m FROM q_iso_g a JOIN q_iso_g b ON b.p >= a.p JOIN q_iso_g c ON c.p BETWEEN a.p AND b.p GROUP BY 1, 2",
+    q_iso_low="SELECT t.p, x.lo, min(m) AS m FROM q_iso_g t JOIN q_iso_runs x ON x.lo <= t.p AND x.hi >= t.p GROUP BY 1, 2"))
 def isotonic(spark, d):
     rows = rules(spark, d).filter(_c("model") == "last_direction")
     out = M.isotonic(rows)(rows.withColumn("p_raw", _c("p")))
