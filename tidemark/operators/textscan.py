@@ -61,11 +61,17 @@ def digest_window_scan(docs: DataFrame, key: str, digests: DataFrame, n: int, te
     length = F.length(text)
     chunks = docs.filter(length >= n).select(
         key, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(1), length - n + 1, F.lit(chunk))).alias("_from")
-    ).select(key, F.substring("_t", F.col("_from"), F.lit(chunk + n - 1)).alias("_c"))
+    ).select(key, "_from", F.substring("_t", F.col("_from"), F.lit(chunk + n - 1)).alias("_c"))
+    # Hashing costs far more than moving the text once: spread long documents evenly.
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(spread, key, "_from")
     windows = chunks.select(key, "_c", F.explode(F.sequence(F.lit(1), F.length("_c") - n + 1)).alias("_i")).select(
         key, F.substring("_c", F.col("_i"), F.lit(n)).alias("_w")
     )
-    clean = windows.filter(~F.col("_w").rlike("[\\x00\\r\\n]")).select(key, F.sha2("_w", 256).alias("digest"))
+    broken = F.lit(False)
+    for sign in ("\0", "\r", "\n"):
+        broken = broken | F.contains("_w", F.lit(sign))
+    clean = windows.filter(~broken).select(key, F.sha2("_w", 256).alias("digest"))
     return clean.join(digests.select("digest").distinct(), "digest", "left_semi").distinct()
 
 

@@ -42,9 +42,10 @@ WINDOW = 24
 
 
 @query("digest_window_scan", sql(f"""
-SELECT DISTINCT doc_id, sha256(w) AS digest FROM (SELECT doc_id, substr(text, i, {WINDOW}) AS w FROM (
-SELECT doc_id, text, unnest(generate_series(1, length(text) - {WINDOW - 1})) AS i FROM documents WHERE length(text) >= {WINDOW}) x) y
-WHERE NOT contains(w, chr(10)) AND NOT contains(w, chr(13)) AND sha256(w) IN (SELECT sha256(substr(text, 1, {WINDOW})) FROM benchmark)"""))
+SELECT DISTINCT doc_id, digest FROM (SELECT doc_id, w, sha256(w) AS digest FROM (SELECT doc_id, substr(c, i, {WINDOW}) AS w FROM (
+SELECT doc_id, c, unnest(generate_series(1, length(c) - {WINDOW - 1})) AS i FROM (SELECT doc_id, substr(text, f, {255 + WINDOW}) AS c FROM (
+SELECT doc_id, text, unnest(generate_series(1, length(text) - {WINDOW - 1}, 256)) AS f FROM documents WHERE length(text) >= {WINDOW}) x) x2) x3) y
+WHERE NOT contains(w, chr(10)) AND NOT contains(w, chr(13))) z WHERE digest IN (SELECT sha256(substr(text, 1, {WINDOW})) FROM benchmark)"""))
 def digest_window_scan(spark, d):
     secrets = I.table(spark, d, "benchmark").select(F.sha2(F.substring("text", 1, WINDOW), 256).alias("digest"))
     return T.digest_window_scan(I.table(spark, d, "documents"), "doc_id", secrets, WINDOW)
