@@ -18,25 +18,36 @@ INTERVAL_MS = {
 }
 
 
-def tick_to_bar(ticks: DataFrame, interval: str = "1h", keys=SERIES, width_ms: int | None = None) -> DataFrame:
-    """OHLCV per key and clock interval; ticks are ordered by (ts_us, event_id).
+def tick_order(ts_us="ts_us", tie="event_id") -> Column:
+    """Total order of ticks as one DECIMAL(38): time first, then the id.
+
+    A fixed-width number (unlike a struct) keeps ``min_by``/``max_by`` in a hash
+    aggregation; a struct would make Spark sort all ticks before the partial aggregate.
+    """
+    return (F.col(ts_us).cast("decimal(16,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def tick_to_bar(
+    ticks: DataFrame, interval: str = "1h", keys=SERIES, width_ms: int | None = None, order: Column | None = None, carry: dict[str, str] | None = None
+) -> DataFrame:
+    """OHLCV per key and clock interval; ``carry`` maps a bar column to the numeric tick
+    column whose last value it takes.
 
     One hash aggregation with map-side partials: a hot series shrinks to its bars
     before the shuffle.
     """
     width = width_ms or INTERVAL_MS[interval]
-    at = F.struct("ts_us", "event_id")
     open_ms = (F.floor(F.col("ts_us") / F.lit(width * 1000)) * F.lit(width)).cast("long")
-    extra = [F.max_by("venue", at).alias("source")] if "venue" in ticks.columns and "venue" not in keys else []
+    rows = ticks.withColumn("_at", tick_order() if order is None else order)
     return (
-        ticks.groupBy(*keys, open_ms.alias("open_time_ms"))
+        rows.groupBy(*keys, open_ms.alias("open_time_ms"))
         .agg(
-            F.min_by("price", at).alias("open"),
+            F.min_by("price", "_at").alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", at).alias("close"),
+            F.max_by("price", "_at").alias("close"),
             F.sum("size").alias("volume"),
-            *extra,
+            *[F.max_by(c, "_at").alias(n) for n, c in (carry or {}).items()],
         )
         .withColumn("interval", F.lit(interval))
         .withColumn("close_time_ms", F.col("open_time_ms") + F.lit(width))

@@ -122,6 +122,11 @@ def dvol_move(dvol: Column) -> Column:
     return dvol / math.sqrt(365.0)
 
 
+def risk_reversal(call_iv: Column, put_iv: Column) -> Column:
+    """25-delta call volatility minus put volatility."""
+    return call_iv - put_iv
+
+
 def deriv_alerts(metrics: DataFrame, keep) -> DataFrame:
     """One row per fired threshold."""
     fired = [

@@ -66,21 +66,32 @@ def forget() -> None:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    venue = F.element_at(F.array(*[F.lit(v) for v in VENUES]), (F.pmod("user_id", F.lit(3)) + 1).cast("int"))
+    number = F.pmod("user_id", F.lit(len(VENUES))).cast("int")
     return ev.select(
         F.col("event_type").alias("series_id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         "event_id",
         (F.col("value") + PRICE_BASE).alias("price"),
         F.get_json_object("props", "$.k").cast("double").alias("size"),
-        venue.alias("venue"),
+        number.alias("venue_no"),
+        venue_name(number).alias("venue"),
     )
 
 
+def venue_name(number):
+    return F.element_at(F.array(*[F.lit(v) for v in VENUES]), number + 1)
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of all ticks, with ``row_idx``."""
     table(spark, sf_dir, "events")
-    return derived(spark, sf_dir, "hourly", lambda: B.indexed(settle(B.tick_to_bar(ticks(spark, sf_dir)))))
+    return derived(spark, sf_dir, "hourly", lambda: B.indexed(settle(sourced_bars(spark, sf_dir))))
+
+
+def sourced_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with the venue of their last tick as source."""
+    bars = B.tick_to_bar(ticks(spark, sf_dir), carry={"venue_no": "venue_no"})
+    return bars.withColumn("source", venue_name(F.col("venue_no"))).drop("venue_no")
 
 
 def venue_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,16 +103,26 @@ def venue_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _line_order():
+    """Order of the lines of one day: order, line, part and supplier number in one decimal."""
+    def shift(digits):
+        return F.lit(str(10**digits)).cast(f"decimal({digits + 1},0)")
+
+    head = F.col("l_orderkey").cast("decimal(13,0)") * shift(2) + F.col("l_linenumber").cast("decimal(2,0)")
+    tail = F.col("l_partkey").cast("decimal(11,0)") * shift(9) + F.col("l_suppkey").cast("decimal(9,0)")
+    return (head.cast("decimal(16,0)") * shift(20) + tail.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of the line items, unit price as tick, with ``row_idx``."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("series_id"),
         F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ts_us"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("event_id"),
+        _line_order().alias("_order"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("size"),
     )
-    return derived(spark, sf_dir, "daily", lambda: B.indexed(settle(B.tick_to_bar(li, "1d")), interval="1d"))
+    return derived(spark, sf_dir, "daily", lambda: B.indexed(settle(B.tick_to_bar(li, "1d", order=F.col("_order"))), interval="1d"))
 
 
 def now_ms(bars: DataFrame):

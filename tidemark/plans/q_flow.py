@@ -12,7 +12,12 @@ from tidemark.plans.oracle import cte, r, sql
 from tidemark.plans.registry import query, report
 
 _c = F.col
-_HOUR = S.hour_utc(F.col("issued_ms"))
+
+
+def _hour():
+    return S.hour_utc(F.col("issued_ms"))
+
+
 cte("q_fh", "SELECT *, CAST((issued_ms // 3600000) % 24 AS INTEGER) AS hr FROM q_forecasts")
 
 
@@ -27,20 +32,20 @@ def validate_forecast(spark, d):
         iso.alias("issued_at"),
         _c("series_id").alias("asset"),
         F.when(_c("probability") > 0.54, "9h").otherwise(_c("horizon")).alias("horizon"),
-        F.when(_HOUR == 4, iso).otherwise(S.iso_utc(_c("target_ms"))).alias("target_time"),
+        F.when(_hour() == 4, iso).otherwise(S.iso_utc(_c("target_ms"))).alias("target_time"),
         "target_rule",
-        F.when(_HOUR == 2, "flat").otherwise(_c("direction")).alias("direction"),
+        F.when(_hour() == 2, "flat").otherwise(_c("direction")).alias("direction"),
         F.when(_c("horizon") == "4h", 1.0).otherwise(_c("probability")).alias("probability"),
-        F.when(_HOUR == 3, -_c("entry_price")).otherwise(_c("entry_price")).alias("entry_price"),
+        F.when(_hour() == 3, -_c("entry_price")).otherwise(_c("entry_price")).alias("entry_price"),
         "model_version",
         "signal_version",
-        F.when(_HOUR == 6, "boom").otherwise(_c("regime_at_issue")).alias("regime_at_issue"),
+        F.when(_hour() == 6, "boom").otherwise(_c("regime_at_issue")).alias("regime_at_issue"),
         "feature_snapshot_uri",
         "source_snapshot_uri",
         "confidence_reason",
         "invalidation",
-        F.when(_HOUR != 7, _c("created_by")).alias("created_by"),
-        F.when(_HOUR == 5, "closed").otherwise(_c("status")).alias("status"),
+        F.when(_hour() != 7, _c("created_by")).alias("created_by"),
+        F.when(_hour() == 5, "closed").otherwise(_c("status")).alias("status"),
     )
     return L.validate_forecast(rows).select("forecast_id", F.concat_ws(",", "reasons").alias("reasons"))
 

@@ -80,27 +80,30 @@ def ledger_join(spark, d):
 # ── scalar rules over the joined ledger ──────────────────────────────────────
 def _scalar(name, cols, body, digits=9):
     def run(spark, d):
-        return report(M.scored(D.joined(spark, d)).select("forecast_id", *[c.alias(n) for n, c in cols.items()]), digits)
+        return report(M.scored(D.joined(spark, d)).select("forecast_id", *[c.alias(n) for n, c in cols().items()]), digits)
 
     query(name, sql(f"SELECT forecast_id, {body} FROM q_resolved"))(run)
 
 
 _c = F.col
-_scalar("outcome_rule", {"o": S.outcome(_c("direction"), _c("entry_price"), _c("actual_close"))}, "o")
-_scalar("actual_return", {"ret": S.actual_return(_c("entry_price"), _c("actual_close"))}, r("actual_return", "ret", 9))
-_scalar("brier_component", {"brier": S.brier_component(_c("p"), _c("o"))}, r("(p - o) * (p - o)", "brier", 9))
-_scalar("logloss_component", {"logloss": S.logloss_component(_c("p"), _c("o"))}, r("CASE o WHEN 1 THEN -ln(p) ELSE -ln(1 - p) END", "logloss", 9))
-_scalar("signed_return", {"signed": S.signed_return(_c("direction"), _c("actual_return"))}, r("signed", "signed", 9))
+_scalar("outcome_rule", lambda: {"o": S.outcome(_c("direction"), _c("entry_price"), _c("actual_close"))}, "o")
+_scalar("actual_return", lambda: {"ret": S.actual_return(_c("entry_price"), _c("actual_close"))}, r("actual_return", "ret", 9))
+_scalar("brier_component", lambda: {"brier": S.brier_component(_c("p"), _c("o"))}, r("(p - o) * (p - o)", "brier", 9))
+_scalar("logloss_component", lambda: {"logloss": S.logloss_component(_c("p"), _c("o"))}, r("CASE o WHEN 1 THEN -ln(p) ELSE -ln(1 - p) END", "logloss", 9))
+_scalar("signed_return", lambda: {"signed": S.signed_return(_c("direction"), _c("actual_return"))}, r("signed", "signed", 9))
 _scalar(
     "fee_adjust",
-    {"maker_bps": S.fee_adjusted_bps(_c("signed"), S.MAKER_BPS), "taker_bps": S.fee_adjusted_bps(_c("signed"), S.TAKER_BPS)},
+    lambda: {"maker_bps": S.fee_adjusted_bps(_c("signed"), S.MAKER_BPS), "taker_bps": S.fee_adjusted_bps(_c("signed"), S.TAKER_BPS)},
     r("signed * 10000 - 2", "maker_bps", 6) + ", " + r("signed * 10000 - 10", "taker_bps", 6),
     6,
 )
-_away = F.when(_c("direction") == "down", _c("entry_price") * 1.05).otherwise(_c("entry_price") * 0.95)
+def _away():
+    return F.when(_c("direction") == "down", _c("entry_price") * 1.05).otherwise(_c("entry_price") * 0.95)
+
+
 _scalar(
     "invalidation_level",
-    {"exact_level": _away, "rounded_to_cent": F.abs(S.invalidation_level(_c("direction"), _c("entry_price")) - _away) <= 0.005 + 1e-9},
+    lambda: {"exact_level": _away(), "rounded_to_cent": F.abs(S.invalidation_level(_c("direction"), _c("entry_price")) - _away()) <= 0.005 + 1e-9},
     r("CASE WHEN direction = 'down' THEN entry_price * 1.05 ELSE entry_price * 0.95 END", "exact_level", 5) + ", true AS rounded_to_cent",
     5,
 )

@@ -119,6 +119,22 @@ def leverage_ratio(spark, d):
                            (_c("high") / _c("close") - _c("low") / _c("close")).alias("risk_reversal")))
 
 
+@query("funding_annual", sql(f"SELECT series_id, open_time_ms, {r('funding * 3 * 365', 'funding_annual')} FROM q_dm"))
+def funding_annual(spark, d):
+    return report(daily_metrics(spark, d).select(*AT, X.funding_annual(_c("funding")).alias("funding_annual")))
+
+
+@query("dvol_move", sql(f"SELECT series_id, open_time_ms, {r('dvol / sqrt(365.0)', 'daily_move')} FROM q_dm"))
+def dvol_move(spark, d):
+    return report(daily_metrics(spark, d).select(*AT, X.dvol_move(_c("dvol")).alias("daily_move")))
+
+
+@query("risk_reversal", sql(f"SELECT series_id, open_time_ms, {r('high / close - low / close', 'risk_reversal')} FROM q_dm"))
+def risk_reversal(spark, d):
+    m = daily_metrics(spark, d)
+    return report(m.select(*AT, X.risk_reversal(_c("high") / _c("close"), _c("low") / _c("close")).alias("risk_reversal")))
+
+
 # ── trend systems on daily bars ──────────────────────────────────────────────
 def strict(n):
     return f"CASE WHEN row_idx >= {n} THEN avg(close) {over(f'{n - 1} PRECEDING')} END"

@@ -38,7 +38,8 @@ def scan_jsonl_lenient(spark, d):
     return rows.agg(F.count_if(good).alias("n_rows"), F.count_if(~good).alias("n_skipped"), (F.round(F.sum(F.when(good, _c("price"))), 2) + 0.0).alias("total"))
 
 
-DAY = F.floor(F.col("open_time_ms") / S.DAY_MS)
+def _day():
+    return F.floor(F.col("open_time_ms") / S.DAY_MS)
 
 
 def _candles():
@@ -55,7 +56,7 @@ def _payload(source, fetched_ms, candles="candles"):
 
 
 def _docs(spark, d):
-    per_day = I.hourly(spark, d).groupBy("series_id", DAY.alias("day")).agg(_candles().alias("candles"))
+    per_day = I.hourly(spark, d).groupBy("series_id", _day().alias("day")).agg(_candles().alias("candles"))
     return per_day.select("series_id", _payload(F.lit("coinbase"), (_c("day") + 1) * S.DAY_MS).alias("payload"))
 
 
@@ -218,7 +219,7 @@ SELECT series_id, open_time_ms, {r('close + CASE WHEN late THEN 1 ELSE 0 END', '
 SELECT *, close_time_ms > (open_time_ms // 86400000 + 1) * 86400000 - 5400000 AS late FROM q_bars WHERE volume > 0) x"""))
 def doc_history_rebuild(spark, d):
     """Each day's document repeats the day before with corrected closes; the first version counts."""
-    bars = I.hourly(spark, d).withColumn("day", DAY)
+    bars = I.hourly(spark, d).withColumn("day", _day())
     seen = bars.select("*", F.inline(F.array(F.struct(_c("day").alias("version_id"), F.lit(0.0).alias("fix")), F.struct((_c("day") + 1).alias("version_id"), F.lit(1.0).alias("fix")))))
     seen = seen.withColumn("close", _c("close") + _c("fix")).withColumn("high", _c("high") + _c("fix"))
     docs = seen.groupBy("series_id", "version_id").agg(_candles().alias("candles"))

@@ -95,7 +95,7 @@ def entity_split(spark, d):
     return T.entity_split(T.page_audit(_marked(spark, d)))
 
 
-# ── nested catalog: orders as authors, their lines as works ──────────────────
+# ── nested catalog: orders as authors; every line is a record with its work ─────
 REQUIRED = ("1", "2", "3", "-1")
 
 
@@ -104,9 +104,10 @@ def _catalog(spark, d):
     url = F.when(_c("l_linestatus") == "F", "https://example.com/x").otherwise("ftp://example.com/x")
     sources = F.when(_c("l_quantity") < 3, F.array().cast("array<struct<url:string>>")).otherwise(F.array(F.struct(url.alias("url"))))
     work = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), sources.alias("sources"))
-    per = li.groupBy("l_orderkey").agg(F.collect_list(work).alias("works"))
     authors = I.table(spark, d, "orders").select(_c("o_orderkey").alias("l_orderkey"))
-    return authors.join(per, "l_orderkey", "left").select(_c("l_orderkey").cast("string").alias("slug"), "works")
+    own = li.join(authors, "l_orderkey", "left_semi").select(_c("l_orderkey").cast("string").alias("slug"), F.array(work).alias("works"))
+    idle = authors.join(li, "l_orderkey", "left_anti").select(_c("l_orderkey").cast("string").alias("slug"), F.array().cast(dict(own.dtypes)["works"]).alias("works"))
+    return own.unionByName(idle)
 
 
 @query("catalog_integrity", sql("""
