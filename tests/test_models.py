@@ -23,6 +23,8 @@ def test_ks_golden_alarms(spark):
     rng = random.Random(23)
     xs = [rng.gauss(0.0, 1.0) for _ in range(200)] + [rng.gauss(1.5, 1.0) for _ in range(200)]
     out = D.ks_window(stream(spark, xs), ["k"]).orderBy("row_idx").collect()
+    fired = [r.row_idx for r in out if r.ks_alarm]
+    assert (len(fired), fired[-1], out[-1].ks_d) == (119, 348, pytest.approx(0.125))
     want = serial_ks(xs)
     assert [r.row_idx for r in out if r.ks_alarm] == [i for i, _ in want if _[1]]
     assert [r.ks_d for r in out if r.ks_d is not None] == pytest.approx([_[0] for i, _ in want if _[0] is not None])

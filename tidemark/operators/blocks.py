@@ -83,7 +83,7 @@ def windowed(
         homes.append(F.when(pos >= rows - before, own + 1))
     if after:
         homes.append(F.when((pos < after) & (own > 0), own - 1))
-    placed = df.withColumn("_win", F.explode(F.array_compact(F.array(*homes))))
+    placed = df.withColumn("_win", F.explode_outer(F.array_compact(F.array(*homes))))
     w = Window.partitionBy(*keys, "_win").orderBy(idx)
     return build(placed, w).filter(F.col("_win") == own).drop("_win")
 

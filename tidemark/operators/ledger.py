@@ -163,25 +163,22 @@ def run_clock(state: DataFrame) -> DataFrame:
         F.coalesce(F.col("next_close_ms") - HOUR_MS, F.col("close_time_ms")),
         F.col("close_time_ms") + STALENESS_HOURS * HOUR_MS,
     )
-    return state.withColumn("run_ms", F.explode(F.sequence(F.col("close_time_ms"), last_run, F.lit(HOUR_MS))))
+    return state.withColumn("run_ms", F.explode_outer(F.sequence(F.col("close_time_ms"), last_run, F.lit(HOUR_MS))))
 
 
 def issue_attempts(state: DataFrame, models=(BASELINE, GUARD), max_backdate_ms: int | None = MAX_BACKDATE_MS) -> DataFrame:
     """Every (run, model, horizon) with its call and the reason it was not issued, if any."""
     run = F.col("run_ms")
-    offers = []
-    for model in models:
-        sig = SIGNALS[model](run)
-        for horizon in MODEL_HORIZONS[model]:
-            offers.append(
-                F.struct(
-                    F.lit(model).alias("model_version"),
-                    F.lit(horizon).alias("horizon"),
-                    F.lit(HORIZON_HOURS[horizon] * HOUR_MS).cast("long").alias("delta_ms"),
-                    *[c.alias(n) for n, c in sig.items()],
-                )
-            )
-    tried = run_clock(state).select("*", F.inline(F.array(*offers)))
+    calls = [
+        F.struct(
+            F.lit(model).alias("model_version"),
+            *[c.alias(n) for n, c in SIGNALS[model](run).items()],
+            F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(HORIZON_HOURS[h] * HOUR_MS).cast("long").alias("delta_ms")) for h in MODEL_HORIZONS[model]]).alias("_offers"),
+        )
+        for model in models
+    ]
+    # One row per model first, so that a call is worked out once and not per horizon.
+    tried = run_clock(state).select("*", F.inline(F.array(*calls))).select("*", F.inline_outer("_offers")).drop("_offers")
     tried = tried.withColumn("issued_ms", issue_bucket(run, F.col("horizon")))
     late = run - F.col("issued_ms")
     skip = F.when(F.col("direction") == "abstain", "abstain").when(

@@ -132,7 +132,7 @@ def level_events(quotes: DataFrame, levels: DataFrame, move_pct: float = 3.0) ->
         F.when(F.col("trend").isin("BULLISH", "BEARISH"), event("TREND", "LOW", none)),
     )
     found = F.array_compact(F.concat(own, F.transform("_levels", at_level)))
-    return quotes.join(packed, list(SERIES)).select(*SERIES, "open_time_ms", F.inline(found))
+    return quotes.join(packed, list(SERIES)).select(*SERIES, "open_time_ms", F.inline_outer(found)).filter("event IS NOT NULL")
 
 
 def level_events_strict(quotes: DataFrame, levels: DataFrame, move_pct: float = 3.0, funding_extreme: float = 0.05) -> DataFrame:
@@ -159,7 +159,7 @@ def level_events_strict(quotes: DataFrame, levels: DataFrame, move_pct: float =
         F.when(funding > funding_extreme, event("FUNDING_HIGH", none)).when(funding < -funding_extreme, event("FUNDING_LOW", none)),
     )
     found = F.array_compact(F.concat(own, F.transform("_levels", at_level)))
-    return quotes.join(packed, list(SERIES)).select(*SERIES, "open_time_ms", F.inline(found))
+    return quotes.join(packed, list(SERIES)).select(*SERIES, "open_time_ms", F.inline_outer(found)).filter("event IS NOT NULL")
 
 
 def level_position(quotes: DataFrame, levels: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def fold_join(rows: DataFrame, folds: DataFrame, keys: Sequence[str], idx: str =
         return F.struct(f["fold_id"].alias("fold_id"), part.alias("part"))
 
     placed = rows.join(packed, list(keys)).withColumn("_at", F.filter(F.transform("_folds", place), lambda a: a["part"].isNotNull()))
-    return placed.select(*rows.columns, F.inline("_at"))
+    return placed.select(*rows.columns, F.inline_outer("_at")).filter("part IS NOT NULL")
 
 
 def labelled_rows(frame: DataFrame, targets: DataFrame) -> DataFrame:

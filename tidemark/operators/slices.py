@@ -64,7 +64,7 @@ def slice_hunt(rows: DataFrame) -> DataFrame:
     ``rows`` is ``metrics.scored``; duplicates of a bucket are kept on purpose.
     """
     agg = (
-        rows.select(F.explode(slice_names()).alias("slice"), "o", "signed", "actual_return")
+        rows.select(F.explode_outer(slice_names()).alias("slice"), "o", "signed", "actual_return")
         .groupBy("slice")
         .agg(
             F.count("*").alias("n"),

@@ -133,7 +133,7 @@ def deriv_alerts(metrics: DataFrame, keep) -> DataFrame:
         F.when(F.col(c) > lim if op == ">" else F.col(c) < lim, F.struct(F.lit(n).alias("alert"), F.col(c).alias("value")))
         for n, c, op, lim in ALERTS
     ]
-    return metrics.withColumn("_a", F.array_compact(F.array(*fired))).select(*keep, F.inline("_a"))
+    return metrics.withColumn("_a", F.array_compact(F.array(*fired))).select(*keep, F.inline_outer("_a")).filter("alert IS NOT NULL")
 
 
 def deriv_confluence(metrics: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ ALL_MODELS = (L.BASELINE, L.POLICY, L.GUARD)
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every forecast the three rule models issue over the hourly bars."""
-    return I.derived(spark, sf_dir, "forecasts", lambda: L.forecast_rows(attempts(spark, sf_dir)))
+    bars = I.hourly(spark, sf_dir)
+    return I.derived(spark, sf_dir, "forecasts", lambda: L.issue_replay(bars, ALL_MODELS))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def scan_kline_array(payloads: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
     A row with a value that does not cast is dropped. Close times become exclusive.
     """
     rows = payloads.select(
-        "series_id", "source", F.explode(F.from_json("payload", "array<array<string>>")).alias("k")
+        "series_id", "source", F.explode_outer(F.from_json("payload", "array<array<string>>")).alias("k")
     )
 
     def by_layout(value):

@@ -32,7 +32,7 @@ def scan_snapshot(docs: DataFrame, keep=("series_id",)) -> DataFrame:
         *keep,
         F.coalesce(F.nullif(F.col("d.source"), F.lit("")), F.lit("unknown")).alias("source"),
         parse_iso_ms(F.col("d.fetched_at")).alias("fetched_ms"),
-        F.inline("d.data.candles"),
+        F.inline_outer("d.data.candles"),
     )
     typed = {f: F.col(f).try_cast("long" if f.endswith("_ms") else "double") for f in BAR_FIELDS}
     whole = F.lit(True)
