@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import affine_scan, prefix_scan, windowed
+from tidemark.sources.store import settle
 
 # Fixed values.
 PH = {"threshold": 50.0, "alpha": 1e-4, "min_n": 30, "direction": "both"}
@@ -28,8 +29,8 @@ def page_hinkley(df: DataFrame, keys: Sequence[str], x: str = "x", **config) ->
     """
     c = {**PH, **config}
     n = F.col("row_idx")
-    f = prefix_scan(df, {"_sum": ("sum", F.col(x))}, keys).withColumn("ph_mean", F.col("_sum") / n)
-    f = prefix_scan(f, {"ph_cum": ("sum", F.col(x) - F.col("ph_mean") - c["alpha"])}, keys)
+    f = settle(prefix_scan(df, {"_sum": ("sum", F.col(x))}, keys).withColumn("ph_mean", F.col("_sum") / n))
+    f = settle(prefix_scan(f, {"ph_cum": ("sum", F.col(x) - F.col("ph_mean") - c["alpha"])}, keys))
     f = prefix_scan(f, {"_lo": ("min", F.col("ph_cum")), "_hi": ("max", F.col("ph_cum"))}, keys)
     lo, hi = F.least(F.lit(0.0), "_lo"), F.greatest(F.lit(0.0), "_hi")
     up, down = F.col("ph_cum") - lo > c["threshold"], hi - F.col("ph_cum") > c["threshold"]
@@ -46,7 +47,7 @@ def ewma_drift(df: DataFrame, keys: Sequence[str], x: str = "x", **config) -> Da
         return 1 - alpha, F.when(first, value).otherwise(value * alpha)
 
     f = affine_scan(df, {"fast_ewma": terms(c["fast_alpha"], v), "slow_mean": terms(c["slow_alpha"], v)}, keys)
-    f = windowed(f, lambda g, w: g.withColumn("_prev", F.lag("fast_ewma").over(w)), before=1, keys=keys)
+    f = settle(windowed(f, lambda g, w: g.withColumn("_prev", F.lag("fast_ewma").over(w)), before=1, keys=keys))
     diff = v - F.col("_prev")
     step = F.when(first, 0.0).otherwise(diff * diff * c["fast_alpha"])
     f = affine_scan(f, {"ewma_var": (1 - c["fast_alpha"], step)}, keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import indicators as ind
 from tidemark.operators.blocks import SERIES, affine_scan, prefix_scan, windowed, with_row_index
 from tidemark.operators.regime import coarse_label
+from tidemark.sources.store import settle
 
 # Feature order, and horizons in bars.
 FEATURES = (
@@ -61,7 +62,7 @@ def asof_join(bars: DataFrame, snapshots: DataFrame, columns, at: str = "snapsho
     right = snapshots.select(
         *SERIES, *[F.lit(None).alias(c) for c in names], F.col(at).alias("_t"), F.lit(0).alias("_kind"), packed.alias("_snap")
     )
-    line = with_row_index(left.unionByName(right), SERIES, ("_t", "_kind"), name="_line")
+    line = settle(with_row_index(left.unionByName(right), SERIES, ("_t", "_kind"), name="_line"))
     carried = prefix_scan(line, {"_last": ("last", F.col("_snap"))}, idx="_line")
     return carried.filter("_kind = 1").select(*bars.columns, *[F.col(f"_last.{c}").alias(c) for c in (*columns, at)])
 
@@ -93,8 +94,8 @@ def feature_frame(bars: DataFrame, aux: DataFrame | None = None, ema_period: int
             }
         )
 
-    f = windowed(add_aux(bars, aux), build, before=73)
-    f = ind.oi_delta(f)
+    f = settle(windowed(add_aux(bars, aux), build, before=73))
+    f = settle(ind.oi_delta(f))
     shrink = (rsi_period - 1) / rsi_period
     f = affine_scan(
         f,

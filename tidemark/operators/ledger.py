@@ -10,6 +10,7 @@ from tidemark.functions.scalar import BUCKET_HOURS, HORIZON_HOURS, HOUR_MS
 from tidemark.operators.blocks import SERIES, affine_scan, windowed
 from tidemark.operators.indicators import ema_terms, log_return, sma_prior
 from tidemark.operators.regime import coarse_label
+from tidemark.sources.store import settle
 
 # Fixed values of the three rule models.
 BASELINE = "v0.1.0-baseline-shadow"
@@ -85,7 +86,7 @@ def signal_state(bars: DataFrame) -> DataFrame:
             .withColumn("next_close_ms", F.lead("close_time_ms").over(w))
         )
 
-    state = windowed(bars, build, before=72, after=1)
+    state = settle(windowed(bars, build, before=72, after=1))
     state = affine_scan(state, {"trend_score": ema_terms(F.col("log_return"), 24)})
     regime = F.when(F.col("row_idx") < 30, "unknown").otherwise(coarse_label())
     return state.withColumn("regime", regime)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 from tidemark.functions.scalar import DAY_MS
 from tidemark.operators.blocks import prefix_scan, with_row_index
+from tidemark.sources.store import settle
 
 # Fixed values.
 MIN_N_DISPLAY = 20
@@ -254,8 +255,8 @@ def tape_curve(rows: DataFrame, keys=TAPE_KEYS) -> DataFrame:
     """Every resolved forecast as a one-unit paper trade with the running curve."""
     trades = scored(rows).withColumn("ret_bps_gross", F.col("signed") * 10000.0)
     trades = trades.withColumn("ret_bps_maker", F.col("ret_bps_gross") - S.MAKER_BPS)
-    trades = with_row_index(trades, keys, ("issued_ms", "forecast_id"), name="trade_no")
-    curve = prefix_scan(trades, {"cum_bps": ("sum", F.col("ret_bps_maker"))}, keys, "trade_no")
+    trades = settle(with_row_index(trades, keys, ("issued_ms", "forecast_id"), name="trade_no"))
+    curve = settle(prefix_scan(trades, {"cum_bps": ("sum", F.col("ret_bps_maker"))}, keys, "trade_no"))
     curve = prefix_scan(curve, {"_top": ("max", F.col("cum_bps"))}, keys, "trade_no")
     peak = F.greatest(F.lit(0.0), F.col("_top"))
     return curve.withColumn("peak_bps", peak).withColumn("drawdown_bps", peak - F.col("cum_bps")).drop("_top")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 from tidemark.operators.blocks import SERIES, with_row_index
 from tidemark.operators.features import FEATURES, HORIZON_BARS
+from tidemark.sources.store import settle
 
 # Fixed values.
 CLIP = (0.05, 0.95)
@@ -70,7 +71,7 @@ def fold_join(rows: DataFrame, folds: DataFrame, keys: Sequence[str], idx: str =
 def labelled_rows(frame: DataFrame, targets: DataFrame) -> DataFrame:
     """Feature rows with their label per horizon, numbered from 0 in time order as ``i``."""
     labels = targets.select(*SERIES, "open_time_ms", "horizon", "y", "target_close")
-    both = frame.join(labels, [*SERIES, "open_time_ms"])
+    both = settle(frame.join(labels, [*SERIES, "open_time_ms"]))
     numbered = with_row_index(both, [*SERIES, "horizon"], ("open_time_ms",), name="_i")
     return numbered.withColumn("i", F.col("_i") - 1).drop("_i")
 
@@ -335,11 +336,14 @@ def calib_in_sample(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _calibrated(preds, preds, keys)
 
 
-def holdout_split(preds: DataFrame, order: Sequence[str], share: float = 0.6, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """First ``share`` of the rows in time order against the rest."""
+def holdout_split(preds: DataFrame, order: Sequence[str], share: float = 0.6, keys: Sequence[str] = (), span: int = 64) -> tuple[DataFrame, DataFrame]:
+    """First ``share`` of the rows in order against the rest.
+
+    ``span`` is the width of ``order[0]`` numbered in one task (``with_row_index``).
+    """
     keyed = preds if keys else preds.withColumn("_all", F.lit(0))
     keys = list(keys) or ["_all"]
-    numbered = with_row_index(keyed, keys, order, name="_r")
+    numbered = settle(with_row_index(keyed, keys, order, span=span, name="_r"))
     sizes = numbered.groupBy(*keys).agg(F.floor(F.max("_r") * share).alias("_cut"))
     cut = numbered.join(sizes, keys)
     first = F.col("_r") <= F.col("_cut")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import SERIES, affine_scan, windowed
 from tidemark.operators.indicators import ema_terms, log_return, realized_vol
+from tidemark.sources.store import settle
 
 # Fixed values.
 COARSE = ("bull", "bear", "chop", "unknown")
@@ -33,7 +34,7 @@ def trend_scores(bars: DataFrame, trend_window: int = 24, vol_window: int = 24)
         f = f.withColumn("log_return", log_return("close", w))
         return f.withColumn("vol_score", realized_vol("log_return", w, vol_window))
 
-    scored = windowed(bars, build, before=vol_window + 1)
+    scored = settle(windowed(bars, build, before=vol_window + 1))
     return affine_scan(scored, {"trend_score": ema_terms(F.col("log_return"), trend_window)})
 
 
@@ -70,6 +71,7 @@ def causal_median(
     by row. No group holds a whole series, and equal values travel as one count.
     """
     keys = list(keys)
+    df = settle(df)
     base = df.withColumn("_blk", F.floor((F.col(idx) - 1) / F.lit(rows))).withColumn("_x", F.col(col))
     cuts = base.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("_x", [i / bands for i in range(1, bands)], bands * 20)).alias("_cuts")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as ind
 from tidemark.operators.blocks import SERIES, affine_scan, prefix_scan, windowed, with_row_index
+from tidemark.sources.store import settle
 
 # Alert thresholds, confluence limits, buy schedule by fear-and-greed band.
 ALERTS = (
@@ -173,7 +174,7 @@ def ema_stack(bars: DataFrame, spans=(9, 21, 50, 200)) -> DataFrame:
 def macd_hist(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Long while the histogram is positive."""
     f = affine_scan(bars, {"_f": ind.ema_terms(F.col("close"), fast), "_s": ind.ema_terms(F.col("close"), slow)})
-    f = f.withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s")
+    f = settle(f.withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s"))
     f = affine_scan(f, {"macd_signal": ind.ema_terms(F.col("macd"), signal)})
     return f.withColumn("histogram", F.col("macd") - F.col("macd_signal")).withColumn("position", (F.col("histogram") > 0).cast("int"))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
+from tidemark.sources.store import scratch_dir, settle
 
 # Quoted level added to the small tick values, and the tick venues.
 PRICE_BASE = 10000.0
@@ -22,27 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder of the session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage at a table that survives lost executors, and keeps later plans from
-    scanning the raw events once per branch. Called on bars and ledgers, which are far
-    smaller than the ticks they come from.
-    """
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _DERIVED: dict[tuple[str, str, str], str] = {}
 
 

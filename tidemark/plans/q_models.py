@@ -29,7 +29,7 @@ def _purge():
 
 def labelled(spark, d):
     bars = I.hourly(spark, d)
-    return I.derived(spark, d, "labelled", lambda: M.labelled_rows(I.settle(X.feature_frame(bars)), X.direction_target(bars)))
+    return I.derived(spark, d, "labelled", lambda: M.labelled_rows(X.feature_frame(bars), X.direction_target(bars)))
 
 
 def folds(spark, d):
