@@ -138,7 +138,7 @@ def ece_from_pairs(pairs: DataFrame, keys: Sequence[str], bins: int = ECE_BINS,
     probabilities of a bucket.
     """
     keys = list(keys)
-    spanned = pairs.withColumn("_span", F.floor(F.col("p") * PROB_SPAN))
+    spanned = settle(pairs).withColumn("_span", F.floor(F.col("p") * PROB_SPAN))
     totals = spanned.groupBy(*keys, "_span").agg(F.sum("c").alias("_c"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
