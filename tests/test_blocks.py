@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks as K
@@ -94,3 +95,33 @@ def test_causal_median_is_exact_with_ties_and_many_blocks(series, col):
     got = rows(R.causal_median(df, col, "m", rows=32, bands=16), "m")
     want = pdf.groupby("series_id")[col].transform(lambda s: s.expanding().median())
     assert np.allclose(got["m"], want)
+
+
+@pytest.mark.parametrize("before,after", [(19, 0), (7, 5)])
+def test_a_block_holds_its_rows_and_the_halo_only(series, before, after):
+    df, _ = series
+
+    def build(f, w):
+        return f.withColumn("held", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+    out = K.windowed(df, build, before=before, after=after, rows=40)
+    assert out.count() == df.count()
+    assert out.agg(F.max("held")).first()[0] <= 40 + before + after
+
+
+def test_ticks_are_aggregated_by_hash_before_the_shuffle(spark):
+    from tidemark.operators.bars import tick_to_bar
+
+    ticks = spark.range(1000).select(F.lit("hot").alias("series_id"), (F.col("id") * 60_000_000).alias("ts_us"), F.col("id").alias("event_id"), F.rand(1).alias("price"), F.lit(1.0).alias("size"))
+    bars = tick_to_bar(ticks)
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+    assert bars.count() == 17
+
+
+def test_ticks_of_one_instant_are_ordered_by_id(spark):
+    from tidemark.operators.bars import tick_to_bar
+
+    rows = [("s", 5, i, float(i), 1.0) for i in (3, 1, 2)]
+    bar = tick_to_bar(spark.createDataFrame(rows, "series_id string, ts_us long, event_id long, price double, size double")).first()
+    assert (bar.open, bar.close, bar.high, bar.low) == (1.0, 3.0, 3.0, 1.0)

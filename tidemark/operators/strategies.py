@@ -354,6 +354,7 @@ def rainbow_fit(bars: DataFrame, bands: int = 9) -> DataFrame:
     return gap.join(ends, list(SERIES)).withColumn("band", F.least(F.floor(place), F.lit(bands - 1)).cast("int")).drop("_lo", "_hi")
 
 
+# Weight, buy rule and sell rule of each indicator.
 COMPOSITE = {
     "nupl": (0.20, lambda c: c < 0, lambda c: c > 0.75),
     "mvrv_z": (0.20, lambda c: c < 1, lambda c: c > 6),
