@@ -68,18 +68,23 @@ def components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], rows_per_block: int = 50_000, total: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: list[Column]) -> DataFrame:
     """Add ``rank`` (from 0, gapless) within ``keys`` without putting a key into one task.
 
-    Rows are spread over hash blocks; each block is numbered on its own and starts where the
-    blocks before it end. The blocks are few (rows / ``rows_per_block``), so one window over
-    their counts is small.
+    ``spread`` are columns that part the rows of a key into blocks of bounded size (see
+    ``block_of``). Each block is numbered on its own and starts where the blocks before it end.
+    The blocks are few (rows / rows per block), so one window over their counts is small.
     """
-    n = df.count() if total is None else total
-    blocks = max(1, -(-n // rows_per_block))
-    placed = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
-    counts = placed.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    parts = [f"_b{i}" for i in range(len(spread))]
+    placed = df.withColumns(dict(zip(parts, spread, strict=True)))
+    counts = placed.groupBy(*keys, *parts).agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy(*parts).rowsBetween(W.unboundedPreceding, -1)
     starts = counts.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inner = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order)) - 1
-    return placed.withColumn("_in", inner).join(starts, [*keys, "_block"]).withColumn("rank", (F.col("_from") + F.col("_in")).cast("long")).drop("_from", "_in", "_block")
+    inner = F.row_number().over(W.partitionBy(*keys, *parts).orderBy(*order)) - 1
+    both = placed.withColumn("_in", inner).join(starts, [*keys, *parts])
+    return both.withColumn("rank", (F.col("_from") + F.col("_in")).cast("long")).drop("_from", "_in", *parts)
+
+
+def block_of(column: Column, rows: int, rows_per_block: int = 50_000) -> Column:
+    """The hash block of a row, for ``ranked``; never null."""
+    return F.pmod(F.xxhash64(column), F.lit(max(1, -(-rows // rows_per_block)))).cast("int")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate
+from tidemark.llm import decontaminate, langid, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +48,13 @@ FROM dw LEFT JOIN hit ON hit.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw
 @query("op7_decontaminate", OP7_SQL)
 def op7(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op10_shard_by_propagation")
+def op10(spark, sf_dir):
+    return sharding.digest(table(spark, sf_dir, "documents"))
