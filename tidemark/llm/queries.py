@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, langid, sharding
+from tidemark.llm import chat, decontaminate, langid, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,29 @@ def op8(spark, sf_dir):
 @query("op10_shard_by_propagation")
 def op10(spark, sf_dir):
     return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op4_warc_derivatives")
+def op4(spark, sf_dir):
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\[<|\\\\]', '', 'g')) AS body, length(role) + length(regexp_replace(role, '[^\\[<|\\\\]', '', 'g')) AS head FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(body + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 WHEN 'system' THEN 17 ELSE 11 + head END) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
+@query("op6_chat_format", OP6_SQL)
+def op6(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(extra)
+    return chat.read_back(chat.format_conversations(turns))
