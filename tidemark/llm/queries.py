@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, langid, sharding, warc
+from tidemark.llm import chat, decontaminate, langid, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op6(spark, sf_dir):
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(extra)
     return chat.read_back(chat.format_conversations(turns))
+
+
+@query("op3_quality_mcd")
+def op3(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"))
