@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, langid, quality, sharding, warc
+from tidemark.llm import chat, decontaminate, langid, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op6(spark, sf_dir):
 @query("op3_quality_mcd")
 def op3(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op5_secret_scan")
+def op5(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
