@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, langid, quality, secrets, sharding, warc
+from tidemark.llm import chat, decontaminate, langid, mixing, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +94,8 @@ def op3(spark, sf_dir):
 @query("op5_secret_scan")
 def op5(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op1_mix_to_targets")
+def op1(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
