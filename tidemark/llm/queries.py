@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, langid, mixing, quality, secrets, sharding, warc
+from tidemark.llm import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +99,8 @@ def op5(spark, sf_dir):
 @query("op1_mix_to_targets")
 def op1(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_jaccard_join")
+def op9(spark, sf_dir):
+    return jaccard.digest(table(spark, sf_dir, "documents"))
