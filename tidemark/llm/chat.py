@@ -87,24 +87,42 @@ def _differ(a: str, b: str, sure: int) -> tuple[int, int]:
     return head, tail
 
 
-def spans_of(template, messages: list[Message]) -> tuple[str, bool, list[dict]]:
-    """Rendered text, whether the template rewrites history, and the span of every turn."""
-    before, spans, rewrites = template.render([]), [], False
-    for k, (role, text) in enumerate(messages):
-        prefix = messages[:k]
-        out = template.render([*prefix, (role, text)])
-        rewrites |= not out.startswith(before)
-        one, two = template.render([*prefix, (role, "x")]), template.render([*prefix, (role, "y")])
-        head, tail = _differ(one, two, len(before) if one.startswith(before) and two.startswith(before) else 0)
-        spans.append({"role": role, "start": len(before), "end": len(out), "text_start": head, "text_end": len(out) - tail, "loss": role == "assistant"})
-        before = out
-    if rewrites:
+def _added(template, context: list[Message], turn: Message) -> tuple[str, bool, int, int]:
+    """What a turn adds after its context, whether that rewrites it, and where its text lies."""
+    role, _ = turn
+    before, out = template.render(context), template.render([*context, turn])
+    one, two = template.render([*context, (role, "x")]), template.render([*context, (role, "y")])
+    head, tail = _differ(one, two, len(before) if one.startswith(before) and two.startswith(before) else 0)
+    return out[len(before) :], not out.startswith(before), head - len(before), len(out) - tail - len(before)
+
+
+def spans_of(template, messages: list[Message], near: int = 8) -> tuple[str, bool, list[dict]]:
+    """Rendered text, whether the template rewrites history, and the span of every turn.
+
+    A turn is rendered after its prefix, or, beyond ``near`` turns, after the first turn and the
+    ``near`` before it; the whole conversation rendered at once must then be the pieces put
+    together. If it is not, the template looks further back and every whole prefix is rendered.
+    """
+    full = template.render(messages)
+    for local in (True, False):
+        at, spans, pieces, rewrites = len(template.render([])), [], [template.render([])], False
+        for k, (role, text) in enumerate(messages):
+            context = messages[:k] if k <= near or not local else [messages[0], *messages[k - near : k]]
+            piece, rewritten, start, end = _added(template, context, (role, text))
+            rewrites |= rewritten
+            spans.append({"role": role, "start": at, "end": at + len(piece), "text_start": at + start, "text_end": at + end, "loss": role == "assistant"})
+            pieces.append(piece)
+            at += len(piece)
+        if "".join(pieces) == full:
+            break
+    if rewrites or "".join(pieces) != full:
+        rewrites = True
         for k, (role, _) in enumerate(messages):
             one, two = (template.render([*messages[:k], (role, c), *messages[k + 1 :]]) for c in "xy")
             head, tail = _differ(one, two, 0)
-            end = len(before) - tail if one != two else head
+            end = len(full) - tail if one != two else head
             spans[k] |= {"start": head, "end": max(head, end), "text_start": head, "text_end": max(head, end)}
-    return before, rewrites, spans
+    return full, rewrites, spans
 
 
 def format_conversations(turns: DataFrame, template=None) -> DataFrame:
