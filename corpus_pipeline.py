@@ -1,5 +1,67 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""From raw documents to shards: language, near copies, contamination, mixture, shards.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again as the next stage's documents. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, jaccard, langid, mixing, sharding
+from tidemark.sources.store import settle
+
+#: Probability below which a language is not trusted.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts without letters or a clear language go."""
+    known = langid.identify(docs).filter((F.col("_lang.lang") != langid.UNKNOWN) & (F.col("_lang.score") >= LEAST_SCORE))
+    return known.drop("_lang")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near copies.
+
+    Rows without an id are linked with nothing and stay. Of rows that share an id the one whose
+    text hashes lowest stays; only such rows are sorted.
+    """
+    found = jaccard.link(docs)
+    stay = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = docs.join(settle(stay), "doc_id")
+    single = kept.filter("_rows = 1").select(docs.columns)
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    several = kept.filter("_rows > 1").withColumn("_k", F.row_number().over(order)).filter("_k = 1").select(docs.columns)
+    return single.unionAll(several).unionAll(docs.filter("doc_id IS NULL"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not hold a contaminating share of benchmark passages."""
+    marked = decontaminate.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.filter(~decontaminate.contaminated()).drop("_marked")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their domains ask for."""
+    return mixing.realise(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
+    return sharding.digest(docs)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("mixture", mixture), ("shards", shards)]
+
+#: Language, mixture and label propagation have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

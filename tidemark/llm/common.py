@@ -20,8 +20,8 @@ def first_of(found: list, default=None):
     return found[0] if found else default
 
 
-def sum_vectors(parts: DataFrame, dtype: str = "int64", fan: int = 32) -> np.ndarray | None:
-    """Sum of the vectors in column ``vec`` (binary, one length); None where there is none.
+def sum_vectors(parts: DataFrame, dtype: str = "int64", fan: int = 32, join=np.add) -> np.ndarray | None:
+    """Sum (or other ``join``) of the vectors in column ``vec`` (binary, one length), or None.
 
     One vector per input task arrives; they are added in two rounds of streaming tasks, so
     no task and not the driver holds more than one sum and one batch.
@@ -32,7 +32,7 @@ def sum_vectors(parts: DataFrame, dtype: str = "int64", fan: int = 32) -> np.nda
         for batch in batches:
             for raw in batch["vec"]:
                 v = np.frombuffer(raw, dtype=dtype)
-                total = v.copy() if total is None else total + v
+                total = v.copy() if total is None else join(total, v)
         if total is not None:
             yield pd.DataFrame({"vec": [total.tobytes()]})
 

@@ -39,7 +39,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dt
 _SEEN: dict[bytes, int] = {}
 
 
-def _numbers(words: list[bytes]) -> np.ndarray:
+def word_numbers(words: list[bytes]) -> np.ndarray:
     """A 64-bit number for each word; known words are kept between documents."""
     if len(_SEEN) > 400_000:
         _SEEN.clear()
@@ -57,7 +57,7 @@ def shingles(raw: bytes | None) -> np.ndarray:
     words = [] if raw is None else raw.lower().split()
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], dtype=np.uint64)
-    n = _numbers(words)
+    n = word_numbers(words)
     h = np.zeros(len(n) - SHINGLE + 1, dtype=np.uint64)
     for k in range(SHINGLE):
         h = (h + n[k : len(n) - SHINGLE + 1 + k]) * _MIX[k % len(_MIX)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, warc
+from tidemark.llm import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,20 @@ def op1(spark, sf_dir):
 @query("op9_jaccard_join")
 def op9(spark, sf_dir):
     return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, CAST(greatest(len(ws) - 18, 1) AS BIGINT))) AS p FROM w)),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS k FROM p) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT q) AS qs FROM (SELECT doc_id, unnest(range(p, p + 20)) AS q FROM dup) GROUP BY doc_id),
+q AS (SELECT doc_id, q, ws[q] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS q FROM w)),
+kept AS (SELECT q.doc_id, string_agg(word, ' ' ORDER BY q.q) AS t FROM q LEFT JOIN (SELECT doc_id, unnest(qs) AS q FROM gone) g ON g.doc_id = q.doc_id AND g.q = q.q WHERE g.q IS NULL GROUP BY q.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+
+@query("op2_substring_dedup", OP2_SQL)
+def op2(spark, sf_dir):
+    return substrings.digest(table(spark, sf_dir, "documents"))
