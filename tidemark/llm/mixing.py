@@ -3,7 +3,7 @@
 A multinomial naive Bayes classifier over hashed words learns the domains from a labelled table
 (every labelled document counts) and gives each document a posterior over the domains. Document
 rates r >= 0 then minimise the squared gap between the expected tokens of each domain,
-sum(r * tokens * posterior), and its target, by accelerated projected gradient from r = 1. The
+sum(r * tokens * posterior), and its target, in relation to the domain's tokens, by accelerated projected gradient from r = 1. The
 gradient of a document depends on its posterior alone, so a step is one aggregation of the small
 table (id, tokens, posterior) to one sum per domain; only these sums reach the driver, and the
 rates stay an expression over the posterior.
@@ -71,7 +71,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Posterior:
     words = {(r["k"], r["s"]): r["n"] for r in joined.select("k", F.explode("s").alias("s")).groupBy("k", "s").agg(F.count("*").alias("n")).collect()}
     size = {r["k"]: r["n"] for r in known.groupBy("k").agg(F.count("*").alias("n")).collect()}
     n = range(len(DOMAINS))
-    prior = [math.log((size.get(k, 0) + (0.5 if k == 0 or size else 1e-9)) / (sum(size.values()) + 1)) for k in n]
+    # A domain without a labelled document has no members.
+    prior = [math.log(size[k] / sum(size.values())) if size.get(k) else (0.0 if not size and k == 0 else -1e30) for k in n]
     total = [sum(c for (d, _), c in words.items() if d == k) for k in n]
     logp = [[math.log((words.get((k, s), 0) + 0.5) / (total[k] + 0.5 * SLOTS)) for s in range(SLOTS)] for k in n]
     return Posterior(prior, [[round(a - b, 5) for a, b in zip(logp[k], logp[0], strict=True)] for k in n[1:]])
@@ -106,15 +107,16 @@ def solve(members: DataFrame, weights: dict[str, float] = WEIGHTS, steps: int =
     start = cells.agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"p{k}")), F.lit(0.0)).alias(f"e{k}") for k in range(n)], F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     # The clean domain keeps its tokens; the others get their weights beside it.
     target = [start["e0"] * weights[d] / weights[DOMAINS[0]] for d in DOMAINS]
-    step = 1.0 / max(1.0, float(start["t"]))
+    # Gaps count in relation to the tokens a domain starts with: then no step is too long.
+    step = [1.0 / start[f"e{k}"] if start[f"e{k}"] > 0 else 0.0 for k in range(n)]
     at, before, speed = [0.0] * n, [0.0] * n, 1.0
     for _ in range(steps):
         ahead = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
         look = [a + (speed - 1) / ahead * (a - b) for a, b in zip(at, before, strict=True)]
         sums = cells.agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"p{k}") * _rate(look)), F.lit(0.0)).alias(f"e{k}") for k in range(n)]).first()
         gap = [sums[f"e{k}"] - target[k] for k in range(n)]
-        before, at, speed = at, [x - step * g for x, g in zip(look, gap, strict=True)], ahead
-        if sum(abs(g) for g in gap) * step < 1e-6:
+        before, at, speed = at, [x - h * g for x, h, g in zip(look, step, gap, strict=True)], ahead
+        if max(abs(h * g) for h, g in zip(step, gap, strict=True)) < 1e-5:
             break
     reached = members.agg(*[F.sum(F.col("tokens") * F.col(f"p{k}") * _rate(at)).alias(f"e{k}") for k in range(n)]).first()
     return _rate(at), {d: (target[k], reached[f"e{k}"]) for k, d in enumerate(DOMAINS)}

@@ -42,6 +42,7 @@ KINDS = ("assign", "access", "hex", "markov")
 _SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 _WIDTH = 128  # cells are from * 128 + to, over ASCII codes
 _SIGNS = 66
+_BACK = 10.0  # weight of the single characters behind the pairs
 
 
 def _prefix(a: Column) -> Column:
@@ -111,9 +112,14 @@ def train(found: DataFrame, docs: DataFrame, samples: DataFrame | None = None) -
             own = _counts(samples.filter(F.col("random") == label).select(F.regexp_replace("value", signs, "").alias("v")))
             counts = {c: counts.get(c, 0) + own.get(c, 0) for c in {*counts, *own}}
         rows: dict[int, int] = {}
+        ends: dict[int, int] = {}
         for cell, n in counts.items():
             rows[cell // _WIDTH] = rows.get(cell // _WIDTH, 0) + n
-        both.append([math.log((counts.get(c, 0) + 0.5) / (rows.get(c // _WIDTH, 0) + 0.5 * _SIGNS)) for c in range(_WIDTH * _WIDTH)])
+            ends[cell % _WIDTH] = ends.get(cell % _WIDTH, 0) + n
+        total = sum(counts.values())
+        alone = [(ends.get(c, 0) + 0.5) / (total + 0.5 * _SIGNS) for c in range(_WIDTH)]
+        # A pair that was never seen falls back on how common its second character is.
+        both.append([math.log((counts.get(c, 0) + _BACK * alone[c % _WIDTH]) / (rows.get(c // _WIDTH, 0) + _BACK)) for c in range(_WIDTH * _WIDTH)])
     return [round(a - b, 6) for a, b in zip(*both, strict=True)]
 
 

@@ -168,6 +168,12 @@ def _runs(*columns: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _stretches(*columns: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the stretches that ``_runs`` finds."""
+    first = _runs(*columns, start=start).tolist() if len(start) else []
+    return zip(first, [*first[1:], len(start)][: len(first)], strict=True)
+
+
 def _send(filters) -> object:
     """Repeats settled inside the block, and the suffixes that other tasks must see."""
 
@@ -187,13 +193,11 @@ def _send(filters) -> object:
             frequent = Filters.holds(f.frequent, prefix, HOT_BITS)
             out = []
             at = np.flatnonzero(later)
-            first = _runs(doc[at], start=start[at])
-            for lo, hi in zip(first, [*first[1:], len(at)], strict=True):
+            for lo, hi in _stretches(doc[at], start=start[at]):
                 i = at[lo]
                 out.append((int(ids[i]) * 31 + int(start[i]) // 64, ids[i], hs[i], start[i], hi - lo, None))
             at = np.flatnonzero(~later & ~frequent)
-            first = _runs(doc[at], prefix[at].view(np.int64), start=start[at])
-            for lo, hi in zip(first, [*first[1:], len(at)], strict=True):
+            for lo, hi in _stretches(doc[at], prefix[at].view(np.int64), start=start[at]):
                 i = at[lo]
                 out.append((prefix[i].view(np.int64), ids[i], hs[i], start[i], hi - lo, code[at[lo:hi]].tobytes()))
             for i in np.flatnonzero(~later & frequent):
@@ -244,8 +248,8 @@ def _deep(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     doc, h, start = doc[later], h[later], start[later]
     order = np.lexsort((start, h, doc))
     doc, h, start = doc[order], h[order], start[order]
-    first = _runs(doc, h, start=start)
-    if len(first):
+    if len(start):
+        first = _runs(doc, h, start=start)
         yield pd.DataFrame({"doc": doc[first], "h": h[first], "start": start[first], "len": np.diff([*first, len(doc)]).astype(np.int32)})
 
 
