@@ -10,7 +10,7 @@ from tidemark.operators import gates as G
 from tidemark.operators import modeling as M
 from tidemark.operators import regime as R
 from tidemark.operators import strategies as T
-from tidemark.operators.textscan import digest_window_scan, phrase_scan
+from tidemark.operators.textscan import catalogue, digest_window_scan, phrase_scan
 from tidemark.sources import jsonl, snapshots
 from tidemark.sources.synthetic import synthetic_bars
 
@@ -153,10 +153,22 @@ def test_digest_window_crosses_chunk_borders(spark):
     assert digest_window_scan(docs, "doc_id", broken, 12).count() == 0
 
 
-def test_phrases_skip_comments_and_disclaimers(spark):
-    docs = spark.createDataFrame([(1, "You should act. Guaranteed!"), (2, "/* guaranteed */ fine"), (3, "  // you should\nfine"), (4, "Guaranteed? Not financial advice.")], "doc_id long, text string")
-    got = {(r.doc_id, r.phrase) for r in phrase_scan(docs, "doc_id").collect()}
-    assert got == {(1, "you should"), (1, "guaranteed")}
+def test_phrases_skip_comments_and_disclaimer_lines(spark):
+    rows = [(1, "You should act. Guaranteed!"), (2, "/* guaranteed */ fine"), (3, "  // you should\nfine"), (4, "Guaranteed? Not financial advice."),
+            (5, "No buy. Not financial advice.\nUncapped, sin tope\n12% projected savings vs AWS"), (6, "MVRV Z-Score: 0.41 and mvrv z-score: 0.41"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.kind, r.phrase) for r in phrase_scan(docs, "doc_id", catalogue(spark)).collect()}
+    assert {(i, p) for i, k, p in got if k == "term"} == {(1, "you should"), (1, "guaranteed")}
+    assert {(i, p) for i, k, p in got if k == "stale"} == {(6, "MVRV Z-Score: 0.41")}
+    assert [i for i, k, _ in got if k == "pattern"] == [5, 5]
+
+
+def test_digest_window_of_a_very_long_text(spark):
+    import hashlib
+
+    secret = spark.createDataFrame([(hashlib.sha256(b"needle-in-hay").hexdigest(),)], "digest string")
+    docs = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat(F.repeat(F.lit("\n"), 5_000_000), F.lit("needle-in-hay")).alias("text"))
+    assert digest_window_scan(docs, "doc_id", secret, 13).count() == 1
 
 
 def test_merge_is_idempotent_and_first_writer_wins(spark):

@@ -24,7 +24,7 @@ def briefing_passthrough(
 
     ready = F.col("display_ready")
     acc = [ready.alias("display_ready"), F.col("n"), *[F.when(ready, F.col(f)).alias(f) for f in ACCURACY_FIELDS],
-           F.when(~ready, F.format_string("Insufficient resolved forecasts for display (n=%d)", F.col("n"))).alias("note")]
+           F.when(~ready, F.format_string("accuracy withheld: only %d forecasts resolved", F.col("n"))).alias("note")]
     parts = [
         section(health, "source_health", [F.col("overall")]),
         section(levels, "key_levels", [F.col("status"), F.col("degraded"), F.struct(*LEVEL_FIELDS).alias("values"), F.col("notes")]),

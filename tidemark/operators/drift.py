@@ -140,7 +140,7 @@ def drift_run(errors: DataFrame, features: DataFrame, keys: Sequence[str], ph: d
 def retrain_candidate(snapshots: DataFrame, keys: Sequence[str], regimes: DataFrame | None = None) -> DataFrame:
     """Trigger rows (detectors that fired) per stream, joined with regime metrics when given."""
     trig = snapshots.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("alarm_count") > 0, F.col("detector")))).alias("triggers"),
+        F.array_sort(F.collect_set(F.when(F.col("alarm_count") > 0, F.col("detector")))).alias("triggers"),
         F.max("n").alias("sample_size"),
         F.sum("alarm_count").alias("alarms"),
     )

@@ -24,7 +24,7 @@ MOMENTUM_SCALE = 25.0
 L2 = 0.01
 RELIABILITY_BINS = 10
 ECE_MIN_N, ECE_MIN_BINS = 20, 3
-RULES = ("majority", "last_direction", "momentum", "mean_reversion", "siie_lite", "sma24_rule")
+RULES = ("majority", "last_direction", "momentum", "mean_reversion", "siie_lite", "sma24_rule", "random")
 
 
 # ── folds ────────────────────────────────────────────────────────────────────
@@ -126,8 +126,10 @@ def base_sma24_rule(raw_sma24_rel: Column) -> Column:
     return F.when(raw_sma24_rel >= 0, 0.55).otherwise(0.45)
 
 
-def base_random(seed: int = 1337) -> Column:
-    return F.rand(seed)
+def base_random(keys: Sequence[str], seed: int = 1337) -> Column:
+    """A number in [0, 1) from a hash of the row's keys: the same wherever the row is computed."""
+    row = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(row.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def rule_predictions(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -142,6 +144,7 @@ def rule_predictions(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
         "mean_reversion": base_mean_reversion(ret),
         "siie_lite": base_siie_lite(F.col("ema_distance"), F.col("rsi_14"), F.col("regime")),
         "sma24_rule": base_sma24_rule(F.col("sma24_rel")),
+        "random": base_random([*keys, "fold_id", "i"]),
     }
     rows = [F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in made.items()]
     return test.select(*keys, "fold_id", "i", "n_train", "y", "regime", F.col("close").alias("entry"), F.col("target_close").alias("exit"), F.inline(F.array(*rows)))
@@ -295,7 +298,7 @@ def candidate_decision(pooled: DataFrame, majority: DataFrame, by: Sequence[str]
             F.when(F.col("hit").isNull(), "candidate did not run"),
             F.when(F.col("hit").isNotNull() & ~ok_hit, "hit does not beat the pooled majority"),
             F.when(F.col("hit").isNotNull() & ~ok_brier, "brier above the best baseline"),
-            F.when(ok_hit & ok_brier, "both selection criteria met"),
+            F.when(ok_hit & ok_brier, "hit and brier both pass"),
         )
     )
     return j.withColumn("selected", ok_hit & ok_brier).withColumn("reasons", reasons)

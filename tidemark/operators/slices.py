@@ -108,14 +108,20 @@ def experiment_id(name: Column) -> Column:
 def experiments(ranked: DataFrame) -> DataFrame:
     """Follow-up experiments for the best tradeable slices beyond a plain horizon."""
     plain = F.col("slice").startswith("horizon=") & ~F.col("slice").contains("|")
-    return top(tradeable(ranked), TOP_EXPERIMENTS).filter(~plain).withColumn("experiment_id", experiment_id(F.col("slice")))
+    return top(tradeable(ranked), TOP_EXPERIMENTS).filter(~plain).withColumns({"experiment_id": experiment_id(F.col("slice")), "hypothesis": hypothesis()})
+
+
+def hypothesis() -> Column:
+    """What a follow-up on the slice would have to show, with the numbers it starts from."""
+    return F.concat(F.lit("slice "), F.col("slice"), F.lit(" keeps a positive expectancy beyond n="), F.col("n").cast("string"))
 
 
 def hunt_report(ranked: DataFrame) -> DataFrame:
-    """Long report: section, position, slice and its numbers."""
+    """Long report: section, slice and its numbers; experiments carry their id and hypothesis."""
     cols = ("slice", "n", "hit_rate", "expectancy_maker_2bps", "vs_majority_pp", "score")
     def section(name, df):
-        return df.select(F.lit(name).alias("section"), *cols)
+        more = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("experiment_id", "hypothesis")]
+        return df.select(F.lit(name).alias("section"), *cols, *more)
 
     parts = [
         section("best", best_slice(ranked)),

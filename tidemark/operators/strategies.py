@@ -246,6 +246,14 @@ def obv(bars: DataFrame) -> DataFrame:
     return prefix_scan(f, {"obv": ("sum", F.col("_sv"))}).drop("_sv")
 
 
+def paired(bars: DataFrame, pairs) -> DataFrame:
+    """Closes of two series at the same open time, for every pair of an explicit list."""
+    named = F.array(*[F.struct(F.lit(f"{x}-{y}").alias("pair"), F.lit(s).alias("_s"), F.lit(side).alias("_side")) for x, y in pairs for side, s in (("a", x), ("b", y))])
+    rows = bars.select("series_id", "open_time_ms", "close", F.inline(named)).filter("series_id = _s")
+    both = rows.groupBy("pair", "open_time_ms").agg(*[F.max(F.when(F.col("_side") == s, F.col("close"))).alias(s) for s in ("a", "b")])
+    return both.filter("a IS NOT NULL AND b IS NOT NULL")
+
+
 def rolling_corr(pairs: DataFrame, a: str, b: str, n: int = 30, keys=SERIES) -> DataFrame:
     def build(f, w):
         frame = w.rowsBetween(-(n - 1), 0)

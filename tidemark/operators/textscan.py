@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Trading-advice terms and claim patterns that may not appear in published text.
@@ -30,8 +30,39 @@ FORBIDDEN_TERMS = (
     "risk-free",
     "trading signal",
 )
-CLAIM_PATTERNS = (r"uncapped|no cap\b|no ceiling", r"savings vs\.? *(aws|gcp|azure)", r"fraction of hyperscaler")
+# Claims about earnings, savings and value rank (regular expressions, any case).
+CLAIM_PATTERNS = (
+    r"uncapped|no cap\b|no ceiling|sin tope",
+    r"savings vs\.? *(aws|gcp|azure)|% (projected )?savings vs|fraction of hyperscaler",
+    r"ordered by value|ranked by value|value-ranked",
+)
+# Outdated statements (literal, with case).
+STALE_PHRASES = (
+    "Goldman accumulation signal",
+    "Goldman Sachs institutional accumulation",
+    "Goldman accumulation signals",
+    "ETF inflow April week 1",
+    "Clarity Act regulatory catalyst",
+    "April 2026 ETF flow reversal",
+    "MVRV Z-Score: 0.41",
+    "$69.6M inflows first week April",
+    "+0.024% — elevated but not extreme",
+    "Lightning Network: capacity 5,637 BTC",
+    "780 EH/s — record high",
+    "Cycle day 730 post-halving",
+    "F&G 38 — Fear. Retail exited positions",
+    "$70K psychological resistance",
+    "200 MA distance: 28%",
+)
 EXEMPT = "not financial advice"
+KINDS = ("term", "pattern", "stale")
+
+
+def catalogue(spark: SparkSession, terms: Sequence[str] = (), patterns: Sequence[str] = (), stale: Sequence[str] = ()) -> DataFrame:
+    """The built-in catalogue and more entries as a table (id, kind, phrase)."""
+    own = ((*FORBIDDEN_TERMS, *terms), (*CLAIM_PATTERNS, *patterns), (*STALE_PHRASES, *stale))
+    rows = [(kind, phrase) for kind, phrases in zip(KINDS, own, strict=True) for phrase in phrases]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, kind string, phrase string")
 
 
 def strip_comments(text: Column) -> Column:
@@ -39,33 +70,39 @@ def strip_comments(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")
 
 
-def phrase_scan(
-    docs: DataFrame, key: str, text: str = "text", terms: Sequence[str] = FORBIDDEN_TERMS, patterns: Sequence[str] = CLAIM_PATTERNS
-) -> DataFrame:
-    """(key, phrase, kind) for every term or pattern a document holds; one pass, no join."""
+def phrase_scan(docs: DataFrame, key: str, phrases: DataFrame, text: str = "text") -> DataFrame:
+    """(key, phrase, kind) for every entry of the catalogue a document holds.
+
+    The catalogue (id, kind, phrase) is a small table of rules; its entries become expressions of
+    one pass over the documents, without a join. Terms and patterns ignore case, stale phrases do
+    not. A line that holds the disclaimer is left out for terms, which it negates; the other
+    lines of the document are still scanned.
+    """
     raw = F.col(text)
     marked = F.contains(raw, F.lit("//")) | F.contains(raw, F.lit("/*"))
-    body = docs.select(key, F.lower(F.when(marked, strip_comments(raw)).otherwise(raw)).alias("_t"))
-    t = F.col("_t")
-    hits = [F.when(F.contains(t, F.lit(p)), F.struct(F.lit(p).alias("phrase"), F.lit("term").alias("kind"))) for p in terms]
-    hits += [F.when(t.rlike(p), F.struct(F.lit(p).alias("phrase"), F.lit("pattern").alias("kind"))) for p in patterns]
+    body = docs.select(key, F.when(marked, strip_comments(raw)).otherwise(raw).alias("_b")).withColumn("_t", F.lower("_b"))
+    exempt = F.contains("_t", F.lit(EXEMPT))
+    body = body.withColumn("_x", F.when(exempt, F.regexp_replace("_t", f"[^\n]*{EXEMPT}[^\n]*", "")).otherwise(F.col("_t")))
+    tests = {"term": lambda p: F.contains("_x", F.lit(p)), "pattern": lambda p: F.col("_t").rlike(p), "stale": lambda p: F.contains("_b", F.lit(p))}
+    rules = phrases.orderBy("id").collect()
+    hits = [F.when(tests[r["kind"]](r["phrase"]), F.struct(F.lit(r["phrase"]).alias("phrase"), F.lit(r["kind"]).alias("kind"))) for r in rules]
     # The outer generator keeps the optimizer from repeating all tests in a filter below it.
-    found = F.when(~F.contains(t, F.lit(EXEMPT)), F.array_compact(F.array(*hits)))
-    return body.withColumn("_h", found).select(key, F.inline_outer("_h")).filter("phrase IS NOT NULL")
+    return body.withColumn("_h", F.array_compact(F.array(*hits))).select(key, F.inline_outer("_h")).filter("phrase IS NOT NULL")
 
 
 def digest_window_scan(docs: DataFrame, key: str, digests: DataFrame, n: int, text: str = "text", chunk: int = 256) -> DataFrame:
     """(key, digest) where some n-character window hashes to a wanted SHA-256.
 
-    Texts are cut into overlapping chunks first, so that a window costs at most a chunk
-    to reach; windows with NUL, CR or LF are skipped before hashing. The windows stream
-    into the join with the digests; nothing is grouped before a hit. Characters count as
-    code points (the secrets are ASCII).
+    One regular expression cuts a text into pieces of ``chunk`` characters, in time linear in
+    its length; each piece takes the head of the next, so that every window lies in one piece
+    (``chunk`` must be at least n). Windows with NUL, CR or LF are skipped before hashing and
+    stream into the join with the digests; nothing is grouped before a hit. Characters count
+    as code points (the secrets are ASCII).
     """
-    length = F.length(text)
-    chunks = docs.filter(length >= n).select(
-        key, F.col(text).alias("_t"), F.explode_outer(F.sequence(F.lit(1), length - n + 1, F.lit(chunk))).alias("_from")
-    ).select(key, "_from", F.substring("_t", F.col("_from"), F.lit(chunk + n - 1)).alias("_c"))
+    size = max(chunk, n)
+    cut = docs.filter(F.length(text) >= n).select(key, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_p"))
+    joined = F.transform("_p", lambda p, i: F.concat(p, F.coalesce(F.substring(F.get("_p", i + 1), 1, n - 1), F.lit(""))))
+    chunks = cut.select(key, F.posexplode_outer(joined).alias("_from", "_c")).filter(F.length("_c") >= n)
     # Hashing costs far more than moving the text once: spread long documents evenly.
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = chunks.repartition(spread, key, "_from")

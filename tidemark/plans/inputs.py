@@ -21,7 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_DERIVED: dict[tuple[str, str, str], str] = {}
+_DERIVED: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, times and sizes of the input tables, so that changed input is derived anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in found))
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -30,7 +37,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Dat
     The reports of one session read the same stored bars and ledger instead of deriving
     them again; ``forget`` drops them, as the benchmark does before every timing.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _files(spark, sf_dir))
     if key not in _DERIVED:
         path = scratch_dir(spark)
         build().write.parquet(path)

@@ -80,28 +80,36 @@ def ks_window(spark, d):
 
 
 def _streams(spark, d):
-    """Both kinds of stream under one stream name, errors of the 24 h baseline per series."""
-    err = errors(spark, d).filter((_c("model_version") == D.L.BASELINE) & (_c("horizon") == "24h")).select("series_id", "row_idx", "x")
-    return err, prices(spark, d)
+    """Error streams of every model and horizon, and the price stream of every series."""
+    price = [F.lit("price").alias("model_version"), F.lit("1h").alias("horizon")]
+    return errors(spark, d).select(*TAPE_KEYS, "row_idx", "x"), prices(spark, d).select("*", *price)
 
 
 _SNAP = """
-SELECT series_id, '{0}' AS detector, max(row_idx) AS n, count(*) FILTER (alarm) AS alarm_count, max(row_idx) FILTER (alarm) AS last_alarm_at, min(row_idx) FILTER (alarm) AS first_alarm_at
-FROM {1} GROUP BY series_id"""
-_24 = "WHERE model_version = 'v0.1.0-baseline-shadow' AND horizon = '24h'"
-cte("q_snaps", _SNAP.format("page_hinkley", f"(SELECT * FROM q_ph_alarm {_24}) p") + " UNION ALL " + _SNAP.format("ewma", f"(SELECT * FROM q_ew_alarm {_24}) e")
-    + " UNION ALL " + _SNAP.format("kswin", "(SELECT b.series_id, b.row_idx, coalesce(k.alarm, false) AS alarm FROM q_bars b LEFT JOIN q_ks_alarm k ON k.series_id = b.series_id AND k.row_idx = b.row_idx) s"))
+SELECT series_id, model_version, horizon, '{0}' AS detector, max(row_idx) AS n, count(*) FILTER (alarm) AS alarm_count, max(row_idx) FILTER (alarm) AS last_alarm_at, min(row_idx) FILTER (alarm) AS first_alarm_at
+FROM {1} GROUP BY series_id, model_version, horizon"""
+cte("q_snaps", _SNAP.format("page_hinkley", "q_ph_alarm") + " UNION ALL " + _SNAP.format("ewma", "q_ew_alarm")
+    + " UNION ALL " + _SNAP.format("kswin", "(SELECT b.series_id, 'price' AS model_version, '1h' AS horizon, b.row_idx, coalesce(k.alarm, false) AS alarm FROM q_bars b LEFT JOIN q_ks_alarm k ON k.series_id = b.series_id AND k.row_idx = b.row_idx) s"))
 
 
 @query("drift_run", sql("SELECT * FROM q_snaps"))
 def drift_run(spark, d):
     err, feat = _streams(spark, d)
-    return R.drift_run(err, feat, ONE, PH_CONFIG, EWMA_CONFIG).drop("state")
+    return R.drift_run(err, feat, TAPE_KEYS, PH_CONFIG, EWMA_CONFIG).drop("state")
 
 
-@query("drift_alarms", sql("SELECT series_id, model_version, horizon, 'page_hinkley' AS detector, row_idx - 1 AS alarm_at FROM q_ph_alarm WHERE alarm"))
+@query("drift_alarms", sql("""
+SELECT series_id, model_version, horizon, 'page_hinkley' AS detector, row_idx - 1 AS alarm_at FROM q_ph_alarm WHERE alarm
+UNION ALL SELECT series_id, model_version, horizon, 'ewma', row_idx - 1 FROM q_ew_alarm WHERE alarm
+UNION ALL SELECT series_id, 'price', '1h', 'kswin', row_idx - 1 FROM q_ks_alarm WHERE alarm"""))
 def drift_alarms(spark, d):
-    return R.alarm_positions(TAPE_KEYS, R.page_hinkley(errors(spark, d), TAPE_KEYS, **PH_CONFIG), "page_hinkley")
+    err, feat = _streams(spark, d)
+    parts = (
+        R.alarm_positions(TAPE_KEYS, R.page_hinkley(err, TAPE_KEYS, **PH_CONFIG), "page_hinkley"),
+        R.alarm_positions(TAPE_KEYS, R.ewma_drift(err, TAPE_KEYS, **EWMA_CONFIG), "ewma"),
+        R.alarm_positions(TAPE_KEYS, R.ks_window(feat, TAPE_KEYS), "kswin"),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 cte("q_up", """
@@ -122,11 +130,11 @@ def per_regime_metrics(spark, d):
 
 @query("retrain_candidate", sql(f"""
 SELECT t.series_id, t.triggers, t.sample_size, t.alarms, m.regime, m.n, m.brier FROM (
-SELECT series_id, coalesce(string_agg(detector, ',' ORDER BY detector) FILTER (alarm_count > 0), '') AS triggers, max(n) AS sample_size, CAST(sum(alarm_count) AS BIGINT) AS alarms FROM q_snaps GROUP BY 1) t
+SELECT series_id, coalesce(string_agg(DISTINCT detector, ',' ORDER BY detector) FILTER (alarm_count > 0), '') AS triggers, max(n) AS sample_size, CAST(sum(alarm_count) AS BIGINT) AS alarms FROM q_snaps GROUP BY 1) t
 JOIN (SELECT series_id, regime, count(*) AS n, {r('avg((p_up - y) * (p_up - y))', 'brier')} FROM q_up GROUP BY 1, 2) m USING (series_id)"""))
 def retrain_candidate(spark, d):
     err, feat = _streams(spark, d)
-    snaps = R.drift_run(err, feat, ONE, PH_CONFIG, EWMA_CONFIG)
+    snaps = R.drift_run(err, feat, TAPE_KEYS, PH_CONFIG, EWMA_CONFIG)
     regimes = R.per_regime_metrics(_p_up(spark, d), ONE).select("series_id", "regime", "n", "brier")
     out = R.retrain_candidate(snaps, ONE, regimes)
     return report(out.withColumn("triggers", F.concat_ws(",", "triggers")))

@@ -11,13 +11,13 @@ from tidemark.operators import modeling as M
 from tidemark.operators import regime as R
 from tidemark.plans import inputs as I
 from tidemark.plans.oracle import cte, r, sql, wilson
-from tidemark.plans.q_series import over
+from tidemark.plans.q_series import aux_series, over
 from tidemark.plans.registry import query, report
 
 _c = F.col
 KEYS = ("series_id", "horizon")
 N_FOLDS, EMBARGO, MIN_TRAIN = 5, 4, 60
-ML_HORIZON = "24h"
+ML_HORIZONS = ("12h", "24h")
 
 
 def _purge():
@@ -29,7 +29,7 @@ def _purge():
 
 def labelled(spark, d):
     bars = I.hourly(spark, d)
-    return I.derived(spark, d, "labelled", lambda: M.labelled_rows(X.feature_frame(bars), X.direction_target(bars)))
+    return I.derived(spark, d, "labelled", lambda: M.labelled_rows(X.feature_frame(bars, aux_series(spark, d)), X.direction_target(bars)))
 
 
 def folds(spark, d):
@@ -70,6 +70,7 @@ P_SQL = {
     "siie_lite": """greatest(0.05, least(0.95, 0.5 + 0.5 * tanh(8 * emad) + CASE WHEN rsi > 0.4 AND rsi < 0.7 THEN 0.05 WHEN rsi > 0.3 AND rsi < 0.6 THEN -0.02 ELSE 0.0 END
       + CASE regime WHEN 'bull' THEN 0.03 WHEN 'bear' THEN -0.03 ELSE 0.0 END))""",
     "sma24_rule": "CASE WHEN s24 >= 0 THEN 0.55::DOUBLE ELSE 0.45 END",
+    "random": "CAST('0x' || substr(md5(concat_ws('|', t.series_id, t.horizon, t.fold_id, t.i, 1337)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE",
 }
 cte("q_preds", " UNION ALL ".join(
     f"SELECT t.series_id, t.horizon, t.fold_id, t.i, t.y, t.regime, t.close AS entry, t.exit, '{m}' AS model, {p} AS p, h FROM q_placed t JOIN q_rates g ON t.series_id = g.series_id AND t.horizon = g.horizon AND t.fold_id = g.fold_id WHERE part = 'test'"
@@ -110,11 +111,6 @@ for _m in P_SQL:
     _baseline(_m)
 
 
-@query("base_random")
-def base_random(spark, d):
-    return placed(spark, d).filter("part = 'test'").select(*KEYS, "fold_id", "i", M.base_random().alias("p"), "y")
-
-
 @query("oof_validation", sql(f"""
 SELECT horizon, model, 'fold' AS level, CAST(fold_id AS VARCHAR) AS part, {EVAL_SQL} FROM q_preds GROUP BY horizon, model, fold_id
 UNION ALL SELECT horizon, model, 'regime', regime, {EVAL_SQL} FROM q_preds GROUP BY horizon, model, regime
@@ -181,7 +177,7 @@ def economics(spark, d):
 @query("candidate_decision", sql(f"""
 SELECT horizon, {r('hit', 'hit')}, {r('brier', 'brier')}, {r('best', 'best_baseline_brier')}, {r('maj', 'majority_rate')}, hit > maj AND brier <= best AS selected,
   concat_ws(';', CASE WHEN NOT hit > maj THEN 'hit does not beat the pooled majority' END, CASE WHEN NOT brier <= best THEN 'brier above the best baseline' END,
-            CASE WHEN hit > maj AND brier <= best THEN 'both selection criteria met' END) AS reasons FROM (
+            CASE WHEN hit > maj AND brier <= best THEN 'hit and brier both pass' END) AS reasons FROM (
 SELECT horizon, max(hit) FILTER (model = 'mean_reversion') AS hit, max(brier) FILTER (model = 'mean_reversion') AS brier, min(brier) FILTER (model <> 'mean_reversion') AS best,
        max(greatest(up, 1 - up)) FILTER (model = 'mean_reversion') AS maj FROM q_brier GROUP BY 1) x"""))
 def candidate_decision(spark, d):
@@ -193,13 +189,13 @@ def candidate_decision(spark, d):
 
 # ── fitted models ────────────────────────────────────────────────────────────
 def _jobs(spark, d):
-    """Folds present for the fitted horizon: at most N_FOLDS numbers."""
-    found = folds(spark, d).filter(_c("horizon") == ML_HORIZON).select("fold_id").distinct().collect()
-    return [(ML_HORIZON, row.fold_id) for row in sorted(found)]
+    """Folds present for the fitted horizons: at most horizons x N_FOLDS pairs."""
+    found = folds(spark, d).filter(_c("horizon").isin(*ML_HORIZONS)).select("horizon", "fold_id").distinct().collect()
+    return [(row.horizon, row.fold_id) for row in sorted(found)]
 
 
 def _fitted(spark, d, name, make):
-    rows = placed(spark, d).filter(_c("horizon") == ML_HORIZON)
+    rows = placed(spark, d).filter(_c("horizon").isin(*ML_HORIZONS))
     return I.derived(spark, d, f"fit_{name}", lambda: M.fitted_predictions(rows, _jobs(spark, d), make, name))
 
 
@@ -215,7 +211,7 @@ def tree_optional(spark, d):
 
 def _stream(spark, d):
     """Time-ordered out-of-sample stream of one rule model on one horizon."""
-    return rules(spark, d).filter((_c("model") == "siie_lite") & (_c("horizon") == ML_HORIZON))
+    return rules(spark, d).filter((_c("model") == "siie_lite") & _c("horizon").isin(*ML_HORIZONS))
 
 
 @query("platt")
@@ -247,11 +243,20 @@ def calib_holdout(spark, d):
 
 @query("freeze_candidate")
 def freeze_candidate(spark, d):
-    """Final weights on all labelled rows: (feature, weight), intercept last."""
-    rows = labelled(spark, d).filter(_c("horizon") == ML_HORIZON)
-    model = M.freeze_candidate(rows, I.scratch_dir(spark)).stages[-1]
-    pairs = [*zip(X.FEATURES, [float(w) for w in model.coefficients]), ("intercept", float(model.intercept))]
-    return spark.createDataFrame(pairs, "feature string, weight double")
+    """What the issuer loads, per horizon: weights and scaler of the final fit, training rows, and
+    the calibrator fitted on the out-of-sample stream of the same model."""
+    out = []
+    for horizon in ML_HORIZONS:
+        rows = labelled(spark, d).filter(_c("horizon") == horizon)
+        frozen = M.freeze_candidate(rows, I.scratch_dir(spark))
+        scaler, fit = frozen.stages[1], frozen.stages[2]
+        oof = _fitted(spark, d, "logistic", M.logistic).filter(_c("horizon") == horizon)
+        calibrator = M.platt(oof).params
+        out += [(horizon, "weight", f, float(w)) for f, w in zip(X.FEATURES, fit.coefficients, strict=True)]
+        out += [(horizon, "mean", f, float(v)) for f, v in zip(X.FEATURES, scaler.mean, strict=True)]
+        out += [(horizon, "std", f, float(v)) for f, v in zip(X.FEATURES, scaler.std, strict=True)]
+        out += [(horizon, "intercept", "", float(fit.intercept)), (horizon, "platt", "a", calibrator["a"]), (horizon, "platt", "b", calibrator["b"]), (horizon, "n_train", "", float(rows.count()))]
+    return spark.createDataFrame(out, "horizon string, part string, feature string, value double")
 
 
 # ── registry and promotion ───────────────────────────────────────────────────

@@ -220,16 +220,16 @@ def obv(spark, d):
     return report(X.obv(I.hourly(spark, d)).select(*AT, "obv"))
 
 
+PAIRS = (("A", "N"), ("A", "R"), ("N", "R"))
+
+
 @query("rolling_corr", sql(f"""
-SELECT open_time_ms, CASE WHEN n = 30 THEN round(c, 6) + 0.0 END AS corr FROM (
-SELECT *, corr(a, b) OVER (ORDER BY open_time_ms ROWS 29 PRECEDING) AS c, count(*) OVER (ORDER BY open_time_ms ROWS 29 PRECEDING) AS n
-FROM (SELECT x.open_time_ms, x.close AS a, y.close AS b FROM q_daily x JOIN q_daily y ON x.open_time_ms = y.open_time_ms AND x.series_id = 'A' AND y.series_id = 'R') z) w"""))
+SELECT pair, open_time_ms, CASE WHEN n = 30 THEN round(c, 6) + 0.0 END AS corr FROM (
+SELECT *, corr(a, b) OVER (PARTITION BY pair ORDER BY open_time_ms ROWS 29 PRECEDING) AS c, count(*) OVER (PARTITION BY pair ORDER BY open_time_ms ROWS 29 PRECEDING) AS n
+FROM (SELECT x.series_id || '-' || y.series_id AS pair, x.open_time_ms, x.close AS a, y.close AS b FROM q_daily x JOIN q_daily y ON x.open_time_ms = y.open_time_ms AND x.series_id < y.series_id) z) w"""))
 def rolling_corr(spark, d):
-    days = I.daily(spark, d)
-    a = days.filter("series_id = 'A'").select("open_time_ms", _c("close").alias("a"))
-    b = days.filter("series_id = 'R'").select("open_time_ms", _c("close").alias("b"))
-    pairs = with_row_index(a.join(b, "open_time_ms").withColumn("pair", F.lit("A-R")), ("pair",), ("open_time_ms",), span=4096 * 86_400_000)
-    return report(X.rolling_corr(pairs, "a", "b", keys=("pair",)).select("open_time_ms", "corr"))
+    pairs = with_row_index(X.paired(I.daily(spark, d), PAIRS), ("pair",), ("open_time_ms",), span=4096 * 86_400_000)
+    return report(X.rolling_corr(pairs, "a", "b", keys=("pair",)).select("pair", "open_time_ms", "corr"))
 
 
 # ── schedules, sizing, cycles ────────────────────────────────────────────────

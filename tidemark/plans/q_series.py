@@ -150,9 +150,13 @@ def rsi_wilder(spark, d):
     return report(ind.rsi_wilder(I.hourly(spark, d)).select(*AT, "rsi"))
 
 
-# Side series: hourly bars of one venue stand in for derivatives and sentiment snapshots.
+# Side series: hourly venue bars stand in for derivatives and sentiment snapshots; an hour takes
+# the first venue that has one (their order is that of their names).
 def aux_series(spark, d):
-    one = I.settle(B.indexed(I.venue_bars(spark, d).filter("source = 'binance'")))
+    bars = I.venue_bars(spark, d)
+    names = [c for c in bars.columns if c not in ("series_id", "open_time_ms", "source")]
+    best = bars.groupBy("series_id", "open_time_ms").agg(F.min_by(F.struct(*names), "source").alias("b")).select("series_id", "open_time_ms", "b.*")
+    one = I.settle(B.indexed(best))
     return one.select(
         "series_id",
         "row_idx",
@@ -170,7 +174,7 @@ SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY open_time_m
        open_time_ms, close_time_ms AS snapshot_ms,
        CASE WHEN volume > 0 THEN (close - open) / open END AS funding_rate, CASE WHEN volume >= 20 THEN volume END AS open_interest,
        CASE WHEN volume >= 10 THEN floor(high - 10000) END AS fear_greed_value, CASE WHEN volume >= 5 THEN volume * 60.0 END AS freshness_s
-FROM q_venue_bars WHERE source = 'binance'
+FROM (SELECT * FROM q_venue_bars QUALIFY row_number() OVER (PARTITION BY series_id, open_time_ms ORDER BY source) = 1) v
 """)
 cte("q_aligned", """
 SELECT b.*, a.funding_rate, a.open_interest, a.fear_greed_value, a.freshness_s
@@ -286,6 +290,7 @@ FEATURE_SQL = {
     **{f"regime_{x}": f"CAST(coarse = '{x}' AS DOUBLE)" for x in ind.REGIMES},
     "sma24_rel": f"(close - {_SMA24}) / {_SMA24}",
     "sma72_rel": f"(close - {_SMA72}) / {_SMA72}",
+    "down_confirmed": f"CASE WHEN close < {_SMA24} - 1e-9 AND close < {_SMA72} - 1e-9 THEN 1.0 ELSE 0.0 END",
     "ret_4h": ret_sql(4),
     "ret_24h": ret_sql(24),
     **CALENDAR_SQL,
@@ -301,7 +306,7 @@ JOIN q_regime g ON g.series_id = o.series_id AND g.row_idx = o.row_idx
 @query("feature_frame", sql("SELECT series_id, open_time_ms, " + ", ".join(r(v, k, 8) for k, v in FEATURE_SQL.items()) + " FROM q_feature_base"))
 def feature_frame(spark, d):
     frame = X.feature_frame(I.hourly(spark, d), aux_series(spark, d))
-    return report(frame.select(*AT, *[c for c in X.FEATURES if c in FEATURE_SQL]), 8)
+    return report(frame.select(*AT, *X.FEATURES), 8)
 
 
 @query("row_meta", sql(f"""

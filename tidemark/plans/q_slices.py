@@ -55,15 +55,18 @@ def slice_hunt(spark, d):
     return report(H.slice_hunt(D.contrarian(spark, d)))
 
 
+# The reflected CRC-32 of an ASCII text: a number over 255 brings in a byte, a zero shifts a bit.
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[256::BIGINT + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0] for c in string_split(slice, '')])),
+  lambda c, e: CASE WHEN e > 255 THEN xor(c, e - 256) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"""
 _COLS = f"slice, n, {r('hit', 'hit_rate')}, {r('ex * 10000 - 2', 'expectancy_maker_2bps')}, {r('lift', 'vs_majority_pp')}, {r('score', 'score')}"
 
 
 @query("hunt_report", sql(f"""
-SELECT 'top_tradeable' AS section, * FROM (SELECT {_COLS} FROM q_tradeable ORDER BY q_tradeable.score DESC, slice LIMIT 25) a
+SELECT *, NULL AS experiment_id, NULL AS hypothesis FROM (SELECT 'top_tradeable' AS section, * FROM (SELECT {_COLS} FROM q_tradeable ORDER BY q_tradeable.score DESC, slice LIMIT 25) a
 UNION ALL SELECT 'best', * FROM (SELECT {_COLS} FROM q_ranked ORDER BY (n >= 20 AND ex * 10000 - 2 > 0 AND lift > 0) DESC, q_ranked.score DESC, slice LIMIT 1) e
 UNION ALL SELECT 'top_exploratory', * FROM (SELECT {_COLS} FROM q_ranked ORDER BY q_ranked.score DESC, slice LIMIT 40) b
-UNION ALL SELECT 'improvement_target', * FROM (SELECT {_COLS} FROM q_ranked WHERE slice = 'horizon=24h') c
-UNION ALL SELECT 'next_experiments', * FROM (SELECT {_COLS} FROM q_tradeable ORDER BY q_tradeable.score DESC, slice LIMIT 8) d2
+UNION ALL SELECT 'improvement_target', * FROM (SELECT {_COLS} FROM q_ranked WHERE slice = 'horizon=24h') c) plain
+UNION ALL SELECT 'next_experiments', *, 'auto-' || lpad(CAST({CRC} % 10000000 AS VARCHAR), 7, '0'), 'slice ' || slice || ' keeps a positive expectancy beyond n=' || n FROM (SELECT {_COLS} FROM q_tradeable ORDER BY q_tradeable.score DESC, slice LIMIT 8) d2
   WHERE NOT (slice LIKE 'horizon=%' AND slice NOT LIKE '%|%')"""))
 def hunt_report(spark, d):
     return report(H.hunt_report(I.settle(H.slice_hunt(D.contrarian(spark, d)))))

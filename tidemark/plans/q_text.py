@@ -18,24 +18,35 @@ from tidemark.plans.registry import query, report
 
 _c = F.col
 # Words of the test languages are added so that the catalogue finds something.
-TERMS = (*T.FORBIDDEN_TERMS, "licen", "copyright", "http", "password", "the ", "que ")
-PATTERNS = (*T.CLAIM_PATTERNS, r"[a-z0-9]+@[a-z0-9]+\.[a-z]+", r"\+?[0-9]{3}[- ][0-9]{3}")
+TERMS = ("licen", "copyright", "http", "password", "the ", "que ")
+PATTERNS = (r"[a-z0-9]+@[a-z0-9]+\.[a-z]+", r"\+?[0-9]{3}[- ][0-9]{3}")
+STALE = ("The ", "Que ", "token = ")
 
 
 def _quoted(values):
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-cte("q_body", r"""
-SELECT doc_id, lower(regexp_replace(regexp_replace(text, '/\*.*?\*/', '', 'gs'), '^\s*//.*$', '', 'gm')) AS t FROM documents
+# The last line of every seventh document gets a disclaimer that names a term.
+_DISCLAIMED = " The licence is not financial advice."
+cte("q_body", rf"""
+SELECT doc_id, b, lower(b) AS t, regexp_replace(lower(b), '[^\n]*not financial advice[^\n]*', '', 'g') AS x FROM (
+SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN doc_id % 7 = 0 THEN text || '{_DISCLAIMED}' ELSE text END, '/\*.*?\*/', '', 'gs'), '^\s*//.*$', '', 'gm') AS b FROM documents) d
 """)
 
 
-@query("phrase_scan", sql(f"""
-SELECT doc_id, phrase, 'term' AS kind FROM (SELECT *, unnest({_quoted(TERMS)}) AS phrase FROM q_body) x WHERE contains(t, phrase) AND NOT contains(t, 'not financial advice')
-UNION ALL SELECT doc_id, phrase, 'pattern' FROM (SELECT *, unnest({_quoted(PATTERNS)}) AS phrase FROM q_body) x WHERE regexp_matches(t, phrase) AND NOT contains(t, 'not financial advice')"""))
+def _found(kind, phrases, test):
+    return f"SELECT doc_id, phrase, '{kind}' AS kind FROM (SELECT *, unnest({_quoted(phrases)}) AS phrase FROM q_body) x WHERE {test}"
+
+
+@query("phrase_scan", sql(" UNION ALL ".join((
+    _found("term", (*T.FORBIDDEN_TERMS, *TERMS), "contains(x, phrase)"),
+    _found("pattern", (*T.CLAIM_PATTERNS, *PATTERNS), "regexp_matches(t, phrase)"),
+    _found("stale", (*T.STALE_PHRASES, *STALE), "contains(b, phrase)")))))
 def phrase_scan(spark, d):
-    return T.phrase_scan(I.table(spark, d, "documents"), "doc_id", terms=TERMS, patterns=PATTERNS)
+    docs = I.table(spark, d, "documents")
+    docs = docs.withColumn("text", F.when(_c("doc_id") % 7 == 0, F.concat("text", F.lit(_DISCLAIMED))).otherwise(_c("text")))
+    return T.phrase_scan(docs, "doc_id", T.catalogue(spark, TERMS, PATTERNS, STALE))
 
 
 WINDOW = 24
@@ -137,7 +148,7 @@ DATE = "2024-01-31"
 
 @query("briefing_passthrough", sql(f"""
 SELECT 'briefing-' || s.series_id || '-2024-01-31' AS id, s.series_id, true AS levels_available, p.pivot_classic, a.n, a.n >= 20 AS display_ready, CASE WHEN a.n >= 20 THEN a.hit_rate END AS hit_rate,
-       CASE WHEN a.n >= 20 THEN a.ece END AS ece, CASE WHEN a.n < 20 THEN 'Insufficient resolved forecasts for display (n=' || a.n || ')' END AS note, t.fear_greed_value, t.overall, '' AS unavailable
+       CASE WHEN a.n >= 20 THEN a.ece END AS ece, CASE WHEN a.n < 20 THEN 'accuracy withheld: only ' || a.n || ' forecasts resolved' END AS note, t.fear_greed_value, t.overall, '' AS unavailable
 FROM (SELECT DISTINCT series_id FROM q_bars) s LEFT JOIN (SELECT series_id, {PIVOT_SQL} FROM q_d WHERE back = 1) p USING (series_id)
 LEFT JOIN (SELECT x.*, round(e.ece, 6) + 0.0 AS ece FROM (SELECT {finish('series_id')} FROM (SELECT series_id, {BASE_AGGS} FROM q_resolved GROUP BY 1) b) x JOIN q_e e USING (series_id)) a USING (series_id)
 LEFT JOIN (SELECT series_id, last(CAST(size AS INTEGER) ORDER BY ts_us, event_id) AS fear_greed_value, CASE WHEN bool_or(size > 90) THEN 'failed' ELSE 'ok' END AS overall FROM q_ticks GROUP BY 1) t USING (series_id)""",
