@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft membership; DataFrame and SQL functions only.
 
 A multinomial naive Bayes classifier over hashed words learns the domains from a labelled table
-(every labelled document counts) and gives each document a posterior over the domains. Document
+(a bounded sample of its rows) and gives each document a posterior over the domains. Document
 rates r >= 0 then minimise the squared gap between the expected tokens of each domain,
 sum(r * tokens * posterior), and its target, in relation to the domain's tokens, by accelerated projected gradient from r = 1. The
 gradient of a document depends on its posterior alone, so a step is one aggregation of the small
@@ -33,6 +33,8 @@ SLOTS = 1 << 15
 #: What parts words: spaces and the marks of a sentence.
 MARKS = r"[\x20\x09-\x0D.,;:!?]+"
 STEPS = 60
+#: Labelled rows that the classifier is fitted on, at most.
+SAMPLE = 20_000
 #: Weight of each domain in the mix, and the tokens to make per token of the clean domain.
 WEIGHTS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 
@@ -64,10 +66,17 @@ class Posterior:
         return [F.lit(self.prior[0]), *map(score, self.prior[1:], self.ratio)]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Posterior:
-    """Fit on every labelled document; at most slots x domains counts reach the driver."""
-    known = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("k")).filter("k IS NOT NULL")
-    joined = docs.select("doc_id", "text").join(known, "doc_id").select("k", slots(F.col("text")).alias("s"))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior:
+    """Fit on at most ``sample`` labelled documents, those whose ids hash lowest.
+
+    The sample is broadcast, so that no text is shuffled for the training; at most slots x
+    domains counts reach the driver.
+    """
+    known = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("k")).filter("k IS NOT NULL AND doc_id IS NOT NULL")
+    share = 1.2 * sample / max(1, known.count())
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    known = settle(known.withColumn("_at", F.xxhash64("doc_id")).filter(place < share * (1 << 20)).orderBy("_at", "doc_id", "k").limit(sample).drop("_at"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("k", slots(F.col("text")).alias("s"))
     words = {(r["k"], r["s"]): r["n"] for r in joined.select("k", F.explode("s").alias("s")).groupBy("k", "s").agg(F.count("*").alias("n")).collect()}
     size = {r["k"]: r["n"] for r in known.groupBy("k").agg(F.count("*").alias("n")).collect()}
     n = range(len(DOMAINS))
