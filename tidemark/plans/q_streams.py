@@ -31,11 +31,27 @@ def _drain(spark, stream):
     return R.drain(stream, f"{base}/out", f"{base}/state")
 
 
-def _stored(spark, rows):
-    """A table stored as files, read as a stream."""
+FILES = 4
+
+
+def _stored(spark, rows, order=None):
+    """A table stored as ``FILES`` files that arrive one by one, in ``order`` if it is given."""
     path = I.scratch_dir(spark)
-    rows.write.parquet(path)
-    return R.file_stream(spark, path, rows.schema)
+    if order is None:
+        rows.repartition(FILES).write.parquet(path)
+    else:
+        parts = I.settle(rows.withColumn("_part", order))
+        for k in range(FILES):
+            parts.filter(_c("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return R.file_stream(spark, path, rows.schema, per_trigger=1)
+
+
+def _quarter(rows, column):
+    """Which quarter of the time span a row lies in."""
+    ms = F.unix_millis(column)
+    lo, hi = (rows.agg(f(ms)).scalar() for f in (F.min, F.max))
+    at = F.floor((ms - lo) * FILES / (hi - lo + 1))
+    return F.least(at, F.lit(FILES - 1)).cast("int")
 
 
 @query("s_bars", sql(f"""
@@ -46,19 +62,28 @@ def s_bars(spark, d):
     return report(out.withColumn("open_time_ms", F.unix_millis("open_time")).drop("open_time", "close_time"))
 
 
-@query("s_archive", sql("SELECT DISTINCT series_id, open_time_ms FROM q_bars"))
+@query("s_archive", sql(f"""
+SELECT series_id, open_time_ms, source, {r('close', 'close')} FROM q_venue_bars
+QUALIFY row_number() OVER (PARTITION BY series_id, open_time_ms ORDER BY source DESC) = 1"""))
 def s_archive(spark, d):
-    ev = _events(spark, d).select("series_id", F.date_trunc("hour", "ts").alias("open_time"), "price")
-    out = _drain(spark, SB.stream_archive(ev))
-    return out.select("series_id", F.unix_millis("open_time").alias("open_time_ms"))
+    """Venues arrive one after another; the bar of the first one is kept."""
+    bars = I.venue_bars(spark, d).select("series_id", F.timestamp_millis("open_time_ms").alias("open_time"), "source", "close")
+    turn = F.when(_c("source") == "kraken", 0).when(_c("source") == "coinbase", 1).otherwise(2)
+    out = _drain(spark, SB.stream_archive(_stored(spark, bars, turn), delay="60 days"))
+    return report(out.select("series_id", F.unix_millis("open_time").alias("open_time_ms"), "source", "close"))
 
 
-@query("s_resolve", sql(f"SELECT forecast_id, {r('actual_close', 'actual_close')} FROM q_match"))
+_TWO_HOURS = 2 * 3_600_000
+
+
+@query("s_resolve", sql(f"""
+SELECT f.forecast_id, round(m.actual_close, 6) + 0.0 AS actual_close FROM q_forecasts f LEFT JOIN q_match m USING (forecast_id)
+WHERE m.forecast_id IS NOT NULL OR f.target_ms < least((SELECT max(target_ms) FROM q_forecasts), (SELECT max(close_time_ms) FROM q_bars)) - {_TWO_HOURS}"""))
 def s_resolve(spark, d):
     fc = D.forecasts(spark, d).select("forecast_id", "series_id", F.timestamp_millis("target_ms").alias("target_time"))
     bars = I.hourly(spark, d).select("series_id", F.timestamp_millis("close_time_ms").alias("close_time"), "close")
-    out = _drain(spark, SB.stream_resolve(_stored(spark, fc), _stored(spark, bars)))
-    return report(out.filter(_c("close").isNotNull()).select("forecast_id", _c("close").alias("actual_close")))
+    sides = [_stored(spark, rows, _quarter(rows, at)) for rows, at in ((fc, "target_time"), (bars, "close_time"))]
+    return report(_drain(spark, SB.stream_resolve(*sides)).select("forecast_id", _c("close").alias("actual_close")))
 
 
 @query("s_drift", sql("""
@@ -68,20 +93,25 @@ def s_drift(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SD.ROCKSDB)
     try:
         rows = errors(spark, d).select(*TAPE_KEYS, "row_idx", "x")
-        return _drain(spark, SD.stream_drift(_stored(spark, rows), list(TAPE_KEYS), PH_CONFIG, EWMA_CONFIG))
+        return _drain(spark, SD.stream_drift(_stored(spark, rows, F.least(F.floor((_c("row_idx") - 1) / 200), F.lit(FILES - 1)).cast("int")), list(TAPE_KEYS), PH_CONFIG, EWMA_CONFIG))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-@query("s_metrics", sql(f"""
-SELECT model_version, horizon, start_ms, n, hits, {r('ex', 'expectancy_maker_2bps')} FROM (
+DAYS = (7, 30, 90)
+
+
+@query("s_metrics", sql(" UNION ALL ".join(f"""
+SELECT {n} AS days, model_version, horizon, start_ms, n, hits, {r('ex', 'expectancy_maker_2bps')} FROM (
 SELECT model_version, horizon, (issued_ms // 86400000 - k) * 86400000 AS start_ms, count(*) AS n, CAST(sum(o) AS BIGINT) AS hits, avg(signed) * 10000 - 2 AS ex
-FROM (SELECT *, unnest(range(7)) AS k FROM q_resolved) x GROUP BY 1, 2, 3) y
-WHERE start_ms + 7 * 86400000 <= (SELECT max(issued_ms) FROM q_resolved) - 900000"""))
+FROM (SELECT *, unnest(range({n})) AS k FROM q_resolved) x GROUP BY 1, 2, 3) y
+WHERE start_ms + {n}::BIGINT * 86400000 <= (SELECT max(issued_ms) FROM q_resolved) - 900000""" for n in DAYS)))
 def s_metrics(spark, d):
     rows = D.scored(spark, d).select(F.timestamp_millis("issued_ms").alias("issued_at"), "model_version", "horizon", "o", "signed")
-    out = _drain(spark, SB.stream_metrics(_stored(spark, rows)))
-    return report(out.select("model_version", "horizon", F.unix_millis("window_start").alias("start_ms"), "n", "hits", "expectancy_maker_2bps"))
+    source = _stored(spark, rows, _quarter(rows, "issued_at"))
+    parts = [_drain(spark, SB.stream_metrics(source, days)).withColumn("days", F.lit(days)) for days in DAYS]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return report(out.select("days", "model_version", "horizon", F.unix_millis("window_start").alias("start_ms"), "n", "hits", "expectancy_maker_2bps"))
 
 
 @query("s_late_rows", sql("""
