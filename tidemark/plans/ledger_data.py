@@ -43,6 +43,29 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.scored(joined(spark, sf_dir))
 
 
+def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as the reports read it: one row per bucket.
+
+    Every bucket is first written twice, the second time later and with the opposite outcome,
+    so that a report that counted rows instead of buckets would differ.
+    """
+    rows = joined(spark, sf_dir)
+    twice = F.array(
+        F.struct(F.lit(0).alias("_writer"), F.col("issued_at_actual_ms").alias("_actual"), F.col("direction_correct").alias("_right")),
+        F.struct(F.lit(1).alias("_writer"), (F.col("issued_at_actual_ms") + 1000).alias("_actual"), (~F.col("direction_correct")).alias("_right")),
+    )
+    written = rows.select("*", F.inline(twice)).withColumns(
+        {"issued_at_actual_ms": F.col("_actual"), "direction_correct": F.col("_right"), "file_pos": F.col("issued_ms") * 10 + F.col("_writer")}
+    ).drop("_writer", "_actual", "_right")
+    kept = lambda: M.dedupe_bucket(written).select(*rows.columns)
+    return I.derived(spark, sf_dir, "deduped", kept)
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored, deduplicated ledger."""
+    return M.scored(deduped(spark, sf_dir))
+
+
 def contrarian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored ledger with every call turned round, for reports that need an edge."""
     flip = F.when(F.col("direction") == "up", "down").otherwise("up")

@@ -20,7 +20,7 @@ JOIN (SELECT * FROM q_ece) e USING (dimension, bucket)""", q_ece=ece("q_dims", "
 
 @query("metrics_by_dims", METRICS_SQL)
 def metrics_by_dims(spark, d):
-    return report(M.metrics_by_dims(D.scored(spark, d)))
+    return report(M.metrics_by_dims(D.reported(spark, d)))
 
 
 def _plain(col):
@@ -164,7 +164,7 @@ SELECT {finish('a.window_days')}, round(ece, 6) + 0.0 AS ece FROM (SELECT window
     q_win="SELECT q_resolved.*, w.window_days FROM q_resolved, (VALUES (7), (30), (90)) w(window_days) WHERE resolved_ms >= (SELECT max(close_time_ms) FROM q_bars) - CAST(window_days AS BIGINT) * 86400000",
     q_ece=ece("q_win", "window_days")))
 def rolling_resolved(spark, d):
-    return report(M.rolling_resolved(D.scored(spark, d), _now(spark, d)))
+    return report(M.rolling_resolved(D.reported(spark, d), _now(spark, d)))
 
 
 @query("rolling_issued", sql(f"""
@@ -174,7 +174,7 @@ FROM (SELECT dimension, bucket, window_days, count(*) FILTER (i) AS n, avg(o) FI
   FROM (SELECT q_dims.*, w.window_days, issued_ms >= (SELECT max(close_time_ms) FROM q_bars) - CAST(w.window_days AS BIGINT) * 86400000 AS i
         FROM q_dims, (VALUES (7), (30), (90)) w(window_days) WHERE dimension IN ('by_horizon', 'by_model_horizon')) x GROUP BY 1, 2, 3) y"""))
 def rolling_issued(spark, d):
-    return report(M.rolling_issued(D.scored(spark, d), _now(spark, d)))
+    return report(M.rolling_issued(D.reported(spark, d), _now(spark, d)))
 
 
 @query("edge_scoreboard", sql(f"""
@@ -183,7 +183,7 @@ SELECT horizon, n, {r('hits / CAST(n AS DOUBLE)', 'hit_rate')}, {r('ex * 10000 -
 FROM (SELECT *, hits / CAST(n AS DOUBLE) - greatest(rose / CAST(n AS DOUBLE), 1 - rose / CAST(n AS DOUBLE)) AS vs
       FROM (SELECT horizon, {BASE_AGGS} FROM q_resolved GROUP BY 1) a) b ORDER BY 4 DESC"""))
 def edge_scoreboard(spark, d):
-    return report(M.edge_scoreboard(M.bucket_metrics(D.scored(spark, d), ("horizon",))))
+    return report(M.edge_scoreboard(M.bucket_metrics(D.reported(spark, d), ("horizon",))))
 
 
 @query("recent_rows", sql(f"""
@@ -205,12 +205,12 @@ SELECT series_id, model_version, horizon, n, sum(o)::BIGINT AS wins, {r('last(cu
        {r('sum(o) / CAST(n AS DOUBLE)', 'hit_rate', 4)}, {r('last(cum ORDER BY back DESC) / n', 'avg_bps_maker', 4)}
 FROM q_tape WHERE n >= 5 GROUP BY series_id, model_version, horizon, n""", q_tape=TAPE_SQL))
 def trade_tape(spark, d):
-    return report(M.trade_tape(D.joined(spark, d)), 4)
+    return report(M.trade_tape(D.deduped(spark, d)), 4)
 
 
 @query("trade_tape_last", sql(f"""
 SELECT series_id, model_version, horizon, issued_ms, direction, {r('signed * 10000', 'ret_bps_gross', 4)}, {r('cum', 'cum_bps', 4)}, direction_correct AS win
 FROM q_tape WHERE n >= 5 AND back <= 30""", q_tape=TAPE_SQL))
 def trade_tape_last(spark, d):
-    rows = M.last_trades(M.tape_curve(D.joined(spark, d)))
+    rows = M.last_trades(M.tape_curve(D.deduped(spark, d)))
     return report(rows.select(*M.TAPE_KEYS, "issued_ms", "direction", "ret_bps_gross", "cum_bps", F.col("direction_correct").alias("win")), 4)

@@ -101,7 +101,7 @@ LEFT JOIN (SELECT series_id, model_version, horizon, count(*) AS r30_n, avg(o) A
 def signal_gates(spark, d):
     bars, fc, _ = D.ledger_parts(spark, d)
     now = I.now_ms(bars)
-    rows = D.scored(spark, d)
+    rows = D.reported(spark, d)
     keys = ("series_id", "model_version", "horizon")
     all_time = M.bucket_metrics(rows, keys)
     recent = M.bucket_metrics(rows.filter(F.col("issued_ms") >= now - 30 * 86_400_000), keys)
