@@ -41,6 +41,32 @@ def sum_vectors(parts: DataFrame, dtype: str = "int64", fan: int = 32, join=np.a
     return None if row is None else np.frombuffer(row["vec"], dtype=dtype)
 
 
+def _places(v: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    v = v.astype(np.int64).view(np.uint64)
+    shift = np.uint64(64 - bits)
+    return (v * np.uint64(0x9E3779B97F4A7C15)) >> shift, ((v ^ (v >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift
+
+
+def bloom(values: DataFrame, bits: int) -> np.ndarray:
+    """Bloom filter of the numbers in column ``v``: always 2 ** bits bits, however many there are."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        field = np.zeros((1 << bits) // 8, dtype=np.uint8)
+        for b in batches:
+            for at in _places(b["v"].to_numpy(), bits):
+                np.bitwise_or.at(field, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        yield pd.DataFrame({"vec": [field.tobytes()]})
+
+    found = sum_vectors(values.select("v").mapInPandas(pack, "vec binary"), "uint8", 8, np.bitwise_or)
+    return np.zeros((1 << bits) // 8, dtype=np.uint8) if found is None else found
+
+
+def in_bloom(field: np.ndarray, v: np.ndarray, bits: int) -> np.ndarray:
+    """True for every number of the filter, and for few others."""
+    hit = [(field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) for at in _places(v, bits)]
+    return (hit[0] & hit[1]).astype(bool)
+
+
 def components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the links (``a``, ``b``): one row (``id``, ``component_id``) per linked id.
 

@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, sum_vectors
+from tidemark.llm.common import bloom, components, in_bloom, sum_vectors
 from tidemark.sources.store import settle
 
 SHINGLE = 3
 ORDERS = 3
 WIDTH = 1 << 18
+#: Bits of the filter of wanted ids; beyond a sixteenth as many ids a join takes its place.
+ID_BITS = 26
 # Odd multipliers that mix 64-bit words (fixed values).
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _SEEN: dict[bytes, int] = {}
@@ -110,11 +112,20 @@ def _reachable(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -
 
 def _verify(pairs: DataFrame, docs: DataFrame, counts, percent: int) -> DataFrame:
     """Pairs (a, b) whose prefixes meet under all other orders and whose sets are similar."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
+    if ids.count() * 16 <= 1 << ID_BITS:
+        # No text moves: every task builds the sets of its own wanted documents (and of the few
+        # others that the filter lets through, which no pair asks for).
+        wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids, ID_BITS))
+        chosen = docs
+    else:
+        wanted, chosen = None, docs.join(ids.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = counts.value
         for batch in batches:
+            if wanted is not None:
+                batch = batch[in_bloom(wanted.value, batch["doc_id"].to_numpy(), ID_BITS)]
             out = []
             for i, raw in zip(batch["doc_id"], batch["raw"], strict=True):
                 h = shingles(raw)
@@ -123,7 +134,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, counts, percent: int) -> DataFram
 
     pres = [f"pre{o}" for o in range(1, ORDERS)]
     schema = "id long, n int, set array<long>, " + ", ".join(f"{p} array<int>" for p in pres)
-    sets = settle(docs.join(ids, "doc_id", "left_semi").mapInPandas(build, schema))
+    sets = settle(chosen.mapInPandas(build, schema))
 
     def side(name: str, cols: list[str]) -> DataFrame:
         return sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
