@@ -171,6 +171,20 @@ def test_digest_window_of_a_very_long_text(spark):
     assert digest_window_scan(docs, "doc_id", secret, 13).count() == 1
 
 
+def test_dated_files_are_indexed(spark, tmp_path):
+    (tmp_path / "2024-01-02.json").write_text('{"id": "x", "title": ""}')
+    (tmp_path / "2024-01-03.json").write_text("{broken")
+    (tmp_path / "index.json").write_text("{}")
+    got = [(r.date, r.id, r.title) for r in snapshots.index_by_date(snapshots.read_dated(spark, str(tmp_path))).collect()]
+    assert got == [("2024-01-03", "briefing-2024-01-03", "Daily briefing 2024-01-03"), ("2024-01-02", "x", "Daily briefing 2024-01-02")]
+
+
+def test_reports_are_written_sorted(spark, tmp_path):
+    jsonl.sink_report(spark.createDataFrame([(2, None)], "b int, a string"), str(tmp_path / "r"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "r")).collect())
+    assert text.index('"a"') < text.index('"b"') and "null" in text
+
+
 def test_merge_is_idempotent_and_first_writer_wins(spark):
     ddl = "series_id string, open_time_ms long, close double, arrival int"
     old = spark.createDataFrame([("s", 1, 1.0, 0), ("s", 1, 1.5, 1)], ddl)

@@ -117,18 +117,29 @@ def issue_summary(spark, d):
 
 
 cte("q_venue_match", """
-SELECT f.*, coalesce(a.source, b.source, k.source) AS price_source, CASE WHEN a.source IS NOT NULL THEN a.close WHEN b.source IS NOT NULL THEN b.close ELSE k.close END AS actual_close,
-       coalesce(a.close_time_ms, b.close_time_ms, k.close_time_ms) AS candle_close_ms
+SELECT f.*, coalesce(a.source, b.source, g.source, k.source) AS price_source,
+       CASE WHEN a.source IS NOT NULL THEN a.close WHEN b.source IS NOT NULL THEN b.close WHEN g.source IS NOT NULL THEN g.close ELSE k.close END AS actual_close,
+       coalesce(a.close_time_ms, b.close_time_ms, g.close_time_ms, k.close_time_ms) AS candle_close_ms
 FROM q_forecasts f LEFT JOIN q_venue_bars a ON a.series_id = f.series_id AND a.close_time_ms = f.target_ms AND a.source = f.entry_source
 LEFT JOIN q_venue_bars b ON b.series_id = f.series_id AND b.close_time_ms = f.target_ms AND b.source = 'binance'
+LEFT JOIN (SELECT series_id, close_time_ms, close + 1 AS close, 'coingecko' AS source FROM q_venue_bars WHERE source = 'kraken' AND open_time_ms // 3600000 % 3 = 0) g
+  ON g.series_id = f.series_id AND g.close_time_ms = f.target_ms
 LEFT JOIN q_venue_bars k ON k.series_id = f.series_id AND k.close_time_ms = f.target_ms AND k.source = 'kraken'
-WHERE coalesce(a.source, b.source, k.source) IS NOT NULL
+WHERE coalesce(a.source, b.source, g.source, k.source) IS NOT NULL
 """)
 
 
+def _chain_bars(spark, d):
+    """Bars of every member of the chain; the price index quotes every third hour."""
+    venue = I.venue_bars(spark, d)
+    third = F.pmod(F.floor(F.col("open_time_ms") / 3_600_000), F.lit(3)) == 0
+    index = venue.filter((F.col("source") == "kraken") & third).withColumns({"source": F.lit("coingecko"), "close": F.col("close") + 1})
+    return venue.unionByName(index)
+
+
 @query("resolve_venue_first", sql(f"SELECT forecast_id, price_source, candle_close_ms, {r('actual_close', 'actual_close')} FROM q_venue_match"))
 def resolve_venue_first(spark, d):
-    venue = I.venue_bars(spark, d)
+    venue = _chain_bars(spark, d)
     out = L.resolve_venue_first(D.forecasts(spark, d), venue, I.now_ms(venue))
     return report(out.select("forecast_id", "price_source", "candle_close_ms", "actual_close"))
 
@@ -137,7 +148,7 @@ def resolve_venue_first(spark, d):
 SELECT forecast_id, price_source AS resolution_source, {r('(actual_close - entry_price) / entry_price', 'actual_return', 9)}, actual_close <> entry_price AND (direction = 'up') = (actual_close > entry_price) AS direction_correct,
        candle_close_ms + 300000 AS resolved_ms FROM q_venue_match WHERE horizon <> '1h'"""))
 def resolve_run(spark, d):
-    fc, venue = D.forecasts(spark, d), I.venue_bars(spark, d)
+    fc, venue = D.forecasts(spark, d), _chain_bars(spark, d)
     done = fc.filter("horizon = '1h'").select("forecast_id")
     out = L.resolve_run(fc, done, venue, I.now_ms(venue))
     return report(out.select("forecast_id", "resolution_source", "actual_return", "direction_correct", "resolved_ms"), 9)
@@ -146,7 +157,7 @@ def resolve_run(spark, d):
 @query("venue_match_audit", sql("""
 SELECT entry_source, price_source AS resolution_venue, count(*) AS n, entry_source = price_source AS venue_match FROM q_venue_match GROUP BY 1, 2"""))
 def venue_match_audit(spark, d):
-    fc, venue = D.forecasts(spark, d), I.venue_bars(spark, d)
+    fc, venue = D.forecasts(spark, d), _chain_bars(spark, d)
     tagged = venue.withColumn("source", F.col("source"))
     res = L.score(L.resolve_venue_first(fc, tagged, I.now_ms(venue)), _c("candle_close_ms"))
     return L.venue_match_audit(L.ledger_join(fc, res))

@@ -24,18 +24,23 @@ def _lines(spark, d, *spoil):
     return I.ticks(spark, d).select(F.explode(F.array(line, *[s(line) for s in spoil])).alias("value"))
 
 
+def _filed(spark, lines, *folders):
+    """The lines as text files in the shared folder."""
+    path = I.scratch_dir(spark)
+    lines.write.partitionBy(*folders).text(path)
+    return path
+
+
 @query("scan_jsonl", sql("SELECT event_id, series_id, round(price, 6) + 0.0 AS price FROM q_ticks"))
 def scan_jsonl(spark, d):
-    return report(jsonl.parse_jsonl(_lines(spark, d, lambda x: F.lit("   "), lambda x: F.lit("")), LINE))
+    return report(jsonl.scan_jsonl(spark, _filed(spark, _lines(spark, d, lambda x: F.lit("   "), lambda x: F.lit(""))), LINE))
 
 
 @query("scan_jsonl_lenient", sql("SELECT count(*) AS n_rows, count(*) * 2 AS n_skipped, round(sum(price), 2) + 0.0 AS total FROM q_ticks"))
 def scan_jsonl_lenient(spark, d):
-    rows = jsonl.parse_jsonl_lenient(
-        _lines(spark, d, lambda x: F.lit(""), lambda x: F.concat(F.lit("{"), x), lambda x: F.lit("[1, 2]")), LINE
-    )
-    good = F.col("_bad").isNull()
-    return rows.agg(F.count_if(good).alias("n_rows"), F.count_if(~good).alias("n_skipped"), (F.round(F.sum(F.when(good, _c("price"))), 2) + 0.0).alias("total"))
+    lines = _lines(spark, d, lambda x: F.lit(""), lambda x: F.concat(F.lit("{"), x), lambda x: F.lit("[1, 2]"))
+    rows, bad = jsonl.scan_jsonl_lenient(spark, _filed(spark, lines), LINE)
+    return rows.agg(F.count("*").alias("n_rows"), bad.scalar().alias("n_skipped"), (F.round(F.sum("price"), 2) + 0.0).alias("total"))
 
 
 def _day():
@@ -63,7 +68,10 @@ def _docs(spark, d):
 @query("scan_snapshot", sql(f"""
 SELECT series_id, open_time_ms, close_time_ms, 'coinbase' AS source, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')} FROM q_bars WHERE volume > 0"""))
 def scan_snapshot(spark, d):
-    return report(snapshots.scan_snapshot(_docs(spark, d)).select("series_id", "source", *snapshots.BAR_FIELDS))
+    """One file per snapshot, below a folder per series and day."""
+    docs = _docs(spark, d).select("series_id", F.sha1(_c("payload").cast("binary")).alias("snapshot"), _c("payload").alias("value"))
+    files = snapshots.read_snapshots(spark, _filed(spark, docs, "series_id", "snapshot"))
+    return report(snapshots.scan_snapshot(files).select("series_id", "source", *snapshots.BAR_FIELDS))
 
 
 @query("scan_history", sql(f"""
@@ -243,7 +251,9 @@ SELECT CAST(to_json({'horizon': horizon, 'model_version': model_version, 'n': n,
 FROM (SELECT horizon, model_version, count(*) AS n, CAST(sum(o) AS BIGINT) AS wins FROM q_resolved GROUP BY 1, 2) x"""))
 def sink_report(spark, d):
     rows = D.scored(spark, d).groupBy("horizon", "model_version").agg(F.count("*").alias("n"), F.sum("o").alias("wins"))
-    return jsonl.report_document(rows)
+    path = I.scratch_dir(spark)
+    jsonl.sink_report(rows, path, pretty=False)
+    return jsonl.read_lines(spark, path).withColumnRenamed("value", "document")
 
 
 # ── feed attempts: every tick is one attempt of a provider in an hourly run ──────
