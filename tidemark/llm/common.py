@@ -16,29 +16,39 @@ from tidemark.sources.store import settle
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def first_of(found: list, default=None):
-    return found[0] if found else default
+PIECE = 8192
+PIECES = "part int, vec binary"
 
 
-def sum_vectors(parts: DataFrame, dtype: str = "int64", fan: int = 32, join=np.add) -> np.ndarray | None:
-    """Sum (or other ``join``) of the vectors in column ``vec`` (binary, one length), or None.
+def pieces(v: np.ndarray) -> pd.DataFrame:
+    """A vector as rows of at most ``PIECE`` bytes, without those that are zero."""
+    raw = v.tobytes()
+    cut = [(k // PIECE, raw[k : k + PIECE]) for k in range(0, len(raw), PIECE)]
+    return pd.DataFrame([(k, b) for k, b in cut if any(b)], columns=["part", "vec"])
 
-    One vector per input task arrives; they are added in two rounds of streaming tasks, so
-    no task and not the driver holds more than one sum and one batch.
+
+def sum_vectors(parts: DataFrame, size: int, dtype: str = "int64", fan: int = 32, join=np.add) -> np.ndarray:
+    """Sum (or other ``join``) of the vectors of ``size`` numbers that tasks gave as ``pieces``.
+
+    The pieces of one place meet in one task, which keeps one sum for each place and reads small
+    rows in small batches: its memory does not grow with the number of vectors. The driver gets
+    one vector.
     """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for raw in batch["vec"]:
+            for part, raw in zip(batch["part"], batch["vec"], strict=True):
                 v = np.frombuffer(raw, dtype=dtype)
-                total = v.copy() if total is None else join(total, v)
-        if total is not None:
-            yield pd.DataFrame({"vec": [total.tobytes()]})
+                total[part] = join(total[part], v) if part in total else v.copy()
+        yield pd.DataFrame({"part": list(total), "vec": [v.tobytes() for v in total.values()]}, columns=["part", "vec"])
 
-    partial = parts.select("vec").repartition(fan).mapInPandas(add, "vec binary")
-    row = first_of(partial.coalesce(1).mapInPandas(add, "vec binary").collect())
-    return None if row is None else np.frombuffer(row["vec"], dtype=dtype)
+    out = np.zeros(size, dtype=dtype)
+    step = PIECE // out.itemsize
+    for row in parts.repartition(fan, "part").mapInPandas(add, PIECES).collect():
+        v = np.frombuffer(row["vec"], dtype=dtype)
+        out[row["part"] * step : row["part"] * step + len(v)] = v
+    return out
 
 
 def _places(v: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +65,9 @@ def bloom(values: DataFrame, bits: int) -> np.ndarray:
         for b in batches:
             for at in _places(b["v"].to_numpy(), bits):
                 np.bitwise_or.at(field, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-        yield pd.DataFrame({"vec": [field.tobytes()]})
+        yield pieces(field)
 
-    found = sum_vectors(values.select("v").mapInPandas(pack, "vec binary"), "uint8", 8, np.bitwise_or)
-    return np.zeros((1 << bits) // 8, dtype=np.uint8) if found is None else found
+    return sum_vectors(values.select("v").mapInPandas(pack, PIECES), (1 << bits) // 8, "uint8", 32, np.bitwise_or)
 
 
 def in_bloom(field: np.ndarray, v: np.ndarray, bits: int) -> np.ndarray:

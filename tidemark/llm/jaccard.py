@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bloom, components, in_bloom, sum_vectors
+from tidemark.llm.common import PIECES, bloom, components, in_bloom, pieces, sum_vectors
 from tidemark.sources.store import settle
 
 SHINGLE = 3
@@ -82,10 +82,9 @@ def count_sketch(docs: DataFrame) -> np.ndarray:
                 h = np.concatenate(sets)
                 for o in range(ORDERS):
                     total[o] += np.bincount(_slots(h, o), minlength=WIDTH)
-        yield pd.DataFrame({"vec": [total.tobytes()]})
+        yield pieces(total)
 
-    total = sum_vectors(docs.select("raw").mapInPandas(count, "vec binary"))
-    return np.zeros((ORDERS, WIDTH), dtype=np.int64) if total is None else total.reshape(ORDERS, WIDTH)
+    return sum_vectors(docs.select("raw").mapInPandas(count, PIECES), ORDERS * WIDTH).reshape(ORDERS, WIDTH)
 
 
 def prefix(h: np.ndarray, order: int, counts: np.ndarray, percent: int) -> np.ndarray:

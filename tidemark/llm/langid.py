@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sum_vectors
+from tidemark.llm.common import PIECES, pieces, sum_vectors
 
 DIMS = 1 << 15
 SAMPLE = 8000
@@ -124,7 +124,7 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text in batch["text"]:
             df[counted(text)[0]] += 1
-    yield pd.DataFrame({"vec": [df.tobytes()]})
+    yield pieces(df)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     if not langs:
         return Model([], np.zeros(DIMS), np.zeros((DIMS, 0)), np.zeros(0), 1.0)
     n = sum(counts.values())
-    idf = np.log((1 + n) / (1 + sum_vectors(rows.select("text").mapInPandas(_frequencies, "vec binary")))) + 1
+    idf = np.log((1 + n) / (1 + sum_vectors(rows.select("text").mapInPandas(_frequencies, PIECES), DIMS))) + 1
     each = max(1, sample // len(langs))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, each / counts[k])))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))

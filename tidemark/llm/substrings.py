@@ -33,12 +33,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sum_vectors
+from tidemark.llm.common import PIECES, pieces, sum_vectors
 from tidemark.llm.jaccard import word_numbers
 
 WINDOW, ANCHOR, MOST = 20, 8, 2000
 BLOCK_WORDS = 500_000
 BITS, HOT_BITS = 26, 20
+_FIELDS = ((1 << BITS) + (1 << HOT_BITS)) // 8
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -124,9 +125,8 @@ def _bits(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Filters:
     """Bloom filters of the prefixes that repeat and of those that are frequent."""
 
-    def __init__(self, packed: np.ndarray | None) -> None:
+    def __init__(self, packed: np.ndarray) -> None:
         size = (1 << BITS) // 8
-        packed = np.zeros(size + (1 << HOT_BITS) // 8, dtype=np.uint8) if packed is None else packed
         self.repeated, self.frequent = packed[:size], packed[size:]
 
     @staticmethod
@@ -147,15 +147,13 @@ class Filters:
 
 def _filters(prefixes: DataFrame) -> Filters:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total = np.zeros(_FIELDS, dtype=np.uint8)
         for b in batches:
             v = b["prefix"].to_numpy().view(np.uint64)
-            one = np.frombuffer(Filters.of(v, v[b["n"].to_numpy() > MOST]), dtype=np.uint8)
-            total = one if total is None else total | one
-        if total is not None:
-            yield pd.DataFrame({"vec": [total.tobytes()]})
+            total |= np.frombuffer(Filters.of(v, v[b["n"].to_numpy() > MOST]), dtype=np.uint8)
+        yield pieces(total)
 
-    return Filters(sum_vectors(prefixes.mapInPandas(pack, "vec binary"), "uint8", 8, np.bitwise_or))
+    return Filters(sum_vectors(prefixes.mapInPandas(pack, PIECES), _FIELDS, "uint8", 32, np.bitwise_or))
 
 
 def _runs(*columns: np.ndarray, start: np.ndarray) -> np.ndarray:
