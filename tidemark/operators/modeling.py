@@ -319,6 +319,59 @@ def platt(fit_rows: DataFrame):
     return apply
 
 
+def platt_fits(fit_rows: DataFrame, keys: Sequence[str], steps: int = 12) -> DataFrame:
+    """(keys, n, a, b, gradient) of the logistic fit of every prediction stream, all at once.
+
+    Newton steps from a = b = 0, where every row has full weight: each is one map-side aggregation of five sums per stream.
+    ``gradient`` is the mean gradient's length at the fitted values.
+    """
+    keys = list(keys)
+    rows = settle(fit_rows.select(*keys, S.logit(F.col("p")).alias("_z"), "y"))
+    fits = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, "n", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    for step in range(steps + 1):
+        fits = settle(fits)
+        q = S.sigmoid(F.col("a") * F.col("_z") + F.col("b"))
+        d, w, z = q - F.col("y"), q * (1 - q), F.col("_z")
+        sums = rows.join(fits, keys).groupBy(*keys, "n", "a", "b").agg(
+            F.avg(d * z).alias("ga"), F.avg(d).alias("gb"), (F.avg(w * z * z) + 1e-12).alias("haa"), F.avg(w * z).alias("hab"), (F.avg(w) + 1e-12).alias("hbb")
+        )
+        if step == steps:
+            return sums.select(*keys, "n", "a", "b", F.sqrt(F.col("ga") * F.col("ga") + F.col("gb") * F.col("gb")).alias("gradient"))
+        det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
+        fits = sums.select(
+            *keys, "n",
+            (F.col("a") - (F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb")) / det).alias("a"),
+            (F.col("b") - (F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga")) / det).alias("b"),
+        )
+
+
+def platt_by(fit_rows: DataFrame, keys: Sequence[str]):
+    """As ``platt``, with a fit of its own for every stream."""
+    fits = settle(platt_fits(fit_rows, keys).drop("n", "gradient"))
+    return lambda df: df.join(fits, list(keys)).withColumn("p", S.sigmoid(S.logit(F.col("p")) * F.col("a") + F.col("b"))).drop("a", "b")
+
+
+def isotonic_by(fit_rows: DataFrame, keys: Sequence[str]):
+    """As ``isotonic``, with a fit of its own for every stream (models and horizons are few)."""
+    groups = [r.asDict() for r in fit_rows.select(*keys).distinct().collect()]
+
+    def own(df: DataFrame, g: dict) -> DataFrame:
+        for k, v in g.items():
+            df = df.filter(F.col(k) == v)
+        return df
+
+    fits = [(g, isotonic(own(fit_rows, g))) for g in groups]
+
+    def apply(df: DataFrame) -> DataFrame:
+        parts = [fit(own(df, g)) for g, fit in fits]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    return apply
+
+
 def isotonic(fit_rows: DataFrame):
     """Non-decreasing fit with linear interpolation and clamped ends.
 
@@ -339,14 +392,13 @@ def calib_in_sample(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _calibrated(preds, preds, keys)
 
 
-def holdout_split(preds: DataFrame, order: Sequence[str], share: float = 0.6, keys: Sequence[str] = (), span: int = 64) -> tuple[DataFrame, DataFrame]:
-    """First ``share`` of the rows in order against the rest.
+def holdout_split(preds: DataFrame, order: Sequence[str], keys: Sequence[str], share: float = 0.6, span: int = 64) -> tuple[DataFrame, DataFrame]:
+    """First ``share`` of the rows of every stream, in order, against the rest.
 
     ``span`` is the width of ``order[0]`` numbered in one task (``with_row_index``).
     """
-    keyed = preds if keys else preds.withColumn("_all", F.lit(0))
-    keys = list(keys) or ["_all"]
-    numbered = settle(with_row_index(keyed, keys, order, span=span, name="_r"))
+    keys = list(keys)
+    numbered = settle(with_row_index(preds, keys, order, span=span, name="_r"))
     sizes = numbered.groupBy(*keys).agg(F.floor(F.max("_r") * share).alias("_cut"))
     cut = numbered.join(sizes, keys)
     first = F.col("_r") <= F.col("_cut")
@@ -354,12 +406,12 @@ def holdout_split(preds: DataFrame, order: Sequence[str], share: float = 0.6, ke
 
 
 def calib_holdout(preds: DataFrame, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    return _calibrated(*holdout_split(preds, order), keys)
+    return _calibrated(*holdout_split(preds, order, keys), keys)
 
 
 def _calibrated(fit_rows: DataFrame, eval_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     parts = []
-    for name, apply in (("raw", lambda df: df), ("platt", platt(fit_rows)), ("isotonic", isotonic(fit_rows))):
+    for name, apply in (("raw", lambda df: df), ("platt", platt_by(fit_rows, keys)), ("isotonic", isotonic_by(fit_rows, keys))):
         parts.append(eval_pack(apply(eval_rows), keys).withColumn("calibration", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -209,15 +209,25 @@ def tree_optional(spark, d):
     return report(M.oof_validation(_fitted(spark, d, "tree", M.tree)))
 
 
-def _stream(spark, d):
-    """Time-ordered out-of-sample stream of one rule model on one horizon."""
-    return rules(spark, d).filter((_c("model") == "siie_lite") & _c("horizon").isin(*ML_HORIZONS))
+def _streams(spark, d):
+    """Out-of-sample streams of every rule model whose probability is not constant, per fitted horizon."""
+    return rules(spark, d).filter((_c("model") != "majority") & _c("horizon").isin(*ML_HORIZONS))
 
 
 @query("platt")
 def platt(spark, d):
-    rows = _stream(spark, d)
-    return report(M.platt(rows)(rows).select("series_id", "fold_id", "i", "p", "y"))
+    rows = _streams(spark, d)
+    return report(M.platt_by(rows, _HM)(rows).select(*_HM, "series_id", "fold_id", "i", "p", "y"))
+
+
+@query("platt_converged", sql("SELECT horizon, model, count(*) AS n, true AS converged, true AS no_worse FROM q_preds WHERE model <> 'majority' AND horizon IN ('12h', '24h') GROUP BY 1, 2"))
+def platt_converged(spark, d):
+    """The fit is convex: its gradient vanishes, and its log loss is not above that of the raw p."""
+    rows = I.settle(_streams(spark, d))
+    fits = M.platt_fits(rows, _HM)
+    loss = lambda df, name: df.groupBy(*_HM).agg(F.avg(S.logloss_component(_c("p"), _c("y"))).alias(name))
+    both = loss(rows, "raw").join(loss(M.platt_by(rows, _HM)(rows), "fitted"), list(_HM))
+    return fits.join(both, list(_HM)).select(*_HM, "n", (_c("gradient") < 1e-8).alias("converged"), (_c("fitted") <= _c("raw") + 1e-9).alias("no_worse"))
 
 
 @query("isotonic", sql(f"""
@@ -233,12 +243,12 @@ def isotonic(spark, d):
 
 @query("calib_in_sample")
 def calib_in_sample(spark, d):
-    return report(M.calib_in_sample(_stream(spark, d), _HM))
+    return report(M.calib_in_sample(_streams(spark, d), _HM))
 
 
 @query("calib_holdout")
 def calib_holdout(spark, d):
-    return report(M.calib_holdout(_stream(spark, d), ("i", "series_id"), _HM))
+    return report(M.calib_holdout(_streams(spark, d), ("i", "series_id"), _HM))
 
 
 @query("freeze_candidate")
