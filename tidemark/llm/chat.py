@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import short_batches
+
 SPANS = "array<struct<role:string,start:int,end:int,text_start:int,text_end:int,loss:boolean>>"
 RESULT = f"conv_id long, formatted string, rewrites boolean, spans {SPANS}"
 Message = tuple[str, str]
@@ -128,6 +130,7 @@ def spans_of(template, messages: list[Message], near: int = 8) -> tuple[str, boo
 def format_conversations(turns: DataFrame, template=None) -> DataFrame:
     """One row per conversation: formatted text, rewrite flag, spans with the loss mask."""
     template = template or InstTemplate()
+    short_batches(turns.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:

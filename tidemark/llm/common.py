@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,18 @@ from tidemark.sources.store import settle
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of texts in one Arrow batch, at most: a text may be long, and a worker holds a batch twice.
+TEXT_ROWS = 1024
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session; a smaller bound that is already set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 PIECE = 8192
 PIECES = "part int, vec binary"
 

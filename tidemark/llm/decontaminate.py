@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import short_batches
 from tidemark.sources.store import settle
 
 #: Fixed by the contract: bytes that are no part of a word become spaces, A-Z lower case.
@@ -187,6 +188,7 @@ def _scanner(items: list, window: int, spark) -> Column:
 
 def mark(docs: DataFrame, items: DataFrame, window: int = 13, block_bytes: int = 2_000_000, into: str = "_marked") -> DataFrame:
     """``docs`` with a struct ``into``: n_words, marked ``spans`` of words, ``items`` found."""
+    short_batches(docs.sparkSession)
     pieces = settle(_pieces(items, window, max(2 * window, block_bytes // 64)))
     size = pieces.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))

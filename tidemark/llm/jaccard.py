@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PIECES, bloom, components, in_bloom, pieces, sum_vectors
+from tidemark.llm.common import PIECES, bloom, components, in_bloom, pieces, short_batches, sum_vectors
 from tidemark.sources.store import settle
 
 SHINGLE = 3
@@ -43,7 +43,7 @@ _SEEN: dict[bytes, int] = {}
 
 def word_numbers(words: list[bytes]) -> np.ndarray:
     """A 64-bit number for each word; known words are kept between documents."""
-    if len(_SEEN) > 400_000:
+    if len(_SEEN) > 150_000:
         _SEEN.clear()
     out = []
     for w in words:
@@ -150,6 +150,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, counts, percent: int) -> DataFram
 def link(docs: DataFrame, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id and number of equal sets (``copies``) of every document row."""
     spark = docs.sparkSession
+    short_batches(spark)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
     counts = spark.sparkContext.broadcast(count_sketch(rows))
 

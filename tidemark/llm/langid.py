@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PIECES, pieces, sum_vectors
+from tidemark.llm.common import PIECES, pieces, short_batches, sum_vectors
 
 DIMS = 1 << 15
 SAMPLE = 8000
@@ -129,6 +129,7 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on (doc_id, text, lang) rows; every row counts in the document frequencies."""
+    short_batches(labelled.sparkSession)
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -164,6 +165,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predictor(model: Model, spark) -> Column:
     """A column function from text to struct(lang, score); the model is DIMS x languages."""
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -33,11 +33,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PIECES, pieces, sum_vectors
+from tidemark.llm.common import PIECES, pieces, short_batches, sum_vectors
 from tidemark.llm.jaccard import word_numbers
 
 WINDOW, ANCHOR, MOST = 20, 8, 2000
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 250_000
 BITS, HOT_BITS = 26, 20
 _FIELDS = ((1 << BITS) + (1 << HOT_BITS)) // 8
 _RNG = np.random.default_rng(20)
@@ -259,6 +259,7 @@ def _identity() -> list[Column]:
 def repeats(docs: DataFrame) -> DataFrame:
     """Repeats (doc, h, start, len): ``len`` consecutive suffixes from word ``start`` on whose
     first ``WINDOW`` words also start earlier."""
+    short_batches(docs.sparkSession)
     rows = docs.filter("text IS NOT NULL").select(*_identity(), F.col("text").cast("binary").alias("raw"))
     prefixes = rows.mapInPandas(_count_prefixes, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1")
     filters = docs.sparkSession.sparkContext.broadcast(_filters(prefixes))

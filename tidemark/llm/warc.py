@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import short_batches
+
 DERIVED = (
     "source_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
     "content_length long, block_digest string, source_digest string, source_digest_ok boolean, source_headers string, body string"
@@ -139,6 +141,8 @@ def _derive(source: int | None, record: bytes) -> Iterator[tuple]:
 def derive(records: DataFrame) -> DataFrame:
     """Derivative records of response records (source_id, record binary)."""
 
+    short_batches(records.sparkSession)
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["source_id"].astype("Int64")
