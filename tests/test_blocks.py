@@ -97,6 +97,14 @@ def test_causal_median_is_exact_with_ties_and_many_blocks(series, col):
     assert np.allclose(got["m"], want)
 
 
+def test_a_block_of_the_median_is_sent_a_few_times_its_rows(spark):
+    n, rows_ = 1_000_000, 2048
+    df = spark.range(n).select(F.lit("s").alias("series_id"), (F.col("id") + 1).alias("row_idx"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("v"))
+    feed = R.median_feed(df, "v", ["series_id"], "row_idx", rows_, 512)
+    sent = feed.filter("_i IS NULL").groupBy("_blk").count()
+    assert sent.agg(F.max("count")).first()[0] <= 6 * rows_
+
+
 @pytest.mark.parametrize("before,after", [(19, 0), (7, 5)])
 def test_a_block_holds_its_rows_and_the_halo_only(series, before, after):
     df, _ = series

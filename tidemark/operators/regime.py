@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 import numpy as np
@@ -58,20 +59,22 @@ def regime_labels(bars: DataFrame, warmup: int = WARMUP) -> DataFrame:
     return marked.withColumn("coarse", coarse).withColumn("fine", fine)
 
 
-def causal_median(
-    df: DataFrame, col: str, name: str, keys=SERIES, idx: str = "row_idx", rows: int = 2048, bands: int = 512
-) -> DataFrame:
-    """Exact running median of ``col`` over rows 1..i of each key, cut into row blocks.
+def median_feed(df: DataFrame, col: str, keys, idx: str, rows: int, bands: int) -> DataFrame:
+    """Rows of every block (``_i``, ``_x``) and the values of its past that it needs (``_i`` null).
 
     Adding at most ``rows`` values moves the median by at most ``rows`` ranks, so a block
     needs from its past only the values whose rank lies near the middle. Values are cut
     into ``bands`` by approximate quantiles; band counts per block tell which bands hold
     those ranks and how many values lie below them. Only the distinct values (with
-    counts) of these bands are sent to the block, where the median is then followed row
-    by row. No group holds a whole series, and equal values travel as one count.
+    counts) of these bands are sent to the block.
+
+    ``rows`` and ``bands`` are minima: both are at least the square root of the longest
+    series, so that a block is sent a few times ``rows`` values however long the series is,
+    and the grid of blocks and bands is no larger than the series.
     """
-    keys = list(keys)
-    df = settle(df)
+    longest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    side = math.isqrt(longest) + 1
+    rows, bands = max(rows, side), max(bands, side)
     base = df.withColumn("_blk", F.floor((F.col(idx) - 1) / F.lit(rows))).withColumn("_x", F.col(col))
     cuts = base.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("_x", [i / bands for i in range(1, bands)], bands * 20)).alias("_cuts")
@@ -110,7 +113,20 @@ def causal_median(
         .agg(F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"))
     )
     current = base.select(*keys, "_blk", F.col(idx).alias("_i"), "_x", F.lit(0).cast("long").alias("_c"), F.lit(None).cast("long").alias("_lo"))
-    feed = current.unionByName(sent.withColumn("_i", F.lit(None).cast("long")))
+    return current.unionByName(sent.withColumn("_i", F.lit(None).cast("long")))
+
+
+def causal_median(
+    df: DataFrame, col: str, name: str, keys=SERIES, idx: str = "row_idx", rows: int = 2048, bands: int = 512
+) -> DataFrame:
+    """Exact running median of ``col`` over rows 1..i of each key, cut into row blocks.
+
+    Each block follows the median row by row from the values near the middle of its past
+    (``median_feed``). No group holds a whole series, and equal values travel as one count.
+    """
+    keys = list(keys)
+    df = settle(df)
+    feed = median_feed(df, col, keys, idx, rows, bands)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields), f"{idx} bigint", f"{name} double"])
 
     def follow(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:

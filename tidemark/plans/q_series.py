@@ -252,7 +252,7 @@ def onehot_regime(spark, d):
 @query("causal_median", sql(f"SELECT series_id, open_time_ms, {r('threshold', 'vol_threshold', 9)} FROM q_median"))
 def causal_median(spark, d):
     f = R.trend_scores(I.hourly(spark, d))
-    return report(R.causal_median(f, "vol_score", "vol_threshold", rows=256, bands=64).select(*AT, "vol_threshold"), 9)
+    return report(R.causal_median(f, "vol_score", "vol_threshold").select(*AT, "vol_threshold"), 9)
 
 
 @query("regime_labels", sql(f"SELECT series_id, open_time_ms, coarse, fine, {r('trend', 'trend_score', 9)}, {r('vol', 'vol_score', 9)} FROM q_labels"))
