@@ -86,7 +86,7 @@ def signal_pick(spark, d):
 _R30 = "SELECT * FROM q_resolved WHERE issued_ms >= (SELECT max(close_time_ms) FROM q_bars) - CAST(30 AS BIGINT) * 86400000"
 
 
-@query("signal_gates", sql(f"""
+_GATES = f"""
 SELECT series_id, forecast_id, model_version, horizon, n, hit_rate, wilson_lb_95, expectancy_maker_2bps, r30_n, {r('r30_hit', 'r30_hit')}, {r('r30_maker', 'r30_maker')},
   CASE WHEN reasons = '' THEN 'actionable_paper' ELSE 'shadow' END AS status, reasons FROM (
 SELECT p.series_id, p.forecast_id, p.model_version, p.horizon, a.n, a.hit_rate, a.wilson_lb_95, a.expectancy_maker_2bps, b.r30_n, b.r30_hit, b.r30_maker,
@@ -96,9 +96,26 @@ SELECT p.series_id, p.forecast_id, p.model_version, p.horizon, a.n, a.hit_rate,
    CASE WHEN p.target_ms <= (SELECT max(close_time_ms) FROM q_bars) THEN 'expired' END) AS reasons
 FROM q_pick p
 LEFT JOIN (SELECT {finish('series_id, model_version, horizon')} FROM (SELECT series_id, model_version, horizon, {BASE_AGGS} FROM q_resolved GROUP BY 1, 2, 3) z) a USING (series_id, model_version, horizon)
-LEFT JOIN (SELECT series_id, model_version, horizon, count(*) AS r30_n, avg(o) AS r30_hit, avg(signed) * 10000 - 2 AS r30_maker FROM q_r30 GROUP BY 1, 2, 3) b USING (series_id, model_version, horizon)) y""",
-    q_r30=_R30))
+LEFT JOIN (SELECT series_id, model_version, horizon, count(*) AS r30_n, avg(o) AS r30_hit, avg(signed) * 10000 - 2 AS r30_maker FROM q_r30 GROUP BY 1, 2, 3) b USING (series_id, model_version, horizon)) y"""
+
+
+@query("signal_gates", sql(_GATES, q_r30=_R30))
 def signal_gates(spark, d):
+    return _gates(spark, d)
+
+
+@query("signal_status", sql(f"""
+SELECT s.series_id, CASE WHEN s.series_id = (SELECT min(series_id) FROM q_bars) THEN 'halted' ELSE coalesce(g.status, 'halted') END AS status
+FROM (SELECT DISTINCT series_id FROM q_bars) s LEFT JOIN ({_GATES}) g USING (series_id)""", q_r30=_R30))
+def signal_status(spark, d):
+    """The first series issues nothing, so that its signal is halted."""
+    bars = I.hourly(spark, d)
+    first = bars.agg(F.min("series_id")).scalar()
+    gated = _gates(spark, d).filter(F.col("series_id") != first)
+    return G.signal_status(bars, gated).select("series_id", "status")
+
+
+def _gates(spark, d):
     bars, fc, _ = D.ledger_parts(spark, d)
     now = I.now_ms(bars)
     rows = D.reported(spark, d)
