@@ -209,6 +209,34 @@ def tree_optional(spark, d):
     return report(M.oof_validation(_fitted(spark, d, "tree", M.tree)))
 
 
+def compared(spark, d):
+    """Rule models and the fitted ones in one prediction table, on the fitted horizons."""
+    ours = rules(spark, d).filter(_c("horizon").isin(*ML_HORIZONS))
+    fitted = [_fitted(spark, d, "logistic", M.logistic), _fitted(spark, d, "tree", M.tree)]
+    cols = [*KEYS, "fold_id", "i", "y", "regime", "entry", "exit", "model", "p"]
+    return ours.select(cols).unionByName(fitted[0].select(cols)).unionByName(fitted[1].select(cols))
+
+
+@query("oof_validation_fitted")
+def oof_validation_fitted(spark, d):
+    return report(M.oof_validation(compared(spark, d)))
+
+
+@query("candidate_fitted", sql(f"""
+SELECT horizon, n, {r('best', 'best_baseline_brier')}, {r('maj', 'majority_rate')}, true AS decided_by_rule, true AS learned FROM (
+SELECT horizon, max(n) AS n, min(brier) AS best, max(greatest(up, 1 - up)) AS maj FROM (
+SELECT horizon, model, count(*) AS n, avg((p - y) * (p - y)) AS brier, avg(y) AS up FROM q_preds WHERE horizon IN ('12h', '24h') GROUP BY 1, 2) a GROUP BY 1) x"""))
+def candidate_fitted(spark, d):
+    """The decision on the fitted candidate: what it is compared with is exact, what it scores is
+    checked by the rule itself and by a loss near that of a coin at worst."""
+    preds = compared(spark, d).filter("model <> 'tree'")
+    pooled = M.oof_validation(preds).filter("level = 'pooled'")
+    out = M.candidate_decision(pooled, M.majority_rate(preds, _HM), ["horizon"], "logistic")
+    sizes = pooled.filter("model = 'logistic'").select("horizon", "n")
+    rule = _c("selected") == ((_c("hit") > _c("majority_rate")) & (_c("brier") <= _c("best_baseline_brier")))
+    return report(out.join(sizes, "horizon").select("horizon", "n", "best_baseline_brier", "majority_rate", rule.alias("decided_by_rule"), (_c("brier") < 0.35).alias("learned")))
+
+
 def _streams(spark, d):
     """Out-of-sample streams of every rule model whose probability is not constant, per fitted horizon."""
     return rules(spark, d).filter((_c("model") != "majority") & _c("horizon").isin(*ML_HORIZONS))
