@@ -109,42 +109,65 @@ def _reachable(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -
     return most * (100 + percent) >= (n1 + n2) * percent
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, build, schema: str) -> DataFrame:
+    """Rows that ``build`` makes from the texts of the wanted ids (column ``v``), stored.
+
+    No text moves: every task works on its own wanted documents, and on the few others that the
+    filter lets through, which no pair asks for. Beyond what the filter holds, a join selects.
+    """
+    ids = settle(ids.distinct())
+    if ids.count() * 16 > 1 << ID_BITS:
+        return settle(docs.join(ids.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi").mapInPandas(build, schema))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids, ID_BITS))
+
+    def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return build(b[in_bloom(wanted.value, b["doc_id"].to_numpy(), ID_BITS)] for b in batches)
+
+    return settle(docs.mapInPandas(few, schema))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, counts, percent: int) -> DataFrame:
-    """Pairs (a, b) whose prefixes meet under all other orders and whose sets are similar."""
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
-    if ids.count() * 16 <= 1 << ID_BITS:
-        # No text moves: every task builds the sets of its own wanted documents (and of the few
-        # others that the filter lets through, which no pair asks for).
-        wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids, ID_BITS))
-        chosen = docs
-    else:
-        wanted, chosen = None, docs.join(ids.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi")
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) whose prefixes meet under all other orders and whose sets are similar.
+
+    Prefixes must not only meet: of the set whose prefix ends earlier, every shared shingle lies
+    in both prefixes or among the shingles after its own, so that the overlap is at most the
+    shared part of the prefixes and the longer of the two rests. Prefixes hold distinct 32-bit
+    parts of shingle numbers; where two fall together, the rest counts one of them.
+    """
+    pres = [f"pre{o}" for o in range(1, ORDERS)]
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = counts.value
         for batch in batches:
-            if wanted is not None:
-                batch = batch[in_bloom(wanted.value, batch["doc_id"].to_numpy(), ID_BITS)]
             out = []
             for i, raw in zip(batch["doc_id"], batch["raw"], strict=True):
                 h = shingles(raw)
-                out.append((i, len(h), _signed(h), *[prefix(h, o, table, percent).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)]))
-            yield pd.DataFrame(out, columns=["id", "n", "set", *[f"pre{o}" for o in range(1, ORDERS)]])
+                out.append((i, len(h), *[np.unique(prefix(h, o, table, percent).astype(np.uint32)).view(np.int32) for o in range(1, ORDERS)]))
+            yield pd.DataFrame(out, columns=["id", "n", *pres])
 
-    pres = [f"pre{o}" for o in range(1, ORDERS)]
-    schema = "id long, n int, set array<long>, " + ", ".join(f"{p} array<int>" for p in pres)
-    sets = settle(chosen.mapInPandas(build, schema))
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(i, _signed(shingles(raw))) for i, raw in zip(batch["doc_id"], batch["raw"], strict=True)], columns=["id", "set"])
+
+    def both(rows: DataFrame, table: DataFrame) -> DataFrame:
+        for s in ("a", "b"):
+            rows = rows.join(table.select([F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in table.columns]), s)
+        return rows
 
-    def side(name: str, cols: list[str]) -> DataFrame:
-        return sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(F.array("a", "b")).alias("v"))
 
-    met = pairs.join(side("a", pres), "a").join(side("b", pres), "b")
+    heads = _sets_of(named(pairs), docs, prefixes, "id long, n int, " + ", ".join(f"{p} array<int>" for p in pres))
+    met = both(pairs, heads)
+    need = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100.0 + percent) - 1e-9)
     for p in pres:
-        met = met.filter(F.arrays_overlap(f"a_{p}", f"b_{p}"))
-    left = settle(met.select("a", "b").distinct())
-    both = left.join(side("a", ["n", "set"]), "a").join(side("b", ["n", "set"]), "b")
+        rest = F.greatest(F.col("a_n") - F.size(f"a_{p}"), F.col("b_n") - F.size(f"b_{p}"))
+        met = met.filter(F.arrays_overlap(f"a_{p}", f"b_{p}")).filter(F.size(F.array_intersect(f"a_{p}", f"b_{p}")) + rest >= need)
+    left = settle(met.select("a", "b", "a_n", "b_n").distinct())
+    sets = _sets_of(named(left), docs, whole, "id long, set array<long>")
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return settle(both.filter(common * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b").distinct())
+    alike = both(left, sets).filter((F.size("a_set") == F.col("a_n")) & (F.size("b_set") == F.col("b_n")))
+    return settle(alike.filter(common * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b").distinct())
 
 
 def link(docs: DataFrame, percent: int = 90) -> DataFrame:
@@ -171,18 +194,21 @@ def link(docs: DataFrame, percent: int = 90) -> DataFrame:
     reps = settle(real.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "pre").distinct())
     post = reps.select("rep", "n", F.posexplode("pre").alias("at", "tok"))
 
-    lists = post.groupBy("tok").agg(F.count("*").alias("size"), F.min(F.struct("at", "rep", "n")).alias("pivot")).filter("size > 1")
-    lists = settle(lists.select("tok", "size", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("p_n"), F.col("pivot.at").alias("p_at")))
+    # Most shingles of a prefix are in no other: they leave after one count.
+    sizes = post.groupBy("tok").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = settle(post.join(sizes, "tok"))
+    lists = shared.groupBy("tok").agg(F.min(F.struct("at", "rep", "n")).alias("pivot"))
+    lists = lists.select("tok", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("p_n"), F.col("pivot.at").alias("p_at"))
     texts = rows.filter("doc_id IS NOT NULL AND raw IS NOT NULL")
     n, at = F.col("n"), F.col("at")
-    star = post.join(lists.select("tok", "p", "p_n", "p_at"), "tok")
+    star = shared.join(lists, "tok")
     star = star.filter((F.col("rep") != F.col("p")) & _within(n, F.col("p_n"), percent) & _reachable(n, at, F.col("p_n"), F.col("p_at"), percent))
     star = settle(star.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
     links = _verify(star, texts, counts, percent)
 
     # Lists of three and more may hold links that no pivot has seen.
     joined = components(links).withColumnRenamed("id", "rep")
-    rest = post.join(lists.filter("size > 2").select("tok"), "tok").join(joined, "rep", "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("component_id")
+    rest = shared.filter("size > 2").drop("size").join(joined, "rep", "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("component_id")
     rest = settle(rest)
     mixed = rest.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
     rest = rest.join(mixed, "tok", "left_semi")
