@@ -15,6 +15,8 @@ from tidemark.sources.store import settle
 
 #: Probability below which a language is not trusted.
 LEAST_SCORE = 0.5
+#: Near copies: words of a shingle, and the least Jaccard similarity in percent.
+COPY_WIDTH, COPY_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +26,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies.
+    """The document with the smallest id of every group of near copies (5-word Jaccard similarity of 0.8 or more).
 
     Rows without an id are linked with nothing and stay. Of rows that share an id the one whose
     text hashes lowest stays; only such rows are sorted.
     """
-    found = jaccard.link(docs)
+    found = jaccard.link(docs, COPY_PERCENT, COPY_WIDTH)
     stay = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = docs.join(settle(stay), "doc_id")
     single = kept.filter("_rows = 1").select(docs.columns)

@@ -51,6 +51,25 @@ def test_stages_take_effect_in_turn(spark, folder):
     assert sum(size.values()) == four.count() and max(size.values()) - min(size.values() if len(size) == 24 else [0]) <= 1
 
 
+def test_near_copies_by_five_words_at_080(spark, folder):
+    """Copies at a 5-word similarity of 0.80 to 0.90 go, also where 3-word sets are below 0.9; at 0.78 they stay."""
+    rows, kept = [], {2000, 2001}
+    for k, (n, edit) in enumerate([(200, 12), (200, 17), (204, 18), (150, 8)]):
+        text = prose(6000 + k, n, vocabulary=3000).split()
+        copy = [*text[:60], *[f"new{k}x{j}" for j in range(edit)], *text[60 + edit :]]
+        a, b = (set(zip(*[t[i:] for i in range(5)], strict=False)) for t in (text, copy))
+        assert 0.80 <= len(a & b) / len(a | b) < 0.90
+        rows += [(1000 + 2 * k, " ".join(text), "en", "s", 1), (1001 + 2 * k, " ".join(copy), "en", "s", 1)]
+        kept.add(1000 + 2 * k)
+    text = prose(6100, 200, vocabulary=3000).split()
+    copy = [*text[:60], *[f"far{j}" for j in range(21)], *text[81:]]
+    a, b = (set(zip(*[t[i:] for i in range(5)], strict=False)) for t in (text, copy))
+    assert 0.75 < len(a & b) / len(a | b) < 0.80
+    rows += [(2000, " ".join(text), "en", "s", 1), (2001, " ".join(copy), "en", "s", 1)]
+    left = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), folder)
+    assert {r.doc_id for r in left.collect()} == kept
+
+
 def test_run_and_registration(spark, folder):
     import __spark_entry__ as entry
 

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
-A document is the set of its 3-word shingles. Under any total order of all shingles, two sets of
+A document is the set of its shingles (three words unless a caller asks for another width). Under any total order of all shingles, two sets of
 Jaccard similarity t or more share a shingle among the first n - ceil(t n) + 1 of each (the
 prefix). Several orders are used, each putting shingles first that its own count sketch over all
 documents calls rare: the first order finds candidates by a join on prefix shingles, with size
@@ -12,8 +12,8 @@ Components without all pairs. Equal sets are one class. Every posting list first
 (the member that has the shingle earliest), one pair per member. What these links do not join is
 then compared pair by pair, leaving out members that already are in one component.
 
-Cases: null text, or text without words, has the empty set and is linked with nothing; fewer than
-three words are one shingle; rows with a null doc_id are linked with nothing and get a null
+Cases: null text, or text without words, has the empty set and is linked with nothing; fewer
+words than a shingle are one shingle; rows with a null doc_id are linked with nothing and get a null
 component; rows that share a doc_id are one document with several texts, linked if any of them
 is; an empty table gives an empty result; other columns are ignored.
 """
@@ -54,15 +54,15 @@ def word_numbers(words: list[bytes]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def shingles(raw: bytes | None) -> np.ndarray:
+def shingles(raw: bytes | None, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle numbers of a UTF-8 text."""
     words = [] if raw is None else raw.lower().split()
-    if len(words) < SHINGLE:
+    if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], dtype=np.uint64)
     n = word_numbers(words)
-    h = np.zeros(len(n) - SHINGLE + 1, dtype=np.uint64)
-    for k in range(SHINGLE):
-        h = (h + n[k : len(n) - SHINGLE + 1 + k]) * _MIX[k % len(_MIX)]
+    h = np.zeros(len(n) - width + 1, dtype=np.uint64)
+    for k in range(width):
+        h = (h + n[k : len(n) - width + 1 + k]) * _MIX[k % len(_MIX)]
         h ^= h >> np.uint64(29)
     return np.unique(h)
 
@@ -71,13 +71,13 @@ def _slots(h: np.ndarray, order: int) -> np.ndarray:
     return ((h * _MIX[order]) >> np.uint64(64 - WIDTH.bit_length() + 1)).astype(np.int64)
 
 
-def count_sketch(docs: DataFrame) -> np.ndarray:
+def count_sketch(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
     """Occurrences of all shingles by slot, one row per order; ``docs`` has ``raw``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((ORDERS, WIDTH), dtype=np.int64)
         for batch in batches:
-            sets = [shingles(raw) for raw in batch["raw"]]
+            sets = [shingles(raw, width) for raw in batch["raw"]]
             if sets:
                 h = np.concatenate(sets)
                 for o in range(ORDERS):
@@ -126,7 +126,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame, build, schema: str) -> DataFrame:
     return settle(docs.mapInPandas(few, schema))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, counts, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, counts, percent: int, width: int) -> DataFrame:
     """Pairs (a, b) whose prefixes meet under all other orders and whose sets are similar.
 
     Prefixes must not only meet: of the set whose prefix ends earlier, every shared shingle lies
@@ -141,13 +141,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, counts, percent: int) -> DataFram
         for batch in batches:
             out = []
             for i, raw in zip(batch["doc_id"], batch["raw"], strict=True):
-                h = shingles(raw)
+                h = shingles(raw, width)
                 out.append((i, len(h), *[np.unique(prefix(h, o, table, percent).astype(np.uint32)).view(np.int32) for o in range(1, ORDERS)]))
             yield pd.DataFrame(out, columns=["id", "n", *pres])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(i, _signed(shingles(raw))) for i, raw in zip(batch["doc_id"], batch["raw"], strict=True)], columns=["id", "set"])
+            yield pd.DataFrame([(i, _signed(shingles(raw, width))) for i, raw in zip(batch["doc_id"], batch["raw"], strict=True)], columns=["id", "set"])
 
     def both(rows: DataFrame, table: DataFrame) -> DataFrame:
         for s in ("a", "b"):
@@ -170,19 +170,19 @@ def _verify(pairs: DataFrame, docs: DataFrame, counts, percent: int) -> DataFram
     return settle(alike.filter(common * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b").distinct())
 
 
-def link(docs: DataFrame, percent: int = 90) -> DataFrame:
+def link(docs: DataFrame, percent: int = 90, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and number of equal sets (``copies``) of every document row."""
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    counts = spark.sparkContext.broadcast(count_sketch(rows))
+    counts = spark.sparkContext.broadcast(count_sketch(rows, width))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = counts.value
         for batch in batches:
             out = []
             for i, raw in zip(batch["doc_id"].astype("Int64"), batch["raw"], strict=True):
-                h = shingles(raw)
+                h = shingles(raw, width)
                 digest = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
                 out.append((i, len(h), digest, _signed(prefix(h, 0, table, percent))))
             frame = pd.DataFrame(out, columns=["doc_id", "n", "digest", "pre"])
@@ -204,7 +204,7 @@ def link(docs: DataFrame, percent: int = 90) -> DataFrame:
     star = shared.join(lists, "tok")
     star = star.filter((F.col("rep") != F.col("p")) & _within(n, F.col("p_n"), percent) & _reachable(n, at, F.col("p_n"), F.col("p_at"), percent))
     star = settle(star.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
-    links = _verify(star, texts, counts, percent)
+    links = _verify(star, texts, counts, percent, width)
 
     # Lists of three and more may hold links that no pivot has seen.
     joined = components(links).withColumnRenamed("id", "rep")
@@ -221,7 +221,7 @@ def link(docs: DataFrame, percent: int = 90) -> DataFrame:
         & _reachable(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)
     )
     more = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.unionAll(_verify(settle(more), texts, counts, percent))
+    links = links.unionAll(_verify(settle(more), texts, counts, percent, width))
 
     # Rows that share an id tie the classes of their texts together.
     named = real.join(classes, "digest").select("doc_id", "rep", "members", "digest")
