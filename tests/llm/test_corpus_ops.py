@@ -358,3 +358,24 @@ def test_shards_even_and_groups_together(spark, docs, empty):
     assert len(odd) == docs.count() and max(size.values()) - min(size.values()) <= 1
     assert {r.size for r in odd if r.doc_id in (92, 93)} == {8}
     assert sharding.digest(empty).count() == 0
+
+
+@pytest.mark.parametrize("size", [2, 4])
+def test_shards_bring_groups_together_without_room(spark, size):
+    """Every row has a copy, so no shard ever has room."""
+    rows = [(i, f"text {i // size}", "en", "s", 1) for i in range(4800)]
+    got = sharding.digest(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    load = Counter(r.shard for r in got)
+    assert len(got) == 4800 and set(load.values()) == {200}
+    at = {r.doc_id: r.shard for r in got}
+    split = sum(len({at[k + i] for i in range(size)}) > 1 for k in range(0, 4800, size))
+    assert split <= 0.02 * 4800 / size
+
+
+def test_moves_go_round_cycles_and_along_chains():
+    want = {(0, 1): 5, (1, 2): 3, (2, 0): 4, (3, 1): 2}
+    assert sharding._cycles(want, [0, 0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    got = sharding._cycles(want, [1, 0, 0, 0])
+    assert got[2, 0] == 4 or sum(got.values()) >= 9
+    for s in range(4):
+        assert sum(n for (_, j), n in got.items() if j == s) - sum(n for (i, _), n in got.items() if i == s) <= [1, 0, 0, 0][s]

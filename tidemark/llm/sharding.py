@@ -1,10 +1,15 @@
 """Sharding by balanced label propagation; DataFrame operations only.
 
 Documents of equal text are linked (null text: with none). Linked documents start evenly spread
-and move, round by round, towards the shard that holds most of their group and has room. The
-quota of a move from shard i to j is the number of opposite moves plus the room of j, so no
-shard ever holds more than its share. Documents without links fill what is left, so that counts
-differ by at most one (law ``rows``). A group larger than a shard fills several.
+and move, round by round, towards the shard that holds most of their group and has room; shards
+that tie are told apart by a hash of group, shard and round, so that as many rows want to go one
+way as the other. The quotas of the moves from shard i to j come from the table of wanted moves
+(shards x shards numbers): moves go along chains that end in room, and round cycles of shards,
+which need no room, so no shard ever holds more than its share. Every other round any shard that
+holds part of a group may be its target, whichever holds most: that frees moves which all want
+the same way. A group never reaches a shard it was not in, so the number of shards a group is in
+never grows. Documents without links fill what is left, so that counts differ by at most one (law
+``rows``). A group larger than a shard fills several.
 
 Cases: repeated rows are rows of their own; null doc_id sorts first; an empty table gives an
 empty result; fewer rows than shards leave shards empty.
@@ -12,15 +17,17 @@ empty result; fewer rows than shards leave shards empty.
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import block_of, ranked
 from tidemark.sources.store import settle
 
 SHARDS = 24
-ROUNDS = 16
+#: Rounds at most; earlier end after ``STILL`` rounds in a row that did not make any group whole.
+ROUNDS, STILL = 48, 6
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -34,50 +41,90 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def _wanted(linked: DataFrame, cap: int, shards: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with a better shard (``_to``), and the accepted number of moves by (shard, _to)."""
+def _cycles(want: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """Accepted moves by (shard, to): no shard gains more than its room.
+
+    Wanted moves are taken along the shortest chain from a move's target to room or back to its
+    start, until no chain is left. Every step uses up a move or a room.
+    """
+    left = {pair: n for pair, n in want.items() if n > 0}
+    out: dict[int, set[int]] = {}
+    for i, j in left:
+        out.setdefault(i, set()).add(j)
+    room, quota = list(room), {}
+    for first in sorted(left):
+        while left.get(first):
+            start, at = first
+            came, queue, end = {at: None}, deque([at]), None
+            while queue and end is None:
+                s = queue.popleft()
+                if s == start or room[s] > 0:
+                    end = s
+                    break
+                for t in sorted(out.get(s, ())):
+                    if t not in came:
+                        came[t] = s
+                        queue.append(t)
+            if end is None:
+                break
+            path, s = [first], end
+            while came[s] is not None:
+                path.append((came[s], s))
+                s = came[s]
+            n = min(left[p] for p in path)
+            if end != start:
+                n = min(n, room[end])
+                room[end] -= n
+                room[start] += n
+            for p in path:
+                quota[p] = quota.get(p, 0) + n
+                left[p] -= n
+                if not left[p]:
+                    del left[p]
+                    out[p[0]].discard(p[1])
+    return quota
+
+
+def _wanted(linked: DataFrame, cap: int, shards: int, turn: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Documents with a better shard (``_to``), the accepted moves by (shard, _to) if there are any, and the parts of groups."""
     spark = linked.sparkSession
-    here = linked.groupBy("_g", "shard").agg(F.count("*").alias("_c"))
-    load = here.groupBy("shard").agg(F.sum("_c").alias("_load"))
-    room = spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(load, "shard", "left")
-    room = room.select("shard", (F.lit(cap) - F.coalesce("_load", F.lit(0))).alias("_room"))
-    best = (
-        here.join(room, "shard")
-        .groupBy("_g")
-        .agg(F.max(F.struct((F.col("_room") > 0).alias("free"), F.col("_c").alias("c"), (-F.col("shard")).alias("s"))).alias("_best"), F.count("*").alias("_shards"))
-        .filter("_shards > 1")
-        .select("_g", (-F.col("_best.s")).alias("_to"), F.col("_best.c").alias("_most"))
-    )
-    moves = linked.join(here, ["_g", "shard"]).join(best, "_g").filter((F.col("shard") != F.col("_to")) & ((F.col("_c") < F.col("_most")) | ((F.col("_c") == F.col("_most")) & (F.col("shard") > F.col("_to")))))
-    want = moves.groupBy("shard", "_to").agg(F.count("*").alias("_n"))
-    back = want.select(F.col("_to").alias("shard"), F.col("shard").alias("_to"), F.col("_n").alias("_back"))
-    flow = want.join(back, ["shard", "_to"], "left").withColumn("_swap", F.least("_n", F.coalesce("_back", F.lit(0))))
-    before = W.partitionBy("_to").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    free = room.select(F.col("shard").alias("_to"), "_room")
-    quota = (
-        flow.join(free, "_to")
-        .withColumn("_more", F.col("_n") - F.col("_swap"))
-        .withColumn("_left", F.greatest(F.col("_room") - F.coalesce(F.sum("_more").over(before), F.lit(0)), F.lit(0)))
-        .select("shard", "_to", (F.col("_swap") + F.least("_more", "_left")).alias("_quota"))
+    here = settle(linked.groupBy("_g", "shard").agg(F.count("*").alias("_c"), F.first("_members").alias("_members")))
+    load = {r["shard"]: r["n"] for r in here.groupBy("shard").agg(F.sum("_c").alias("n")).collect()}
+    room = [max(cap - load.get(s, 0), 0) for s in range(shards)]
+    free = F.array(*[F.lit(s) for s in range(shards) if room[s] > 0]).cast("array<int>")
+    chance = F.xxhash64("_g", "shard", F.lit(turn))
+    # In odd rounds a group that fits into a shard may go to any shard it is in.
+    loose = F.lit(turn % 2 == 1) & (F.col("_members") <= cap)
+    rank = F.struct(
+        F.when(loose, False).otherwise(F.array_contains(free, F.col("shard"))).alias("free"), F.when(loose, F.lit(0)).otherwise(F.col("_c")).alias("c"), chance.alias("h"), F.col("shard").alias("s")
     )
-    return moves.drop("_c", "_most"), quota
+    best = here.withColumn("_loose", loose).groupBy("_g").agg(F.max(rank).alias("_best"), F.count("*").alias("_shards"), F.first("_loose").alias("_loose"))
+    best = best.filter("_shards > 1").select("_g", F.col("_best.s").alias("_to"), F.col("_best.c").alias("_most"), "_loose")
+    going = here.drop("_members").join(best, "_g").filter((F.col("shard") != F.col("_to")) & (F.col("_loose") | (F.col("_c") <= F.col("_most"))))
+    want = {(r["shard"], r["_to"]): r["n"] for r in going.groupBy("shard", "_to").agg(F.sum("_c").alias("n")).collect()}
+    quota = _cycles(want, room)
+    rows = [(i, j, n) for (i, j), n in quota.items()]
+    table = spark.createDataFrame(rows, "shard int, _to int, _quota long") if rows else None
+    return linked.join(going.select("_g", "shard", "_to"), ["_g", "shard"]), table, here.count()
 
 
 def propagate(linked: DataFrame, cap: int, shards: int, n: int, rounds: int = ROUNDS) -> DataFrame:
-    """Move linked documents (with ``_g`` and ``shard``) until no round accepts a move."""
-    state = settle(linked)
-    for _ in range(rounds):
-        moves, quota = _wanted(state, cap, shards)
+    """Move linked documents (with ``_g`` and ``shard``) until rounds no longer bring groups together."""
+    state, least, still = settle(linked), None, 0
+    for turn in range(rounds):
+        moves, quota, parts = _wanted(state, cap, shards, turn)
+        still = 0 if least is None or parts < least else still + 1
+        least = parts if least is None else min(least, parts)
+        if still >= STILL:
+            break
+        if quota is None:
+            continue
         order: list[Column] = [F.xxhash64("_g"), F.col("doc_id"), F.col("_row")]
         # Whole groups stay together in a block; one above the block size is parted by its ids.
         part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_members") / 50_000)).cast("int")
         chosen = ranked(moves, ["shard", "_to"], order, [block_of(F.col("_g"), n), part]).join(quota, ["shard", "_to"]).filter("rank < _quota")
         moved = state.join(chosen.select("_row", F.col("_to").alias("_new")), "_row", "left")
-        now = settle(moved.select(*[c for c in state.columns if c != "shard"], F.coalesce("_new", "shard").alias("shard"), F.col("_new").isNotNull().alias("_moved")))
-        changed = now.filter("_moved").limit(1).count()
-        state = now.drop("_moved")
-        if not changed:
-            break
+        state = settle(moved.select(*[c for c in state.columns if c != "shard"], F.coalesce("_new", "shard").alias("shard")))
     return state
 
 
