@@ -124,6 +124,14 @@ def test_substrings_in_small_blocks(docs, monkeypatch):
     assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in substrings.digest(docs).collect())
 
 
+def test_equal_rows_of_one_block_keep_their_text(spark):
+    rows = [(1, prose(8100, 60)), (1, prose(8100, 60)), (1, prose(8100, 60)), (2, prose(8100, 60)), (3, prose(8200, 50)), (3, prose(8200, 50))]
+    want = brute_repeats(rows)
+    got = substrings.digest(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == 6 and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
+    assert want[1][1] == 0 and want[2][1] == 60
+
+
 # ── 3 quality ────────────────────────────────────────────────────────────────
 def test_quality_base_matches_brute_force(spark, docs, empty):
     more = spark.createDataFrame([(200 + i, prose(i, 200) + " #$%&" * (300 if i == 0 else 0), "en", "src0", 1) for i in range(40)], SCHEMA)

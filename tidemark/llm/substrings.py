@@ -182,12 +182,13 @@ def _send(filters) -> object:
             doc, start, prefix, code = s.doc[keep], s.start[keep], s.prefix[keep], s.code[keep]
             ids, hs = s.ids[doc], s.hashes[doc]
             order = np.lexsort((hs, start, ids, code, prefix))
+            p, c, d, b, h = prefix[order], code[order], ids[order], start[order], hs[order]
+            # Every leaf against the first of its node: equal rows of that document are first as well.
+            node = np.ones(len(order), dtype=bool)
+            node[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
+            lead = np.maximum.accumulate(np.where(node, np.arange(len(order)), 0))
             later = np.zeros(len(order), dtype=bool)
-            if len(order) > 1:
-                a, b = order[1:], order[:-1]
-                later[a] = (prefix[a] == prefix[b]) & (code[a] == code[b])
-                same_row = later[a] & (ids[a] == ids[b]) & (start[a] == start[b]) & (hs[a] == hs[b])
-                later[a[same_row]] = later[b[same_row]]
+            later[order] = (d != d[lead]) | (b != b[lead]) | (h != h[lead])
             frequent = Filters.holds(f.frequent, prefix, HOT_BITS)
             out = []
             at = np.flatnonzero(later)
