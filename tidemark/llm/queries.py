@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, substrings, warc
+from tidemark.llm import chat, decontaminate, jaccard, langid, mixing, phrases, quality, secrets, sharding, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +121,30 @@ FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id =
 @query("op2_substring_dedup", OP2_SQL)
 def op2(spark, sf_dir):
     return substrings.digest(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, t.n, cut,
+             (CAST(1000 AS HUGEINT) * cuts.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+      FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.ws[1:cut], ' ')
+                JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.ws[cut + 1:], ' ') JOIN t ON t.lang = cuts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+m AS (SELECT lang, a, ws, k, unnest(range(2, k)) AS m FROM c WHERE k >= 3),
+i AS (SELECT lang, a, ws, m, unnest(range(1, k - m + 2)) AS st FROM m),
+h AS (SELECT lang, array_to_string(ws[st:st + m - 1], ' ') AS phrase, max(a) AS longer FROM i GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.longer IS NULL OR h.longer < a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score, cut FROM o WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13(spark, sf_dir):
+    return phrases.digest(table(spark, sf_dir, "documents"))
