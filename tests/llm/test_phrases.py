@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,12 +69,23 @@ def test_phrases_match_brute_force(docs, key_bits, least, top):
 
 def test_small_chunks_and_filters_change_nothing(docs, monkeypatch):
     want = brute(rows(), 20, 2000)
-    monkeypatch.setattr(phrases, "CHUNK", 200)
     monkeypatch.setattr(phrases, "HELD", 500)
     monkeypatch.setattr(phrases, "MOST_BITS", 6)
     assert {tuple(r) for r in phrases.collocations(docs, 20).collect()} == want
 
 
+def test_long_texts_are_cut_at_ends_of_pieces(monkeypatch):
+    frame = pd.DataFrame({"raw": [r[1].encode() if r[1] is not None else None for r in rows()], "lang": "en"})
+
+    def keys(size):
+        monkeypatch.setattr(phrases, "CHUNK", size)
+        chunks = [w for w, _ in phrases._chunks(iter([frame]))]
+        return len(chunks), [Counter(k for w in chunks for k in w.grams(n, 64)[1].tolist()) for n in (1, 3, 5)]
+
+    many, one = keys(100), keys(1 << 20)
+    assert many[0] > 100 > one[0] and many[1] == one[1]
+
+
 def test_prefix_polynomials_give_equal_stretches_equal_numbers():
     v = np.array([5, 6, 7, 1, 5, 6, 7, 2], dtype=np.uint64)
     p = phrases.Polynomial(v, phrases.BYTE_BASES[0])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, jaccard, langid, mixing, phrases, quality, secrets, sharding, substrings, warc
+from tidemark.llm import bitsliced, chat, decontaminate, jaccard, langid, mixing, phrases, quality, secrets, sharding, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -148,3 +148,17 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT
 @query("op13_phrase_collocations", OP13_SQL)
 def op13(spark, sf_dir):
     return phrases.digest(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH e AS (SELECT row_number() OVER () AS row, vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, e.vec_id, CAST(list_dot_product(q.v, e.v) AS BIGINT) AS score FROM e q JOIN e ON e.row <> q.row AND len(e.v) = len(q.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op12_bitsliced_topk", OP12_SQL)
+def op12(spark, sf_dir):
+    return bitsliced.digest(table(spark, sf_dir, "embeddings"))
