@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitsliced, chat, decontaminate, jaccard, langid, mixing, phrases, quality, secrets, sharding, substrings, warc
+from tidemark.llm import bitsliced, chat, decontaminate, jaccard, langid, mixing, phrases, quality, secrets, sharding, substrings, tries, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,3 +162,33 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @query("op12_bitsliced_topk", OP12_SQL)
 def op12(spark, sf_dir):
     return bitsliced.digest(table(spark, sf_dir, "embeddings"))
+
+
+# crc32 bit by bit (fixed polynomial); a node's key is the chain of its turns' digests.
+OP11_SQL = """
+WITH t AS (SELECT conv_id, strlen(coalesce(text, '')) AS bytes, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 5 AS lead,
+             list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')],
+                         lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+      FROM t GROUP BY conv_id),
+i AS (SELECT c.conv_id, c.lead, xor(c.crc, 4294967295) % 9 AS h, least(xor(c.crc, 4294967295) % 9, coalesce(l.own, 0)) AS taken, c.own FROM c LEFT JOIN c l ON l.conv_id = c.lead),
+r AS (SELECT i.conv_id, t.pos, code, bytes FROM i JOIN t ON t.conv_id = i.lead AND t.pos < i.h
+      UNION ALL SELECT i.conv_id, t.pos - i.h + i.taken, code, bytes FROM i JOIN t ON t.conv_id = i.conv_id AND t.pos >= i.h),
+p AS (SELECT conv_id, pos + 1 AS depth, bytes, string_agg(code, '') OVER (PARTITION BY conv_id ORDER BY pos) AS k FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM i),
+n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n, max(bytes) AS bytes FROM p GROUP BY depth, k),
+u AS (SELECT n.*, up.k AS pk, v.conv_id AS parent FROM n LEFT JOIN p up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1 LEFT JOIN n v ON v.depth = up.depth AND v.k = up.k),
+kids AS (SELECT depth - 1 AS depth, pk AS k, count(*) AS kids FROM u WHERE depth > 0 GROUP BY ALL),
+s AS (SELECT p.depth, p.k, sum(CASE WHEN kids IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * n.bytes) AS saved
+      FROM n LEFT JOIN kids ON kids.depth = n.depth AND kids.k = n.k JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.k),
+e AS (SELECT depth, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY depth, k)
+SELECT u.conv_id, u.depth, u.parent AS parent_conv_id, u.n AS n_convs, coalesce(kids, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM u JOIN s ON s.depth = u.depth AND s.k = u.k LEFT JOIN kids ON kids.depth = u.depth AND kids.k = u.k LEFT JOIN e ON e.depth = u.depth AND e.k = u.k
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark, sf_dir):
+    return tries.digest(table(spark, sf_dir, "conversations"))
