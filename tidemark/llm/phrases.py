@@ -117,15 +117,31 @@ class Words:
         return " ".join(self.buf[self.start[at + k] : self.end[at + k]].decode("utf-8", "replace") for k in range(n))
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Words, list[str]]]:
-    """Texts in chunks of about ``CHUNK`` bytes; a longer text is cut at ends of pieces."""
+class Filter:
+    """A Bloom filter on the tasks, sized from the number of values."""
+
+    def __init__(self, values: DataFrame) -> None:
+        self.size = values.count()
+        self.bits = min(MOST_BITS, max(12, (16 * max(1, self.size)).bit_length()))
+        self.field = values.sparkSession.sparkContext.broadcast(bloom(values, self.bits)) if self.size else None
+
+    def has(self, v: np.ndarray) -> np.ndarray:
+        return in_bloom(self.field.value, v, self.bits) if self.field else np.zeros(len(v), dtype=bool)
+
+
+def _chunks(batches: Iterator[pd.DataFrame], only: Filter | None = None) -> Iterator[tuple[Words, dict[str, int]]]:
+    """Texts in chunks of about ``CHUNK`` bytes, those whose number passes ``only``.
+
+    A longer text is cut at ends of pieces.
+    """
     held, size, langs = [], 0, {}
     for batch in batches:
-        for raw, lang in zip(batch["raw"], batch["lang"], strict=True):
-            if raw is None or not len(raw):
+        docs = np.array([0 if raw is None else xxhash.xxh3_64_intdigest(raw) >> 32 for raw in batch["raw"]], dtype=np.int64)
+        wanted = np.ones(len(docs), dtype=bool) if only is None else only.has(docs)
+        for raw, lang, doc, ok in zip(batch["raw"], batch["lang"], docs.tolist(), wanted, strict=True):
+            if not ok or raw is None or not len(raw):
                 continue
             number = langs.setdefault(lang, xxhash.xxh3_64_intdigest(lang.encode()))
-            doc = xxhash.xxh3_64_intdigest(raw) >> 32
             at = 0
             while at < len(raw):
                 to = at + CHUNK
@@ -156,19 +172,8 @@ def _added(keys: list[np.ndarray], marks: list[np.ndarray]) -> pd.DataFrame:
     lo, hi = (np.minimum.reduceat(mark, first), np.maximum.reduceat(mark, first)) if len(key) else (mark, mark)
     odd = (lo >> 32) != (hi >> 32)
     u = _signed(key[first])
-    return pd.DataFrame({"key": np.concatenate([u, u[odd]]), "n": np.concatenate([n, np.zeros(odd.sum(), dtype=np.int64)]), "mark": np.concatenate([lo, hi[odd]])})
-
-
-class Filter:
-    """A Bloom filter on the tasks, sized from the number of values."""
-
-    def __init__(self, values: DataFrame) -> None:
-        self.size = values.count()
-        self.bits = min(MOST_BITS, max(12, (16 * max(1, self.size)).bit_length()))
-        self.field = values.sparkSession.sparkContext.broadcast(bloom(values, self.bits)) if self.size else None
-
-    def has(self, v: np.ndarray) -> np.ndarray:
-        return in_bloom(self.field.value, v, self.bits) if self.field else np.zeros(len(v), dtype=bool)
+    found = pd.DataFrame({"key": np.concatenate([u, u[odd]]), "n": np.concatenate([n, np.zeros(odd.sum(), dtype=np.int64)]), "mark": np.concatenate([lo, hi[odd]])})
+    return found.assign(lang=None)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -176,11 +181,18 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _count(texts: DataFrame, orders: tuple[int, ...], parts: Filter | None, part: int, least: int, key_bits: int) -> DataFrame:
-    """Keys of the given orders with ``least`` occurrences or more; all their ``part``-grams pass ``parts``."""
+    """Keys of the given orders with ``least`` occurrences or more; all their ``part``-grams pass ``parts``.
+
+    Without ``parts`` there is also a row per language, without a key, that counts its words.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, marks, size = [], [], 0
-        for w, _ in _chunks(batches):
+        total: Counter = Counter()
+        for w, langs in _chunks(batches):
+            names = {v: k for k, v in langs.items()}
+            for k, c in zip(*np.unique(w.lang, return_counts=True), strict=True):
+                total[names[int(k)]] += int(c)
             good = None
             if parts is not None:
                 good = np.zeros(len(w.start) + 1, dtype=np.int64)
@@ -201,11 +213,14 @@ def _count(texts: DataFrame, orders: tuple[int, ...], parts: Filter | None, part
                 keys, marks, size = [], [], 0
         if size:
             yield _added(keys, marks)
+        if parts is None and total:
+            yield pd.DataFrame({"key": pd.array([None] * len(total), dtype="Int64"), "n": list(total.values()), "mark": pd.array([None] * len(total), dtype="Int64"), "lang": list(total)}, columns=columns)
 
+    columns = ["key", "n", "mark", "lang"]
     # Tasks have added up their own rows: what is shuffled holds one pointer, and is added up once.
-    rows = texts.mapInPandas(scan, "key long, n long, mark long").repartition("key")
-    found = rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
-    return settle(found.filter(F.col("n") >= least))
+    rows = texts.mapInPandas(scan, "key long, n long, mark long, lang string").repartition("key", "lang")
+    found = rows.groupBy("key", "lang").agg(F.sum("n").alias("n"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+    return settle(found.filter((F.col("n") >= least) | F.col("key").isNull()))
 
 
 def _pair(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -213,50 +228,47 @@ def _pair(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return _signed(mixed(key + doc * _M2))
 
 
-def _cut_out(texts: DataFrame, found: DataFrame, key_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Phrases (lang, phrase, words, a) of the counted keys, and the words of each language."""
+def _cut_out(texts: DataFrame, found: DataFrame, key_bits: int) -> DataFrame:
+    """Phrases (lang, phrase, words, a) of the counted keys.
+
+    Only pointed documents are opened, and all if a key stands for several phrases.
+    """
     alike = F.shiftright("lo", 32) == F.shiftright("hi", 32)
     single, several = found.filter(alike), found.filter(~alike)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            doc = b["lo"].to_numpy().view(np.uint64) & np.uint64(0xFFFFFFFF)
-            yield pd.DataFrame({"v": _pair(b["key"].to_numpy().view(np.uint64), doc)})
+            yield pd.DataFrame({"v": _pair(b["key"].to_numpy().view(np.uint64), b["doc"].to_numpy().view(np.uint64))})
 
-    pointed = Filter(single.select("key", "lo").mapInPandas(pairs, "v long"))
+    doc = F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)).alias("doc")
+    opened = Filter(single.select(doc.alias("v")).distinct())
+    pointed = Filter(single.select("key", doc).mapInPandas(pairs, "v long"))
     shared = Filter(several.select(F.col("key").alias("v")))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for w, langs in _chunks(batches):
+        for w, langs in _chunks(batches, None if shared.size else opened):
             names = {v: k for k, v in langs.items()}
-            for k, c in zip(*np.unique(w.lang, return_counts=True), strict=True):
-                total[names[int(k)]] += int(c)
             out, counted = [], Counter()
             for n in range(1, LONGEST + 1):
                 at, key = w.grams(n, key_bits)
                 hit = np.flatnonzero(pointed.has(_pair(key, w.doc[at])))
-                if not len(hit) and not shared.size:
-                    continue
                 mark = _signed(w.pointers(at[hit], n)) >> 32
-                for j in {(k, m): j for j, (k, m) in enumerate(zip(key[hit].tolist(), mark.tolist(), strict=True))}.values():
-                    i = hit[j]
-                    out.append((int(_signed(key)[i]), int(mark[j]), names[int(w.lang[at[i]])], w.phrase(at[i], n), n, 0))
-                for i in np.flatnonzero(shared.has(_signed(key))):
+                for (k, m), j in {(k, m): j for j, (k, m) in enumerate(zip(_signed(key[hit]).tolist(), mark.tolist(), strict=True))}.items():
+                    i = at[hit[j]]
+                    out.append((k, m, names[int(w.lang[i])], w.phrase(i, n), n, 0))
+                for i in np.flatnonzero(shared.has(_signed(key))) if shared.size else ():
                     counted[int(_signed(key)[i]), names[int(w.lang[at[i]])], w.phrase(at[i], n), n] += 1
             out += [(k, None, lang, p, n, c) for (k, lang, p, n), c in counted.items()]
             yield pd.DataFrame(out, columns=columns).astype({"mark": "Int64"})
-        yield pd.DataFrame([(None, None, lang, None, 0, c) for lang, c in total.items()], columns=columns).astype({"key": "Int64", "mark": "Int64"})
 
     columns = ["key", "mark", "lang", "phrase", "words", "c"]
     rows = settle(texts.mapInPandas(scan, "key long, mark long, lang string, phrase string, words int, c long"))
-    totals = rows.filter("words = 0").groupBy("lang").agg(F.sum("c").alias("n"))
-    opened = rows.filter("mark IS NOT NULL").select("key", "mark", "lang", "phrase", "words").distinct()
+    cut = rows.filter("mark IS NOT NULL").select("key", "mark", "lang", "phrase", "words").distinct()
     known = single.select("key", F.col("n").alias("a"), F.shiftright("lo", 32).alias("mark"))
-    a = opened.join(known, ["key", "mark"]).select("lang", "phrase", "words", "a")
-    again = rows.filter("mark IS NULL AND words > 0").join(several.select("key"), "key", "left_semi")
+    a = cut.join(known, ["key", "mark"]).select("lang", "phrase", "words", "a")
+    again = rows.filter("mark IS NULL").join(several.select("key"), "key", "left_semi")
     b = again.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"))
-    return a.unionAll(b), totals
+    return a.unionAll(b)
 
 
 def frequent(docs: DataFrame, least: int = LEAST, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -267,13 +279,14 @@ def frequent(docs: DataFrame, least: int = LEAST, key_bits: int = 64) -> tuple[D
     """
     short_batches(docs.sparkSession)
     texts = _texts(docs)
-    one = _count(texts, (1,), None, 1, least, key_bits)
-    two = _count(texts, (2,), Filter(one.select(F.col("key").alias("v"))), 1, least, key_bits)
-    more = _count(texts, tuple(range(3, LONGEST + 1)), Filter(two.select(F.col("key").alias("v"))), 2, least, key_bits)
+    words = _count(texts, (1,), None, 1, least, key_bits)
+    one = words.filter("key IS NOT NULL").drop("lang")
+    two = _count(texts, (2,), Filter(one.select(F.col("key").alias("v"))), 1, least, key_bits).drop("lang")
+    more = _count(texts, tuple(range(3, LONGEST + 1)), Filter(two.select(F.col("key").alias("v"))), 2, least, key_bits).drop("lang")
     # With few key bits one key may stand for phrases of several lengths.
     found = one.unionAll(two).unionAll(more).groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    phrases, totals = _cut_out(texts, settle(found), key_bits)
-    return settle(phrases.filter(F.col("a") >= least)), settle(totals)
+    phrases = _cut_out(texts, settle(found), key_bits)
+    return settle(phrases.filter(F.col("a") >= least)), words.filter("key IS NULL").select("lang", "n")
 
 
 def _joined(words: Column) -> Column:
