@@ -54,36 +54,57 @@ STALE_PHRASES = (
     "$70K psychological resistance",
     "200 MA distance: 28%",
 )
+# Stories about the market that may not stand in a page as text (literal, with case).
+NARRATIVES = (
+    "Goldman accumulation",
+    "Bull continuation 72%",
+    "+8.3 pts / upgrade",
+    "MVRV Z-Score 0.41",
+    "ETF inflows $69.6M",
+    "Powered by live market data.",
+)
 EXEMPT = "not financial advice"
-KINDS = ("term", "pattern", "stale")
+KINDS = ("term", "pattern", "stale", "narrative")
 
 
-def catalogue(spark: SparkSession, terms: Sequence[str] = (), patterns: Sequence[str] = (), stale: Sequence[str] = ()) -> DataFrame:
+def catalogue(spark: SparkSession, terms: Sequence[str] = (), patterns: Sequence[str] = (), stale: Sequence[str] = (), narratives: Sequence[str] = ()) -> DataFrame:
     """The built-in catalogue and more entries as a table (id, kind, phrase)."""
-    own = ((*FORBIDDEN_TERMS, *terms), (*CLAIM_PATTERNS, *patterns), (*STALE_PHRASES, *stale))
+    own = ((*FORBIDDEN_TERMS, *terms), (*CLAIM_PATTERNS, *patterns), (*STALE_PHRASES, *stale), (*NARRATIVES, *narratives))
     rows = [(kind, phrase) for kind, phrases in zip(KINDS, own, strict=True) for phrase in phrases]
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, kind string, phrase string")
 
 
 def strip_comments(text: Column) -> Column:
-    """Block comments and full-line ``//`` comments are not claims."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")
+    """Block comments and full-line ``//`` comments are not claims.
+
+    Only what stands before the last end mark of a block is searched for blocks, so that an open
+    mark without an end is never followed to the end of the text again and again.
+    """
+    tail = F.substring_index(text, "*/", -1)
+    head = F.left(text, F.length(text) - F.length(tail))
+    return F.regexp_replace(F.concat(F.regexp_replace(head, r"(?s)/\*.*?\*/", ""), tail), r"(?m)^[^\S\n]*+//.*$", "")
+
+
+def without_lines(text: Column, phrase: str) -> Column:
+    """The text without the lines that hold the phrase, in time linear in its length."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.contains(line, F.lit(phrase))), "\n")
 
 
 def phrase_scan(docs: DataFrame, key: str, phrases: DataFrame, text: str = "text") -> DataFrame:
     """(key, phrase, kind) for every entry of the catalogue a document holds.
 
     The catalogue (id, kind, phrase) is a small table of rules; its entries become expressions of
-    one pass over the documents, without a join. Terms and patterns ignore case, stale phrases do
-    not. A line that holds the disclaimer is left out for terms, which it negates; the other
-    lines of the document are still scanned.
+    one pass over the documents, without a join. Terms and patterns ignore case, stale phrases and
+    narratives do not. A line that holds the disclaimer is left out for terms, which it negates;
+    the other lines of the document are still scanned.
     """
     raw = F.col(text)
     marked = F.contains(raw, F.lit("//")) | F.contains(raw, F.lit("/*"))
     body = docs.select(key, F.when(marked, strip_comments(raw)).otherwise(raw).alias("_b")).withColumn("_t", F.lower("_b"))
     exempt = F.contains("_t", F.lit(EXEMPT))
-    body = body.withColumn("_x", F.when(exempt, F.regexp_replace("_t", f"[^\n]*{EXEMPT}[^\n]*", "")).otherwise(F.col("_t")))
-    tests = {"term": lambda p: F.contains("_x", F.lit(p)), "pattern": lambda p: F.col("_t").rlike(p), "stale": lambda p: F.contains("_b", F.lit(p))}
+    body = body.withColumn("_x", F.when(exempt, without_lines(F.col("_t"), EXEMPT)).otherwise(F.col("_t")))
+    as_written = lambda p: F.contains("_b", F.lit(p))
+    tests = {"term": lambda p: F.contains("_x", F.lit(p)), "pattern": lambda p: F.col("_t").rlike(p), "stale": as_written, "narrative": as_written}
     rules = phrases.orderBy("id").collect()
     hits = [F.when(tests[r["kind"]](r["phrase"]), F.struct(F.lit(r["phrase"]).alias("phrase"), F.lit(r["kind"]).alias("kind"))) for r in rules]
     # The outer generator keeps the optimizer from repeating all tests in a filter below it.

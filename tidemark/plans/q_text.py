@@ -21,6 +21,7 @@ _c = F.col
 TERMS = ("licen", "copyright", "http", "password", "the ", "que ")
 PATTERNS = (r"[a-z0-9]+@[a-z0-9]+\.[a-z]+", r"\+?[0-9]{3}[- ][0-9]{3}")
 STALE = ("The ", "Que ", "token = ")
+NARRATIVES = ("Der ", "Goldman")
 
 
 def _quoted(values):
@@ -42,11 +43,12 @@ def _found(kind, phrases, test):
 @query("phrase_scan", sql(" UNION ALL ".join((
     _found("term", (*T.FORBIDDEN_TERMS, *TERMS), "contains(x, phrase)"),
     _found("pattern", (*T.CLAIM_PATTERNS, *PATTERNS), "regexp_matches(t, phrase)"),
-    _found("stale", (*T.STALE_PHRASES, *STALE), "contains(b, phrase)")))))
+    _found("stale", (*T.STALE_PHRASES, *STALE), "contains(b, phrase)"),
+    _found("narrative", (*T.NARRATIVES, *NARRATIVES), "contains(b, phrase)")))))
 def phrase_scan(spark, d):
     docs = I.table(spark, d, "documents")
     docs = docs.withColumn("text", F.when(_c("doc_id") % 7 == 0, F.concat("text", F.lit(_DISCLAIMED))).otherwise(_c("text")))
-    return T.phrase_scan(docs, "doc_id", T.catalogue(spark, TERMS, PATTERNS, STALE))
+    return T.phrase_scan(docs, "doc_id", T.catalogue(spark, TERMS, PATTERNS, STALE, NARRATIVES))
 
 
 WINDOW = 24
