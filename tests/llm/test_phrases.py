@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import phrases
+from tidemark.llm import common, phrases
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ["key", "n", "mark", "lo", "hi", "raw", "phrase", "words", "a", "l", "r", "rank", "score", "k", "ws", "v", "c", "_t"]
@@ -70,7 +70,7 @@ def test_phrases_match_brute_force(docs, key_bits, least, top):
 def test_small_chunks_and_filters_change_nothing(docs, monkeypatch):
     want = brute(rows(), 20, 2000)
     monkeypatch.setattr(phrases, "HELD", 500)
-    monkeypatch.setattr(phrases, "MOST_BITS", 6)
+    monkeypatch.setattr(common, "MOST_BITS", 6)
     assert {tuple(r) for r in phrases.collocations(docs, 20).collect()} == want
 
 

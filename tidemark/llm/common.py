@@ -28,6 +28,16 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bits of the largest filter, as a power of two: 32 MB on every task.
+MOST_BITS = 28
 PIECE = 8192
 PIECES = "part int, vec binary"
 
@@ -88,6 +98,21 @@ def in_bloom(field: np.ndarray, v: np.ndarray, bits: int) -> np.ndarray:
     return (hit[0] & hit[1]).astype(bool)
 
 
+class Filter:
+    """A Bloom filter on the tasks, sized from the number of values (column ``v``).
+
+    Beyond ``MOST_BITS`` more values pass that are not in it: it spares work, and never decides alone.
+    """
+
+    def __init__(self, values: DataFrame) -> None:
+        self.size = values.count()
+        self.bits = min(MOST_BITS, max(12, (16 * max(1, self.size)).bit_length()))
+        self.field = values.sparkSession.sparkContext.broadcast(bloom(values, self.bits)) if self.size else None
+
+    def has(self, v: np.ndarray) -> np.ndarray:
+        return in_bloom(self.field.value, v, self.bits) if self.field else np.zeros(len(v), dtype=bool)
+
+
 def components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the links (``a``, ``b``): one row (``id``, ``component_id``) per linked id.
 

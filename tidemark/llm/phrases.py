@@ -6,14 +6,15 @@ words' numbers every n-gram, a fingerprint in one subtraction and one product, w
 
 1. Three scans count fingerprints: words, pairs of frequent words, then longer phrases made of
    frequent pairs only. A task adds up its own occurrences; the shuffle holds a row
-   (fingerprint, occurrences, pointer) per task and fingerprint. A pointer is 32 bits of a second,
-   independent polynomial and 32 bits of the hash of a document that holds the phrase.
+   (fingerprint, occurrences, pointer) per task and fingerprint. A pointer is 15 bits of a second,
+   independent polynomial and 16 bits of the hash of a document that holds the phrase; the least
+   pointer is kept, so that few documents are pointed to.
 2. A fingerprint whose first and last pointer disagree in the second polynomial stands for several
    phrases: its occurrences are counted again by their words.
 3. One more scan opens the pointed documents and cuts out the words of frequent phrases only.
 
 Frequent fingerprints and pointers reach the tasks as Bloom filters sized from their number, up to
-``MOST_BITS``; beyond it more occurrences pass a filter, and results stay the same, since counts and
+``common.MOST_BITS``; beyond it more occurrences pass a filter, and results stay the same, since counts and
 pointers decide.
 
 Cases: null text is empty, null lang is ``und``; texts without words count for nothing; a long text
@@ -34,19 +35,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bloom, in_bloom, short_batches
+from tidemark.llm.common import Filter, short_batches
 from tidemark.sources.store import settle
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text hashed at once, and occurrences that a task adds up before it hands them on.
 CHUNK, HELD = 1 << 20, 1 << 21
-#: Largest filter: 2 ** 28 bits, 32 MB.
-MOST_BITS = 28
 # What parts pieces and what parts words (fixed values of the contract).
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 # Odd bases of the polynomials over bytes and over words, and odd multipliers (fixed values).
 BYTE_BASES, WORD_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: The pointer of a language's total, above all others that are used.
+TOTAL = 0x7FFFFFFF
 _BREAK = re.compile(b"[" + BREAKS + b"]")
 _KIND = np.zeros(256, dtype=np.int8)
 _KIND[list(BLANKS)] = 1
@@ -110,25 +111,14 @@ class Words:
         return at, key >> np.uint64(64 - key_bits)
 
     def pointers(self, at: np.ndarray, n: int) -> np.ndarray:
-        """The second polynomial's upper half above the document's number."""
-        return (mixed(self.poly[1].of(at, at + n)) >> np.uint64(32) << np.uint64(32)) | self.doc[at]
+        """15 bits of the second polynomial above the 16 bits of the document's number; not ``TOTAL``."""
+        mark = (mixed(self.poly[1].of(at, at + n)) >> np.uint64(49) << np.uint64(16)) | self.doc[at]
+        return np.minimum(mark, np.uint64(TOTAL - 1))
 
     def phrase(self, at: int, n: int) -> str:
         return " ".join(self.buf[self.start[at + k] : self.end[at + k]].decode("utf-8", "replace") for k in range(n))
 
 
-class Filter:
-    """A Bloom filter on the tasks, sized from the number of values."""
-
-    def __init__(self, values: DataFrame) -> None:
-        self.size = values.count()
-        self.bits = min(MOST_BITS, max(12, (16 * max(1, self.size)).bit_length()))
-        self.field = values.sparkSession.sparkContext.broadcast(bloom(values, self.bits)) if self.size else None
-
-    def has(self, v: np.ndarray) -> np.ndarray:
-        return in_bloom(self.field.value, v, self.bits) if self.field else np.zeros(len(v), dtype=bool)
-
-
 def _chunks(batches: Iterator[pd.DataFrame], only: Filter | None = None) -> Iterator[tuple[Words, dict[str, int]]]:
     """Texts in chunks of about ``CHUNK`` bytes, those whose number passes ``only``.
 
@@ -136,12 +126,12 @@ def _chunks(batches: Iterator[pd.DataFrame], only: Filter | None = None) -> Iter
     """
     held, size, langs = [], 0, {}
     for batch in batches:
-        docs = np.array([0 if raw is None else xxhash.xxh3_64_intdigest(raw) >> 32 for raw in batch["raw"]], dtype=np.int64)
+        docs = np.array([0 if raw is None else xxhash.xxh3_64_intdigest(raw) >> 48 for raw in batch["raw"]], dtype=np.int64)
         wanted = np.ones(len(docs), dtype=bool) if only is None else only.has(docs)
         for raw, lang, doc, ok in zip(batch["raw"], batch["lang"], docs.tolist(), wanted, strict=True):
             if not ok or raw is None or not len(raw):
                 continue
-            number = langs.setdefault(lang, xxhash.xxh3_64_intdigest(lang.encode()))
+            number = langs.setdefault(lang, _number(lang))
             at = 0
             while at < len(raw):
                 to = at + CHUNK
@@ -163,17 +153,29 @@ def _signed(v: np.ndarray) -> np.ndarray:
 
 
 def _added(keys: list[np.ndarray], marks: list[np.ndarray]) -> pd.DataFrame:
-    """One row per key: occurrences and least pointer; one more where the pointers disagree."""
+    """One row per key: occurrences and least pointer; one more where the pointers disagree.
+
+    Pointer and occurrences share a number, the pointer in its upper half.
+    """
     key, mark = np.concatenate(keys), np.concatenate(marks)
     order = np.argsort(key)
-    key, mark = key[order], _signed(mark)[order]
+    key, mark = key[order], mark[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], dtype=np.int64)
-    n = np.diff(np.append(first, len(key)))
+    n = np.diff(np.append(first, len(key))).astype(np.uint64)
     lo, hi = (np.minimum.reduceat(mark, first), np.maximum.reduceat(mark, first)) if len(key) else (mark, mark)
-    odd = (lo >> 32) != (hi >> 32)
-    u = _signed(key[first])
-    found = pd.DataFrame({"key": np.concatenate([u, u[odd]]), "n": np.concatenate([n, np.zeros(odd.sum(), dtype=np.int64)]), "mark": np.concatenate([lo, hi[odd]])})
-    return found.assign(lang=None)
+    odd = (lo >> np.uint64(16)) != (hi >> np.uint64(16))
+    key = key[first]
+    high = np.uint64(32)
+    return pd.DataFrame({"key": _signed(np.concatenate([key, key[odd]])), "found": _signed(np.concatenate([lo << high | n, hi[odd] << high]))})
+
+
+def _total_key(lang: int) -> int:
+    """The key of a language's words: that of a phrase without words."""
+    return int(_signed(mixed(np.array([lang], dtype=np.uint64) * _M1))[0])
+
+
+def _number(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode())
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -183,22 +185,21 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _count(texts: DataFrame, orders: tuple[int, ...], parts: Filter | None, part: int, least: int, key_bits: int) -> DataFrame:
     """Keys of the given orders with ``least`` occurrences or more; all their ``part``-grams pass ``parts``.
 
-    Without ``parts`` there is also a row per language, without a key, that counts its words.
+    Without ``parts`` there is also a key for each language that counts its words.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, marks, size = [], [], 0
         total: Counter = Counter()
-        for w, langs in _chunks(batches):
-            names = {v: k for k, v in langs.items()}
-            for k, c in zip(*np.unique(w.lang, return_counts=True), strict=True):
-                total[names[int(k)]] += int(c)
+        for w, _ in _chunks(batches):
             good = None
             if parts is not None:
                 good = np.zeros(len(w.start) + 1, dtype=np.int64)
                 at, key = w.grams(part, key_bits)
                 good[1:][at[parts.has(_signed(key))]] = 1
                 good = np.cumsum(good)
+            else:
+                total.update(dict(zip(*(x.tolist() for x in np.unique(w.lang, return_counts=True)), strict=True)))
             for n in orders:
                 at, key = w.grams(n, key_bits)
                 if good is not None:
@@ -213,14 +214,14 @@ def _count(texts: DataFrame, orders: tuple[int, ...], parts: Filter | None, part
                 keys, marks, size = [], [], 0
         if size:
             yield _added(keys, marks)
-        if parts is None and total:
-            yield pd.DataFrame({"key": pd.array([None] * len(total), dtype="Int64"), "n": list(total.values()), "mark": pd.array([None] * len(total), dtype="Int64"), "lang": list(total)}, columns=columns)
+        if total:
+            yield pd.DataFrame({"key": [_total_key(k) for k in total], "found": [TOTAL << 32 | c for c in total.values()]})
 
-    columns = ["key", "n", "mark", "lang"]
     # Tasks have added up their own rows: what is shuffled holds one pointer, and is added up once.
-    rows = texts.mapInPandas(scan, "key long, n long, mark long, lang string").repartition("key", "lang")
-    found = rows.groupBy("key", "lang").agg(F.sum("n").alias("n"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
-    return settle(found.filter((F.col("n") >= least) | F.col("key").isNull()))
+    rows = texts.mapInPandas(scan, "key long, found long").repartition("key")
+    mark = F.shiftrightunsigned("found", 32)
+    found = rows.groupBy("key").agg(F.sum(F.col("found").bitwiseAND(F.lit(0xFFFFFFFF))).alias("n"), F.min(mark).alias("lo"), F.max(mark).alias("hi"))
+    return settle(found.filter((F.col("n") >= least) | (F.col("hi") == TOTAL)))
 
 
 def _pair(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -233,14 +234,14 @@ def _cut_out(texts: DataFrame, found: DataFrame, key_bits: int) -> DataFrame:
 
     Only pointed documents are opened, and all if a key stands for several phrases.
     """
-    alike = F.shiftright("lo", 32) == F.shiftright("hi", 32)
+    alike = F.shiftright("lo", 16) == F.shiftright("hi", 16)
     single, several = found.filter(alike), found.filter(~alike)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"v": _pair(b["key"].to_numpy().view(np.uint64), b["doc"].to_numpy().view(np.uint64))})
 
-    doc = F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)).alias("doc")
+    doc = F.col("lo").bitwiseAND(F.lit(0xFFFF)).alias("doc")
     opened = Filter(single.select(doc.alias("v")).distinct())
     pointed = Filter(single.select("key", doc).mapInPandas(pairs, "v long"))
     shared = Filter(several.select(F.col("key").alias("v")))
@@ -252,7 +253,7 @@ def _cut_out(texts: DataFrame, found: DataFrame, key_bits: int) -> DataFrame:
             for n in range(1, LONGEST + 1):
                 at, key = w.grams(n, key_bits)
                 hit = np.flatnonzero(pointed.has(_pair(key, w.doc[at])))
-                mark = _signed(w.pointers(at[hit], n)) >> 32
+                mark = _signed(w.pointers(at[hit], n)) >> 16
                 for (k, m), j in {(k, m): j for j, (k, m) in enumerate(zip(_signed(key[hit]).tolist(), mark.tolist(), strict=True))}.items():
                     i = at[hit[j]]
                     out.append((k, m, names[int(w.lang[i])], w.phrase(i, n), n, 0))
@@ -264,7 +265,7 @@ def _cut_out(texts: DataFrame, found: DataFrame, key_bits: int) -> DataFrame:
     columns = ["key", "mark", "lang", "phrase", "words", "c"]
     rows = settle(texts.mapInPandas(scan, "key long, mark long, lang string, phrase string, words int, c long"))
     cut = rows.filter("mark IS NOT NULL").select("key", "mark", "lang", "phrase", "words").distinct()
-    known = single.select("key", F.col("n").alias("a"), F.shiftright("lo", 32).alias("mark"))
+    known = single.select("key", F.col("n").alias("a"), F.shiftright("lo", 16).alias("mark"))
     a = cut.join(known, ["key", "mark"]).select("lang", "phrase", "words", "a")
     again = rows.filter("mark IS NULL").join(several.select("key"), "key", "left_semi")
     b = again.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"))
@@ -280,13 +281,20 @@ def frequent(docs: DataFrame, least: int = LEAST, key_bits: int = 64) -> tuple[D
     short_batches(docs.sparkSession)
     texts = _texts(docs)
     words = _count(texts, (1,), None, 1, least, key_bits)
-    one = words.filter("key IS NOT NULL").drop("lang")
-    two = _count(texts, (2,), Filter(one.select(F.col("key").alias("v"))), 1, least, key_bits).drop("lang")
-    more = _count(texts, tuple(range(3, LONGEST + 1)), Filter(two.select(F.col("key").alias("v"))), 2, least, key_bits).drop("lang")
+    one = words.filter(F.col("hi") != TOTAL)
+    two = _count(texts, (2,), Filter(one.select(F.col("key").alias("v"))), 1, least, key_bits)
+    more = _count(texts, tuple(range(3, LONGEST + 1)), Filter(two.select(F.col("key").alias("v"))), 2, least, key_bits)
     # With few key bits one key may stand for phrases of several lengths.
     found = one.unionAll(two).unionAll(more).groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     phrases = _cut_out(texts, settle(found), key_bits)
-    return settle(phrases.filter(F.col("a") >= least)), words.filter("key IS NULL").select("lang", "n")
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(key=[_total_key(_number(x)) for x in b["lang"]])
+
+    langs = texts.select("lang").distinct().mapInPandas(named, "lang string, key long")
+    totals = langs.join(words.filter(F.col("hi") == TOTAL).select("key", "n"), "key").select("lang", "n")
+    return settle(phrases.filter(F.col("a") >= least)), settle(totals)
 
 
 def _joined(words: Column) -> Column:
