@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,16 +70,36 @@ def rows_of(df, *columns):
 
 
 # ── 1 mixing ─────────────────────────────────────────────────────────────────
+def brute_rates(rows, target, steps, speed=True):
+    """Projected gradient on every document's own rate, with or without acceleration; rows are (tokens, posterior)."""
+    t = np.array([r[0] for r in rows], dtype=float)
+    p = np.array([r[1] for r in rows])
+    start, rate = t @ p, np.ones(len(rows))
+    before = rate
+    for i in range(steps):
+        look = rate + ((i - 1) / (i + 2) if i and speed else 0) * (rate - before)
+        gap = np.divide((look * t) @ p - target, start, out=np.zeros(len(target)), where=start > 0)
+        before, rate = rate, np.maximum(0, look - p @ gap)
+    return rate, (rate * t) @ p
+
+
+def lost(rows, target, sums):
+    """Squared gaps of the domains' sums in relation to what they start with."""
+    start = np.array([r[0] for r in rows], dtype=float) @ np.array([r[1] for r in rows])
+    return ((np.array(sums) - np.array(target)) ** 2 / start / start.sum()).sum()
+
+
 def test_mixing_reaches_targets(spark, docs, empty):
     labels = [(i, 1 if i % 3 else 0, 1 if i % 3 == 2 else 0) for i in range(60)] + [(3, 0, None), (None, 1, 0), (5000, 1, 0)]
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("k", F.lit(9)).withColumn("s", F.lit(9))
     weights = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
-    members = mixing.settle(mixing.memberships(docs, mixing.train(docs, labels)))
-    rate, reached = mixing.solve(members, weights)
-    for want, got in reached.values():
-        assert got == pytest.approx(want, rel=0.02)
-    low = members.select(F.min(rate)).first()[0]
-    assert low >= 0
+    r, reached = mixing.rates(docs, labels, weights)
+    rows = [(x.tokens, [x.p0, x.p1, x.p2], x.rate) for x in r.collect()]
+    assert min(x[2] for x in rows) >= 0
+    target = [reached[d][0] for d in mixing.DOMAINS]
+    sums = np.array([t * q for t, _, q in rows]) @ np.array([p for _, p, _ in rows])
+    assert list(sums) == pytest.approx([reached[d][1] for d in mixing.DOMAINS], rel=1e-6)
+    assert lost(rows, target, sums) <= lost(rows, target, brute_rates(rows, target, 3000, speed=False)[1]) + 1e-3
     out = mixing.digest(docs, labels)
     assert out.count() == docs.count()
     assert {r.tokens for r in out.filter("doc_id IN (92, 93, 94)").collect()} == {0}
@@ -85,11 +107,43 @@ def test_mixing_reaches_targets(spark, docs, empty):
     assert sum((x.p_clean, x.p_low, x.p_toxic).index(max(x.p_clean, x.p_low, x.p_toxic)) == (1, 0, 2)[x.doc_id % 3] for x in r) >= 57
     mixed = mixing.realise(docs, labels, weights)
     assert mixed.columns == docs.columns
-    copies = {r.doc_id: r.copies for r in mixing.rates(docs, labels, weights).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.rates(docs, labels, weights)[0].collect()}
     got = Counter(r.doc_id for r in mixed.select("doc_id").collect())
     assert all(got[i] == n * (2 if i == 91 else 1) for i, n in copies.items())
     assert mixing.digest(empty, labels).count() == 0
     assert mixing.realise(docs, labels.limit(0)).count() == docs.count()
+    clash = docs.withColumn("_mix0", F.lit(1)).withColumn("_TIMES", F.lit(2))
+    assert sorted(map(str, mixing.realise(clash, labels, weights).drop("_mix0", "_TIMES").collect())) == sorted(map(str, mixed.collect()))
+
+
+@pytest.mark.parametrize("weights", [(0.9, 0.05, 0.05), (0.5, 0.5, 0.0), (0.05, 0.9, 0.05)])
+def test_rates_match_plain_projected_gradient(spark, weights):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        e = [rng.random() ** 6 + 1e-9 for _ in range(3)]
+        e[(0, 0, 0, 1, 2)[i % 5]] += 1 + rng.random()
+        rows.append((rng.randrange(0, 400), [round(x / sum(e) * 256) / 256 for x in e]))
+    rows = [(t, [a, b, 1 - a - b]) for t, (a, b, _) in rows]
+    members = spark.createDataFrame([(i, t, *p) for i, (t, p) in enumerate(rows)], "doc_id long, tokens long, p0 double, p1 double, p2 double")
+    gaps, reached = mixing.solve(members, dict(zip(mixing.DOMAINS, weights, strict=True)))
+    got = [r.r for r in members.orderBy("doc_id").select(mixing.rate_after(gaps, [F.col(f"p{k}") for k in range(3)]).alias("r")).collect()]
+    target = np.array([reached[d][0] for d in mixing.DOMAINS])
+    want, _ = brute_rates(rows, target, len(gaps))
+    assert min(got) >= 0 and got == pytest.approx(list(want), abs=1e-6)
+    _, sums = brute_rates(rows, target, 5000, speed=False)
+    assert lost(rows, target, [reached[d][1] for d in mixing.DOMAINS]) <= lost(rows, target, sums) + 1e-3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables absent")
+def test_clean_documents_that_were_not_learned_from_keep_their_rate(spark):
+    """Labelled rows with an id divisible by three are left out of the labels, and judged."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    r, reached = mixing.rates(docs, labels.filter("doc_id % 3 <> 0"))
+    held = r.join(labels.filter("doc_id % 3 = 0").select("doc_id", mixing.domain(F.col("quality"), F.col("toxic")).alias("k")), "doc_id")
+    mean = {x.k: x.m for x in held.groupBy("k").agg(F.avg("rate").alias("m")).collect()}
+    assert mean[0] > 0.97 and mean[2] < 0.5, mean
+    assert all(got == pytest.approx(want, rel=0.02) for want, got in reached.values())
 
 
 # ── 2 substrings ─────────────────────────────────────────────────────────────
