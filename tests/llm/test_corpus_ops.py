@@ -373,9 +373,9 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("id_bits", [26, 6])
-def test_jaccard_matches_brute_force(spark, empty, monkeypatch, id_bits):
-    monkeypatch.setattr(jaccard, "ID_BITS", id_bits)
+@pytest.mark.parametrize("most_bits", [28, 6])
+def test_jaccard_matches_brute_force(spark, empty, monkeypatch, most_bits):
+    monkeypatch.setattr(common, "MOST_BITS", most_bits)
     rows = corpus()
     base = prose(4242, 150).split()
     rng = random.Random(1)

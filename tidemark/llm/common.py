@@ -113,7 +113,7 @@ class Filter:
         return in_bloom(self.field.value, v, self.bits) if self.field else np.zeros(len(v), dtype=bool)
 
 
-def components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes_edges: DataFrame) -> DataFrame:
     """Components of the links (``a``, ``b``): one row (``id``, ``component_id``) per linked id.
 
     Alternating large and small stars: each round replaces links by links to the smallest
@@ -122,7 +122,7 @@ def components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = settle(nodes_edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -28,14 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PIECES, bloom, components, in_bloom, pieces, short_batches, sum_vectors
+from tidemark.llm.common import PIECES, Filter, components, pieces, short_batches, sum_vectors
 from tidemark.sources.store import settle
 
 SHINGLE = 3
 ORDERS = 3
 WIDTH = 1 << 18
-#: Bits of the filter of wanted ids; beyond a sixteenth as many ids a join takes its place.
-ID_BITS = 26
 # Odd multipliers that mix 64-bit words (fixed values).
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _SEEN: dict[bytes, int] = {}
@@ -113,15 +111,12 @@ def _sets_of(ids: DataFrame, docs: DataFrame, build, schema: str) -> DataFrame:
     """Rows that ``build`` makes from the texts of the wanted ids (column ``v``), stored.
 
     No text moves: every task works on its own wanted documents, and on the few others that the
-    filter lets through, which no pair asks for. Beyond what the filter holds, a join selects.
+    filter lets through, which no pair asks for.
     """
-    ids = settle(ids.distinct())
-    if ids.count() * 16 > 1 << ID_BITS:
-        return settle(docs.join(ids.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi").mapInPandas(build, schema))
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids, ID_BITS))
+    wanted = Filter(settle(ids.distinct()))
 
     def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return build(b[in_bloom(wanted.value, b["doc_id"].to_numpy(), ID_BITS)] for b in batches)
+        return build(b[wanted.has(b["doc_id"].to_numpy())] for b in batches)
 
     return settle(docs.mapInPandas(few, schema))
 
@@ -191,11 +186,35 @@ def link(docs: DataFrame, percent: int = 90, width: int = SHINGLE) -> DataFrame:
     all_ = settle(rows.mapInPandas(first, "doc_id long, n int, digest binary, pre array<long>"))
     real = all_.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = settle(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
-    reps = settle(real.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "pre").distinct())
-    post = reps.select("rep", "n", F.posexplode("pre").alias("at", "tok"))
 
-    # Most shingles of a prefix are in no other: they leave after one count.
-    sizes = post.groupBy("tok").agg(F.count("*").alias("size")).filter("size > 1")
+    # The first document of a class stands for it. Documents that are alone in their class, which
+    # are most, keep their prefixes where they are; only what a filter of the others lets through
+    # is looked up.
+    others = Filter(classes.filter("members > 1").select(F.xxhash64("digest").alias("v")))
+
+    @F.pandas_udf("boolean")
+    def maybe(v: pd.Series) -> pd.Series:
+        return pd.Series(others.has(v.to_numpy()))
+
+    marked = real.select("digest", F.col("doc_id").alias("rep"), "n", "pre", maybe(F.xxhash64("digest")).alias("maybe"))
+    doubtful = marked.filter("maybe").join(classes.select("digest", "rep"), ["digest", "rep"], "left_semi").dropDuplicates(["digest", "rep"])
+    reps = marked.filter("NOT maybe").select("rep", "n", "pre").unionAll(doubtful.select("rep", "n", "pre"))
+
+    # Most shingles of a prefix are in no other: they are counted alone, and stay where they are.
+    counts_of = reps.select(F.explode("pre").alias("tok")).groupBy("tok").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = settle(counts_of)
+    common_ = Filter(sizes.select(F.col("tok").alias("v")))
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for rep, n, pre in zip(batch["rep"], batch["n"], batch["pre"], strict=True):
+                at = np.flatnonzero(common_.has(pre))
+                out.append(pd.DataFrame({"rep": rep, "n": n, "at": at, "tok": pre[at]}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    post = reps.mapInPandas(kept, "rep long, n int, at int, tok long")
     shared = settle(post.join(sizes, "tok"))
     lists = shared.groupBy("tok").agg(F.min(F.struct("at", "rep", "n")).alias("pivot"))
     lists = lists.select("tok", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("p_n"), F.col("pivot.at").alias("p_at"))
