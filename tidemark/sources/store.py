@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{session_dir(spark)}/{uuid.uuid4().hex}"
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of the tables that are stored inside, for ``drop``."""
+    paths: list[str] = []
+    _NOTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.remove(paths)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back.
 
@@ -41,10 +57,22 @@ def settle(df: DataFrame) -> DataFrame:
     nested scan would double the work below it.
     """
     path = scratch_dir(df.sparkSession)
+    for paths in _NOTED:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> None:
+    """Delete stored tables that nothing reads any more; those that ``but`` reads stay."""
+    read = but.inputFiles() if but is not None and paths else []
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if not any(name in f for f in read):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all stored tables of this application; call it when no result is read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
