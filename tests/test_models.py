@@ -98,26 +98,6 @@ def test_folds_purge_and_embargo(spark):
     assert [(r.fold_id, r.train_end, r.test_start, r.test_end) for r in got] == [(1, 48, 51, 70), (2, 68, 71, 90), (3, 88, 91, 110), (4, 108, 111, 130)]
 
 
-def test_logistic_beats_the_base_rate_on_a_signal(spark):
-    rows = spark.range(600).select(F.randn(1).alias("a"), F.randn(2).alias("b"), F.rand(3).alias("u"))
-    rows = rows.withColumn("y", (F.col("u") < 1 / (1 + F.exp(-3 * F.col("a")))).cast("int")).cache()
-    model = M.logistic(["a", "b"]).fit(rows)
-    brier = M.p_up(model.transform(rows)).agg(F.avg((F.col("p") - F.col("y")) ** 2)).first()[0]
-    assert brier < 0.18
-
-
-def test_platt_improves_and_isotonic_is_monotone(spark):
-    rows = spark.range(800).select(F.rand(4).alias("q"), F.rand(5).alias("u"))
-    rows = rows.select((0.5 + (F.col("q") - 0.5) * 0.2).alias("p"), (F.col("u") < F.col("q")).cast("int").alias("y")).cache()
-
-    def brier(df):
-        return df.agg(F.avg((F.col("p") - F.col("y")) ** 2)).first()[0]
-
-    assert brier(M.platt(rows)(rows)) < brier(rows)
-    iso = M.isotonic(rows)(rows.withColumn("raw", F.col("p"))).orderBy("raw").select("p").toPandas()["p"]
-    assert iso.is_monotonic_increasing
-
-
 def test_each_gate_alone_blocks(spark):
     good = dict(candidate_id="c", horizon="24h", resolved_total=50, resolved_horizon=50, shadow_days=20, brier=0.20, log_loss=0.6, ece=0.01,
                 best_baseline_brier=0.25, drift_alarms=0, n_folds=4, regimes_covered=2, approved_by="me", approved_at="now")

@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import fits
 from tidemark.operators.blocks import SERIES, with_row_index
 from tidemark.operators.features import FEATURES, HORIZON_BARS
 from tidemark.sources.store import settle
@@ -151,15 +151,12 @@ def rule_predictions(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # ── fitted models ────────────────────────────────────────────────────────────
-def logistic(features: Sequence[str] = FEATURES, l2: float = L2) -> Pipeline:
-    """Scaler and L2 logistic regression; the scaler sees only what it is fitted on."""
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-            LogisticRegression(featuresCol="_scaled", labelCol="y", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=50),
-        ]
-    )
+def logistic_predictions(placed: DataFrame, keys: Sequence[str] = ("horizon", "fold_id"), features: Sequence[str] = FEATURES, l2: float = L2) -> DataFrame:
+    """L2 logistic regression of every (horizon, fold) over all series, and its test rows' ``p``."""
+    rows = settle(fits.scaled_rows(placed, keys, features))
+    found = fits.logistic_fits(rows.filter("part = 'train'"), keys, len(features), l2)
+    scored = rows.filter("part = 'test'").join(found.select(*keys, "w"), list(keys)).withColumn("p", fits.logistic_p(F.col("z"), F.col("w")))
+    return scored.select(*SERIES, "horizon", "fold_id", "i", "y", "regime", F.col("close").alias("entry"), F.col("target_close").alias("exit"), F.lit("logistic").alias("model"), "p")
 
 
 def tree(features: Sequence[str] = FEATURES) -> Pipeline:
@@ -175,7 +172,7 @@ def p_up(scored: DataFrame) -> DataFrame:
     return scored.withColumn("p", vector_to_array("probability")[1])
 
 
-def fitted_predictions(placed: DataFrame, jobs: Sequence[tuple[str, int]], make=logistic, name: str = "logistic", parallel: int = 4) -> DataFrame:
+def fitted_predictions(placed: DataFrame, jobs: Sequence[tuple[str, int]], make=tree, name: str = "tree", parallel: int = 4) -> DataFrame:
     """Fit ``make()`` per (horizon, fold) over all series and predict the test rows.
 
     The fits are independent Spark jobs; a small thread pool only submits them.
@@ -305,20 +302,6 @@ def candidate_decision(pooled: DataFrame, majority: DataFrame, by: Sequence[str]
 
 
 # ── calibration ──────────────────────────────────────────────────────────────
-def platt(fit_rows: DataFrame):
-    """Fit a*logit(p)+b on (p, y); returns ``apply(df) -> df`` with ``p`` replaced."""
-    z = VectorAssembler(inputCols=["_z"], outputCol="_zv")
-    ready = z.transform(fit_rows.withColumn("_z", S.logit(F.col("p"))))
-    model = LogisticRegression(featuresCol="_zv", labelCol="y", regParam=0.0, maxIter=200).fit(ready)
-    a, b = float(model.coefficients[0]), float(model.intercept)
-
-    def apply(df: DataFrame) -> DataFrame:
-        return df.withColumn("p", S.sigmoid(S.logit(F.col("p")) * a + b))
-
-    apply.params = {"a": a, "b": b}
-    return apply
-
-
 def platt_fits(fit_rows: DataFrame, keys: Sequence[str], steps: int = 12) -> DataFrame:
     """(keys, n, a, b, gradient) of the logistic fit of every prediction stream, all at once.
 
@@ -327,18 +310,18 @@ def platt_fits(fit_rows: DataFrame, keys: Sequence[str], steps: int = 12) -> Dat
     """
     keys = list(keys)
     rows = settle(fit_rows.select(*keys, S.logit(F.col("p")).alias("_z"), "y"))
-    fits = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, "n", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, "n", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
     for step in range(steps + 1):
-        fits = settle(fits)
+        found = settle(found)
         q = S.sigmoid(F.col("a") * F.col("_z") + F.col("b"))
         d, w, z = q - F.col("y"), q * (1 - q), F.col("_z")
-        sums = rows.join(fits, keys).groupBy(*keys, "n", "a", "b").agg(
+        sums = rows.join(found, keys).groupBy(*keys, "n", "a", "b").agg(
             F.avg(d * z).alias("ga"), F.avg(d).alias("gb"), (F.avg(w * z * z) + 1e-12).alias("haa"), F.avg(w * z).alias("hab"), (F.avg(w) + 1e-12).alias("hbb")
         )
         if step == steps:
             return sums.select(*keys, "n", "a", "b", F.sqrt(F.col("ga") * F.col("ga") + F.col("gb") * F.col("gb")).alias("gradient"))
         det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
-        fits = sums.select(
+        found = sums.select(
             *keys, "n",
             (F.col("a") - (F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb")) / det).alias("a"),
             (F.col("b") - (F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga")) / det).alias("b"),
@@ -346,45 +329,9 @@ def platt_fits(fit_rows: DataFrame, keys: Sequence[str], steps: int = 12) -> Dat
 
 
 def platt_by(fit_rows: DataFrame, keys: Sequence[str]):
-    """As ``platt``, with a fit of its own for every stream."""
-    fits = settle(platt_fits(fit_rows, keys).drop("n", "gradient"))
-    return lambda df: df.join(fits, list(keys)).withColumn("p", S.sigmoid(S.logit(F.col("p")) * F.col("a") + F.col("b"))).drop("a", "b")
-
-
-def isotonic_by(fit_rows: DataFrame, keys: Sequence[str]):
-    """As ``isotonic``, with a fit of its own for every stream (models and horizons are few)."""
-    groups = [r.asDict() for r in fit_rows.select(*keys).distinct().collect()]
-
-    def own(df: DataFrame, g: dict) -> DataFrame:
-        for k, v in g.items():
-            df = df.filter(F.col(k) == v)
-        return df
-
-    fits = [(g, isotonic(own(fit_rows, g))) for g in groups]
-
-    def apply(df: DataFrame) -> DataFrame:
-        parts = [fit(own(df, g)) for g, fit in fits]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    return apply
-
-
-def isotonic(fit_rows: DataFrame):
-    """Non-decreasing fit with linear interpolation and clamped ends.
-
-    Rows with equal probabilities are pooled with a weight first, which shrinks what the
-    fit has to merge to the distinct probabilities.
-    """
-    pooled = fit_rows.groupBy("p").agg(F.avg("y").alias("_y"), F.count("*").cast("double").alias("_w"))
-    model = IsotonicRegression(featuresCol="p", labelCol="_y", weightCol="_w", predictionCol="_iso").fit(pooled)
-
-    def apply(df: DataFrame) -> DataFrame:
-        return model.transform(df).withColumn("p", S.clip(F.col("_iso"), 0.0, 1.0)).drop("_iso")
-
-    return apply
+    """Fit a * logit(p) + b for every stream; returns ``apply(df) -> df`` with ``p`` replaced."""
+    found = settle(platt_fits(fit_rows, keys).drop("n", "gradient"))
+    return lambda df: df.join(found, list(keys)).withColumn("p", S.sigmoid(S.logit(F.col("p")) * F.col("a") + F.col("b"))).drop("a", "b")
 
 
 def calib_in_sample(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -411,16 +358,44 @@ def calib_holdout(preds: DataFrame, order: Sequence[str], keys: Sequence[str]) -
 
 def _calibrated(fit_rows: DataFrame, eval_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     parts = []
-    for name, apply in (("raw", lambda df: df), ("platt", platt_by(fit_rows, keys)), ("isotonic", isotonic_by(fit_rows, keys))):
+    for name, apply in (("raw", lambda df: df), ("platt", platt_by(fit_rows, keys)), ("isotonic", fits.isotonic_by(fit_rows, keys))):
         parts.append(eval_pack(apply(eval_rows), keys).withColumn("calibration", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def freeze_candidate(rows: DataFrame, path: str, features: Sequence[str] = FEATURES):
-    """Final fit on all labelled rows, written for the issuer (scaler, weights, intercept)."""
-    model = logistic(features).fit(rows)
-    model.write().overwrite().save(path)
-    return model
+def freeze_candidate(rows: DataFrame, oof: DataFrame, features: Sequence[str] = FEATURES, l2: float = L2) -> DataFrame:
+    """What the issuer loads, per horizon, as (horizon, part, feature, value).
+
+    Weights, intercept and scaler of the final fit on all labelled rows, the number of these rows,
+    and the Platt calibrator of the out-of-sample stream ``oof`` of the same model.
+    """
+    keys = ["horizon"]
+    scaled = settle(fits.scaled_rows(rows.withColumn("part", F.lit("train")), keys, features))
+    found = fits.logistic_fits(scaled, keys, len(features), l2)
+    names = F.array(*[F.lit(f) for f in features])
+    moments = scaled.groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
+
+    def long(df: DataFrame, part: str, values: Column) -> DataFrame:
+        at = df.select("horizon", F.posexplode(values).alias("_at", "value"))
+        return at.select("horizon", F.lit(part).alias("part"), F.coalesce(F.get(names, F.col("_at")), F.lit("")).alias("feature"), "value")
+
+    def one(df: DataFrame, part: str, feature: str, value: Column) -> DataFrame:
+        return df.select("horizon", F.lit(part).alias("part"), F.lit(feature).alias("feature"), value.alias("value"))
+
+    calibrator = settle(platt_fits(oof, keys))
+    parts = [
+        long(found, "weight", F.slice("w", 1, len(features))),
+        one(found, "intercept", "", F.element_at("w", -1)),
+        one(found, "n_train", "", F.col("n").cast("double")),
+        long(moments, "mean", F.col("mean")),
+        long(moments, "std", F.col("std")),
+        one(calibrator, "platt", "a", F.col("a")),
+        one(calibrator, "platt", "b", F.col("b")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def registry_build(pooled: DataFrame, trained_at: str, version: str = "v0.4.0", features_version: str = "phase3-features-v0.2.0") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import features as X
+from tidemark.operators import fits as FT
 from tidemark.operators import gates as G
 from tidemark.operators import modeling as M
 from tidemark.operators import regime as R
@@ -194,25 +195,45 @@ def _jobs(spark, d):
     return [(row.horizon, row.fold_id) for row in sorted(found)]
 
 
-def _fitted(spark, d, name, make):
-    rows = placed(spark, d).filter(_c("horizon").isin(*ML_HORIZONS))
-    return I.derived(spark, d, f"fit_{name}", lambda: M.fitted_predictions(rows, _jobs(spark, d), make, name))
+def _ml_rows(spark, d):
+    return placed(spark, d).filter(_c("horizon").isin(*ML_HORIZONS))
+
+
+def _logistic(spark, d):
+    return I.derived(spark, d, "fit_logistic", lambda: M.logistic_predictions(_ml_rows(spark, d)))
+
+
+def _tree(spark, d):
+    return I.derived(spark, d, "fit_tree", lambda: M.fitted_predictions(_ml_rows(spark, d), _jobs(spark, d), M.tree, "tree"))
 
 
 @query("logistic")
 def logistic(spark, d):
-    return report(M.oof_validation(_fitted(spark, d, "logistic", M.logistic)))
+    return report(M.oof_validation(_logistic(spark, d)))
+
+
+@query("logistic_converged", sql("""
+SELECT horizon, fold_id, count(*) AS n, true AS converged, true AS no_worse FROM q_placed WHERE part = 'train' AND horizon IN ('12h', '24h') GROUP BY 1, 2"""))
+def logistic_converged(spark, d):
+    """The fit is convex: its gradient vanishes, and its penalised loss on the train rows is not
+    above that of the best constant, which is one of its choices."""
+    keys = ["horizon", "fold_id"]
+    train = FT.scaled_rows(_ml_rows(spark, d), keys, X.FEATURES).filter("part = 'train'")
+    found = FT.logistic_fits(train, keys, len(X.FEATURES), M.L2)
+    rate = train.groupBy(*keys).agg(F.avg("y").alias("q"))
+    constant = S.logloss_component(F.col("q"), F.col("q"))
+    return found.join(rate, keys).select(*keys, "n", (_c("gradient") < 1e-8).alias("converged"), (_c("loss") <= constant + 1e-9).alias("no_worse"))
 
 
 @query("tree_optional")
 def tree_optional(spark, d):
-    return report(M.oof_validation(_fitted(spark, d, "tree", M.tree)))
+    return report(M.oof_validation(_tree(spark, d)))
 
 
 def compared(spark, d):
     """Rule models and the fitted ones in one prediction table, on the fitted horizons."""
     ours = rules(spark, d).filter(_c("horizon").isin(*ML_HORIZONS))
-    fitted = [_fitted(spark, d, "logistic", M.logistic), _fitted(spark, d, "tree", M.tree)]
+    fitted = [_logistic(spark, d), _tree(spark, d)]
     cols = [*KEYS, "fold_id", "i", "y", "regime", "entry", "exit", "model", "p"]
     return ours.select(cols).unionByName(fitted[0].select(cols)).unionByName(fitted[1].select(cols))
 
@@ -259,14 +280,16 @@ def platt_converged(spark, d):
 
 
 @query("isotonic", sql(f"""
-SELECT round(p, 6) + 0.0 AS p_raw, {r('max(m)', 'p_cal')} FROM q_iso_low GROUP BY p""",
-    q_iso_g="SELECT p, sum(y) AS sy, count(*) AS n FROM q_preds WHERE model = 'last_direction' GROUP BY 1",
-    q_iso_runs="SELECT a.p AS lo, b.p AS hi, sum(c.sy) / sum(c.n) AS m FROM q_iso_g a JOIN q_iso_g b ON b.p >= a.p JOIN q_iso_g c ON c.p BETWEEN a.p AND b.p GROUP BY 1, 2",
-    q_iso_low="SELECT t.p, x.lo, min(m) AS m FROM q_iso_g t JOIN q_iso_runs x ON x.lo <= t.p AND x.hi >= t.p GROUP BY 1, 2"))
+SELECT horizon, model, round(p, 8) + 0.0 AS p_raw, {r('max(least_mean)', 'p_cal')}, any_value(n) AS n FROM (
+SELECT a.horizon, a.model, a.i AS first, b.i, b.p, b.m AS n, min((b.s - a.s) / (b.n - a.n)::DOUBLE) OVER (PARTITION BY a.horizon, a.model, a.i ORDER BY b.i DESC) AS least_mean
+FROM q_iso_sums a JOIN q_iso_sums b ON a.horizon = b.horizon AND a.model = b.model AND a.i < b.i) x GROUP BY horizon, model, i, p""",
+    q_iso_g="SELECT horizon, model, p, sum(y) AS sy, count(*) AS m FROM q_preds WHERE model <> 'majority' AND horizon IN ('12h', '24h') GROUP BY 1, 2, 3",
+    q_iso_sums="SELECT horizon, model, p, m, row_number() OVER w AS i, sum(sy) OVER w AS s, sum(m) OVER w AS n FROM q_iso_g WINDOW w AS (PARTITION BY horizon, model ORDER BY p) UNION ALL SELECT DISTINCT horizon, model, NULL, 0, 0, 0, 0 FROM q_iso_g"))
 def isotonic(spark, d):
-    rows = rules(spark, d).filter(_c("model") == "last_direction")
-    out = M.isotonic(rows)(rows.withColumn("p_raw", _c("p")))
-    return report(out.groupBy("p_raw").agg(F.max("p").alias("p_cal")))
+    """Every probability of every stream with its calibrated value; the SQL is the min-max formula."""
+    rows = _streams(spark, d)
+    out = FT.isotonic_by(rows, _HM)(rows.withColumn("p_raw", _c("p")))
+    return report(out.groupBy(*_HM, "p_raw").agg(F.max("p").alias("p_cal"), F.count("*").alias("n")).withColumn("p_raw", S.rounded(_c("p_raw"), 8)), keep=("p_raw",))
 
 
 @query("calib_in_sample")
@@ -281,20 +304,7 @@ def calib_holdout(spark, d):
 
 @query("freeze_candidate")
 def freeze_candidate(spark, d):
-    """What the issuer loads, per horizon: weights and scaler of the final fit, training rows, and
-    the calibrator fitted on the out-of-sample stream of the same model."""
-    out = []
-    for horizon in ML_HORIZONS:
-        rows = labelled(spark, d).filter(_c("horizon") == horizon)
-        frozen = M.freeze_candidate(rows, I.scratch_dir(spark))
-        scaler, fit = frozen.stages[1], frozen.stages[2]
-        oof = _fitted(spark, d, "logistic", M.logistic).filter(_c("horizon") == horizon)
-        calibrator = M.platt(oof).params
-        out += [(horizon, "weight", f, float(w)) for f, w in zip(X.FEATURES, fit.coefficients, strict=True)]
-        out += [(horizon, "mean", f, float(v)) for f, v in zip(X.FEATURES, scaler.mean, strict=True)]
-        out += [(horizon, "std", f, float(v)) for f, v in zip(X.FEATURES, scaler.std, strict=True)]
-        out += [(horizon, "intercept", "", float(fit.intercept)), (horizon, "platt", "a", calibrator["a"]), (horizon, "platt", "b", calibrator["b"]), (horizon, "n_train", "", float(rows.count()))]
-    return spark.createDataFrame(out, "horizon string, part string, feature string, value double")
+    return M.freeze_candidate(labelled(spark, d).filter(_c("horizon").isin(*ML_HORIZONS)), _logistic(spark, d))
 
 
 # ── registry and promotion ───────────────────────────────────────────────────
