@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import affine_scan, prefix_scan, windowed
@@ -137,6 +137,20 @@ def drift_run(errors: DataFrame, features: DataFrame, keys: Sequence[str], ph: d
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def recent_alarms(errors: DataFrame, keys: Sequence[str], order: Sequence[str], look_back: int = 100, ph: dict | None = None, ewma: dict | None = None) -> DataFrame:
+    """(keys, drift_alarms): alarms of both error detectors over each stream's newest ``look_back`` values.
+
+    ``errors`` has the keys, the columns of ``order`` and ``x``. Map tasks keep the newest rows of a
+    stream only, so that no more than ``look_back`` rows of a stream meet for each of them.
+    """
+    keys = list(keys)
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    kept = errors.select(*keys, *order, "x").withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= look_back)
+    rows = settle(kept.withColumn("row_idx", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_back"))).cast("long")).select(*keys, "row_idx", "x"))
+    found = [page_hinkley(rows, keys, **(ph or {})).select(*keys, F.col("ph_alarm").alias("_a")), ewma_drift(rows, keys, **(ewma or {})).select(*keys, F.col("ewma_alarm").alias("_a"))]
+    return found[0].unionByName(found[1]).groupBy(*keys).agg(F.count_if("_a").alias("drift_alarms"))
+
+
 def retrain_candidate(snapshots: DataFrame, keys: Sequence[str], regimes: DataFrame | None = None) -> DataFrame:
     """Trigger rows (detectors that fired) per stream, joined with regime metrics when given."""
     trig = snapshots.groupBy(*keys).agg(

@@ -147,7 +147,7 @@ def rule_predictions(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
         "random": base_random([*keys, "fold_id", "i"]),
     }
     rows = [F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in made.items()]
-    return test.select(*keys, "fold_id", "i", "n_train", "y", "regime", F.col("close").alias("entry"), F.col("target_close").alias("exit"), F.inline(F.array(*rows)))
+    return test.select(*keys, "fold_id", "i", "open_time_ms", "n_train", "y", "regime", F.col("close").alias("entry"), F.col("target_close").alias("exit"), F.inline(F.array(*rows)))
 
 
 # ── fitted models ────────────────────────────────────────────────────────────

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import drift as DR
 from tidemark.operators import features as X
 from tidemark.operators import fits as FT
 from tidemark.operators import gates as G
@@ -74,7 +75,7 @@ P_SQL = {
     "random": "CAST('0x' || substr(md5(concat_ws('|', t.series_id, t.horizon, t.fold_id, t.i, 1337)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE",
 }
 cte("q_preds", " UNION ALL ".join(
-    f"SELECT t.series_id, t.horizon, t.fold_id, t.i, t.y, t.regime, t.close AS entry, t.exit, '{m}' AS model, {p} AS p, h FROM q_placed t JOIN q_rates g ON t.series_id = g.series_id AND t.horizon = g.horizon AND t.fold_id = g.fold_id WHERE part = 'test'"
+    f"SELECT t.series_id, t.horizon, t.fold_id, t.i, t.open_time_ms, t.y, t.regime, t.close AS entry, t.exit, '{m}' AS model, {p} AS p, h FROM q_placed t JOIN q_rates g ON t.series_id = g.series_id AND t.horizon = g.horizon AND t.fold_id = g.fold_id WHERE part = 'test'"
     for m, p in P_SQL.items()))
 EVAL_SQL = f"""count(*) AS n, {r('avg(CAST(CAST(p >= 0.5 AS INTEGER) = y AS INTEGER))', 'hit_rate')}, {r('avg((p - y) * (p - y))', 'brier')},
  {r('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))', 'log_loss')}, {r('avg(y)', 'base_rate')}"""
@@ -345,34 +346,74 @@ def registry_upsert(spark, d):
     return report(G.registry_upsert(old, new).select("model_id", "shadow_status", "brier"))
 
 
+# Resolutions that the drift gate looks back on, and detectors sensitive enough for so few.
+LOOK_BACK, DAY_MS = 100, 24 * 3_600_000
+PH_LATE, EWMA_LATE = {"threshold": 3.0, "alpha": 1e-4}, {"k_sigma": 1.5}
+
+
 def candidates(spark, d):
+    """Each rule model and horizon with what its out-of-sample forecasts say: days from the first
+    to the last, and the detectors' alarms on the newest of them."""
     preds = rules(spark, d)
     agg = preds.groupBy(*_HM).agg(
         F.count("*").alias("resolved_total"),
         F.countDistinct("fold_id").alias("n_folds"),
         F.countDistinct(F.when(_c("regime") != "unknown", _c("regime"))).alias("regimes_covered"),
+        F.floor((F.max("open_time_ms") - F.min("open_time_ms")) / DAY_MS).alias("shadow_days"),
     )
     own = M.eval_pack(preds, _HM).select(*_HM, "brier", "log_loss", "ece")
+    errors = preds.select(*_HM, "open_time_ms", "series_id", S.logloss_component(_c("p"), _c("y")).alias("x"))
+    own = own.join(DR.recent_alarms(errors, _HM, ("open_time_ms", "series_id"), LOOK_BACK, PH_LATE, EWMA_LATE), list(_HM))
     best = own.filter("model = 'majority'").select("horizon", _c("brier").alias("best_baseline_brier"))
     return agg.join(own, list(_HM)).join(best, "horizon").select(
         F.concat_ws("-", F.lit("shadow"), "model", "horizon").alias("candidate_id"), "horizon", "resolved_total", _c("resolved_total").alias("resolved_horizon"),
-        F.lit(20).alias("shadow_days"), "brier", "log_loss", "ece", "best_baseline_brier", F.when(_c("model") == "momentum", 3).otherwise(0).alias("drift_alarms"),
+        "shadow_days", "brier", "log_loss", "ece", "best_baseline_brier", "drift_alarms",
         "n_folds", "regimes_covered", F.when(_c("horizon") == "24h", "owner").alias("approved_by"), F.when(_c("horizon") == "24h", "2024-02-01").alias("approved_at"),
     )
 
 
-cte("q_cand", """
-SELECT 'shadow-' || model || '-' || horizon AS candidate_id, horizon, model, n, brier, log_loss, ece, best, folds, regs FROM (
+_LATE = "PARTITION BY horizon, model ORDER BY row_idx"
+cte("q_late", f"""
+SELECT horizon, model, x, row_number() OVER (PARTITION BY horizon, model ORDER BY open_time_ms, series_id) AS row_idx FROM (
+SELECT horizon, model, open_time_ms, series_id, -(y * ln(p) + (1 - y) * ln(1 - p)) AS x FROM q_preds
+QUALIFY row_number() OVER (PARTITION BY horizon, model ORDER BY open_time_ms DESC, series_id DESC) <= {LOOK_BACK}) a
+""")
+cte("q_late_ph", f"""
+SELECT horizon, model, row_idx >= 30 AND (cum - least(0.0, min(cum) OVER (w ROWS UNBOUNDED PRECEDING)) > {PH_LATE['threshold']}
+       OR greatest(0.0, max(cum) OVER (w ROWS UNBOUNDED PRECEDING)) - cum > {PH_LATE['threshold']}) AS alarm FROM (
+SELECT *, sum(x - mean - 1e-4) OVER (w ROWS UNBOUNDED PRECEDING) AS cum FROM (
+SELECT *, avg(x) OVER (w ROWS UNBOUNDED PRECEDING) AS mean FROM q_late WINDOW w AS ({_LATE})) a WINDOW w AS ({_LATE})) b WINDOW w AS ({_LATE})
+""")
+cte("q_late_ew", """
+SELECT horizon, model, row_idx, x AS fast, x AS slow, CAST(0.0 AS DOUBLE) AS var FROM q_late WHERE row_idx = 1
+UNION ALL
+SELECT e.horizon, e.model, e.row_idx, 0.1 * e.x + 0.9 * p.fast, 0.005 * e.x + 0.995 * p.slow, 0.1 * (e.x - p.fast) * (e.x - p.fast) + 0.9 * p.var
+FROM q_late_ew p JOIN q_late e ON e.horizon = p.horizon AND e.model = p.model AND e.row_idx = p.row_idx + 1
+""")
+cte("q_late_alarms", f"""
+SELECT horizon, model, count(*) FILTER (alarm) AS alarms FROM (SELECT horizon, model, alarm FROM q_late_ph
+UNION ALL SELECT horizon, model, row_idx >= 30 AND var > 0 AND abs(fast - slow) > {EWMA_LATE['k_sigma']} * sqrt(var) FROM q_late_ew) a GROUP BY 1, 2
+""")
+cte("q_cand", f"""
+SELECT 'shadow-' || model || '-' || horizon AS candidate_id, horizon, model, n, brier, log_loss, ece, best, folds, regs, days, alarms FROM (
 SELECT horizon, model, count(*) AS n, count(DISTINCT fold_id) AS folds, count(DISTINCT regime) FILTER (regime <> 'unknown') AS regs,
+       (max(open_time_ms) - min(open_time_ms)) // {DAY_MS} AS days,
        avg((p - y) * (p - y)) AS brier, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS log_loss FROM q_preds GROUP BY 1, 2) a
 JOIN (SELECT horizon, model, ece FROM q_ece_fixed) e USING (horizon, model) JOIN (SELECT horizon, brier AS best FROM q_brier WHERE model = 'majority') b USING (horizon)
+JOIN q_late_alarms USING (horizon, model)
 """)
 cte("q_gates", """
 SELECT candidate_id, horizon, unnest(['resolved_total', 'resolved_per_horizon', 'shadow_days', 'brier', 'log_loss', 'ece', 'beats_baseline_brier', 'no_severe_drift', 'out_of_sample', 'regime_coverage', 'manual_approval']) AS gate,
- unnest([n >= 30, n >= 30, true, brier <= 0.245, log_loss <= 0.68, coalesce(ece <= 0.08, false), best - brier >= 0.005, model <> 'momentum', folds >= 3, regs >= 2, horizon = '24h']) AS passed FROM q_cand
+ unnest([n >= 30, n >= 30, days >= 14, brier <= 0.245, log_loss <= 0.68, coalesce(ece <= 0.08, false), best - brier >= 0.005, alarms = 0, folds >= 3, regs >= 2, horizon = '24h']) AS passed FROM q_cand
 """)
 
 
+@query("promotion_inputs", sql("SELECT candidate_id, horizon, n AS resolved_total, days AS shadow_days, alarms AS drift_alarms, folds AS n_folds, regs AS regimes_covered FROM q_cand"))
+def promotion_inputs(spark, d):
+    """What the gates of a candidate read from its forecasts and the detectors."""
+    return candidates(spark, d).select("candidate_id", "horizon", "resolved_total", "shadow_days", "drift_alarms", "n_folds", "regimes_covered")
+
+
 @query("promotion_gates", sql("SELECT candidate_id, horizon, gate, passed FROM q_gates"))
 def promotion_gates(spark, d):
     return G.promotion_gates(candidates(spark, d)).drop("detail")
