@@ -262,19 +262,57 @@ def tape_curve(rows: DataFrame, keys=TAPE_KEYS) -> DataFrame:
     return curve.withColumn("peak_bps", peak).withColumn("drawdown_bps", peak - F.col("cum_bps")).drop("_top")
 
 
-def trade_tape(rows: DataFrame, keys=TAPE_KEYS, min_n: int = TAPE_MIN_N) -> DataFrame:
-    return (
-        tape_curve(rows, keys)
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("o").alias("wins"),
-            F.max_by("cum_bps", "trade_no").alias("sum_bps_maker"),
-            F.max("drawdown_bps").alias("max_drawdown_bps_maker"),
+#: Issue times of one block of a tape, and blocks that are joined at once.
+TAPE_SPAN_MS, TAPE_FAN = 4096 * S.HOUR_MS, 512
+
+
+def joined_tapes(blocks: Column) -> Column:
+    """One summary of stretches of a tape, in order: trades, wins, sum, highest and lowest running
+    sum (from 0) and deepest fall below an earlier high. The operation is associative."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("wins"), *[F.lit(0.0).alias(c) for c in ("total", "top", "low", "fall")])
+
+    def add(a: Column, b: Column) -> Column:
+        low = a["total"] + b["low"]
+        return F.struct(
+            (a["n"] + b["n"]).alias("n"),
+            (a["wins"] + b["wins"]).alias("wins"),
+            (a["total"] + b["total"]).alias("total"),
+            F.greatest(a["top"], a["total"] + b["top"]).alias("top"),
+            F.least(a["low"], low).alias("low"),
+            F.greatest(a["fall"], b["fall"], a["top"] - low).alias("fall"),
         )
-        .filter(F.col("n") >= min_n)
-        .withColumn("hit_rate", F.col("wins") / F.col("n"))
-        .withColumn("avg_bps_maker", F.col("sum_bps_maker") / F.col("n"))
+
+    return F.aggregate(blocks, none, add)
+
+
+def trade_tape(rows: DataFrame, keys=TAPE_KEYS, min_n: int = TAPE_MIN_N, span: int = TAPE_SPAN_MS, fan: int = TAPE_FAN) -> DataFrame:
+    """Totals and deepest drawdown of every paper-trade tape.
+
+    Blocks of issue time are summed up alone and joined in order, ``fan`` at a time; no running
+    curve is stored.
+    """
+    keys = list(keys)
+    trades = scored(rows).select(*keys, "issued_ms", "forecast_id", "o", (F.col("signed") * 10000.0 - S.MAKER_BPS).alias("_x"), F.floor(F.col("issued_ms") / span).alias("_b"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("issued_ms", "forecast_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = trades.withColumn("_cum", F.sum("_x").over(inside))
+    run = run.withColumn("_high", F.greatest(F.lit(0.0), F.max("_cum").over(inside)))
+    parts = [F.count("*").alias("n"), F.sum("o").cast("long").alias("wins"), F.sum("_x").alias("total"), F.max("_high").alias("top"), F.least(F.lit(0.0), F.min("_cum")).alias("low"), F.max(F.col("_high") - F.col("_cum")).alias("fall")]
+    names = ("n", "wins", "total", "top", "low", "fall")
+    tapes = run.groupBy(*keys, "_b").agg(*parts).select(*keys, "_b", F.struct(*names).alias("t"))
+    while True:
+        tapes = tapes.withColumn("_up", F.floor(F.col("_b") / fan)).groupBy(*keys, "_up").agg(F.array_sort(F.collect_list(F.struct("_b", "t"))).alias("_l"))
+        tapes = settle(tapes.select(*keys, F.col("_up").alias("_b"), joined_tapes(F.transform("_l", lambda x: x["t"])).alias("t")))
+        if tapes.groupBy(*keys).count().filter("count > 1").isEmpty():
+            break
+    n = F.col("t.n")
+    return tapes.filter(n >= min_n).select(
+        *keys,
+        n.alias("n"),
+        F.col("t.wins").alias("wins"),
+        F.col("t.total").alias("sum_bps_maker"),
+        F.col("t.fall").alias("max_drawdown_bps_maker"),
+        (F.col("t.wins") / n).alias("hit_rate"),
+        (F.col("t.total") / n).alias("avg_bps_maker"),
     )
 
 

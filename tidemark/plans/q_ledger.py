@@ -191,7 +191,7 @@ SELECT forecast_id, issued_ms, model_version, horizon, direction, {r('probabilit
        coalesce(status = 'resolved', false) AS resolved, {r('actual_close', 'actual_close')}, {r('actual_return * 10000', 'actual_return_bps')}, direction_correct, resolved_ms
 FROM q_joined ORDER BY issued_ms DESC, forecast_id DESC LIMIT 50"""))
 def recent_rows(spark, d):
-    return report(M.recent_rows(D.joined(spark, d)))
+    return report(M.recent_rows(D.deduped(spark, d)))
 
 
 TAPE_SQL = """

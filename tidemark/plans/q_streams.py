@@ -31,27 +31,31 @@ def _drain(spark, stream):
     return R.drain(stream, f"{base}/out", f"{base}/state")
 
 
-FILES = 4
+ARRIVALS = 4
 
 
-def _stored(spark, rows, order=None):
-    """A table stored as ``FILES`` files that arrive one by one, in ``order`` if it is given."""
-    path = I.scratch_dir(spark)
-    if order is None:
-        rows.repartition(FILES).write.parquet(path)
-    else:
-        parts = I.settle(rows.withColumn("_part", order))
-        for k in range(FILES):
-            parts.filter(_c("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return R.file_stream(spark, path, rows.schema, per_trigger=1)
+def _fed(spark, build, *sources):
+    """Drain the stream that ``build`` makes of the sources (rows, number of their arrival).
+
+    Arrivals come one after another, each written by as many tasks as its rows have partitions; the
+    stream runs after each, from its checkpoint.
+    """
+    base = I.scratch_dir(spark)
+    parts = [I.settle(rows.withColumn("_part", turn)) for rows, turn in sources]
+    for k in range(ARRIVALS):
+        for i, part in enumerate(parts):
+            part.filter(_c("_part") == k).drop("_part").write.mode("append").parquet(f"{base}/in{i}")
+        streams = [R.file_stream(spark, f"{base}/in{i}", rows.schema) for i, (rows, _) in enumerate(sources)]
+        out = R.drain(build(*streams), f"{base}/out", f"{base}/state")
+    return out
 
 
 def _quarter(rows, column):
     """Which quarter of the time span a row lies in."""
     ms = F.unix_millis(column)
     lo, hi = (rows.agg(f(ms)).scalar() for f in (F.min, F.max))
-    at = F.floor((ms - lo) * FILES / (hi - lo + 1))
-    return F.least(at, F.lit(FILES - 1)).cast("int")
+    at = F.floor((ms - lo) * ARRIVALS / (hi - lo + 1))
+    return F.least(at, F.lit(ARRIVALS - 1)).cast("int")
 
 
 @query("s_bars", sql(f"""
@@ -69,7 +73,7 @@ def s_archive(spark, d):
     """Venues arrive one after another; the bar of the first one is kept."""
     bars = I.venue_bars(spark, d).select("series_id", F.timestamp_millis("open_time_ms").alias("open_time"), "source", "close")
     turn = F.when(_c("source") == "kraken", 0).when(_c("source") == "coinbase", 1).otherwise(2)
-    out = _drain(spark, SB.stream_archive(_stored(spark, bars, turn), delay="60 days"))
+    out = _fed(spark, lambda s: SB.stream_archive(s, delay="60 days"), (bars, turn))
     return report(out.select("series_id", F.unix_millis("open_time").alias("open_time_ms"), "source", "close"))
 
 
@@ -82,8 +86,8 @@ WHERE m.forecast_id IS NOT NULL OR f.target_ms < least((SELECT max(target_ms) FR
 def s_resolve(spark, d):
     fc = D.forecasts(spark, d).select("forecast_id", "series_id", F.timestamp_millis("target_ms").alias("target_time"))
     bars = I.hourly(spark, d).select("series_id", F.timestamp_millis("close_time_ms").alias("close_time"), "close")
-    sides = [_stored(spark, rows, _quarter(rows, at)) for rows, at in ((fc, "target_time"), (bars, "close_time"))]
-    return report(_drain(spark, SB.stream_resolve(*sides)).select("forecast_id", _c("close").alias("actual_close")))
+    out = _fed(spark, SB.stream_resolve, (fc, _quarter(fc, "target_time")), (bars, _quarter(bars, "close_time")))
+    return report(out.select("forecast_id", _c("close").alias("actual_close")))
 
 
 @query("s_drift", sql("""
@@ -93,7 +97,9 @@ def s_drift(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SD.ROCKSDB)
     try:
         rows = errors(spark, d).select(*TAPE_KEYS, "row_idx", "x")
-        return _drain(spark, SD.stream_drift(_stored(spark, rows, F.least(F.floor((_c("row_idx") - 1) / 200), F.lit(FILES - 1)).cast("int")), list(TAPE_KEYS), PH_CONFIG, EWMA_CONFIG))
+        # Every arrival holds rows from all over the streams: most come before their predecessors.
+        turn = F.pmod(F.xxhash64("row_idx"), F.lit(ARRIVALS)).cast("int")
+        return _fed(spark, lambda s: SD.stream_drift(s, list(TAPE_KEYS), PH_CONFIG, EWMA_CONFIG), (rows, turn))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
@@ -108,10 +114,8 @@ FROM (SELECT *, unnest(range({n})) AS k FROM q_resolved) x GROUP BY 1, 2, 3) y
 WHERE start_ms + {n}::BIGINT * 86400000 <= (SELECT max(issued_ms) FROM q_resolved) - 900000""" for n in DAYS)))
 def s_metrics(spark, d):
     rows = D.scored(spark, d).select(F.timestamp_millis("issued_ms").alias("issued_at"), "model_version", "horizon", "o", "signed")
-    source = _stored(spark, rows, _quarter(rows, "issued_at"))
-    parts = [_drain(spark, SB.stream_metrics(source, days)).withColumn("days", F.lit(days)) for days in DAYS]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return report(out.select("days", "model_version", "horizon", F.unix_millis("window_start").alias("start_ms"), "n", "hits", "expectancy_maker_2bps"))
+    daily = _fed(spark, SB.stream_daily, (rows, _quarter(rows, "issued_at")))
+    return report(SB.rolling(daily, DAYS))
 
 
 @query("s_late_rows", sql("""

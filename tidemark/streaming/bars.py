@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,29 @@ def stream_archive(rows: DataFrame, keys=("series_id", "open_time"), time: str =
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_metrics(resolved: DataFrame, days: int = 7, delay: str = DELAY) -> DataFrame:
-    """Sliding windows of ``days`` by issue time, one step a day, per model and horizon."""
+def stream_daily(resolved: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Counts and sums by day of issue, model and horizon: each row is in one window of the state."""
     return (
         resolved.withWatermark("issued_at", delay)
-        .groupBy(F.window("issued_at", f"{days} days", "1 day").alias("w"), "model_version", "horizon")
-        .agg(F.count("*").alias("n"), F.sum("o").alias("hits"), F.avg("signed").alias("exp"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "model_version", "horizon", "n", "hits", (F.col("exp") * 10000.0 - 2.0).alias("expectancy_maker_2bps"))
+        .groupBy(F.window("issued_at", "1 day").alias("w"), "model_version", "horizon")
+        .agg(F.count("*").alias("n"), F.sum("o").alias("hits"), F.sum("signed").alias("signed"))
+        .select(F.col("w.start").alias("day"), "model_version", "horizon", "n", "hits", "signed")
     )
 
 
+def rolling(daily: DataFrame, days: Sequence[int] = (7, 30, 90)) -> DataFrame:
+    """Sliding windows of all lengths from the closed days, one step a day.
+
+    A window is reported once the last day that the stream has closed is in it or behind it.
+    """
+    kinds = F.array(*[F.struct(F.lit(n).alias("days"), F.sequence(F.lit(0), F.lit(n - 1)).alias("back")) for n in days])
+    each = daily.select("*", F.inline(kinds)).select("*", F.explode("back").alias("_k"))
+    start = F.unix_millis("day") - F.col("_k").cast("long") * 86_400_000
+    sums = each.groupBy("days", start.alias("start_ms"), "model_version", "horizon").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), (F.sum("signed") / F.sum("n") * 10000.0 - 2.0).alias("expectancy_maker_2bps"))
+    closed = daily.agg(F.unix_millis(F.max("day")) + 86_400_000).scalar()
+    return sums.filter(F.col("start_ms") + F.col("days").cast("long") * 86_400_000 <= closed)
+
+
 def stream_resolve(forecasts: DataFrame, bars: DataFrame, wait: str = "2 hours") -> DataFrame:
     """Forecasts with the bar that closes at their target; unmatched ones leave with nulls
     only after the watermark has passed the target, until then they stay in state.

@@ -1,4 +1,9 @@
-"""Page-Hinkley and EWMA detectors as keyed state, one row out per observation."""
+"""Page-Hinkley and EWMA detectors as keyed state, one row out per observation.
+
+Observations are taken strictly in the order of their ``row_idx``, in whatever batch they arrive:
+one that comes early waits in a map state until all before it have come, one that comes again is
+left out. Nothing of a key is gathered in memory.
+"""
 
 from __future__ import annotations
 
@@ -16,37 +21,48 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class DriftProcessor(StatefulProcessor):
-    """State per stream key is eight numbers. Rows of a micro-batch are put in order first."""
+    """State per stream key: eight numbers, and the observations that came too early."""
 
     def __init__(self, keys: list[str], ph: dict, ewma: dict):
         self.keys, self.ph, self.ewma = keys, ph, ewma
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("drift", STATE)
+        self.early = handle.getMapState("early", "row_idx long", "x double")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n, mean, cum, lo, hi, fast, slow, var = self.state.get() if self.state.exists() else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-        batch = pd.concat(list(rows)).sort_values("row_idx")
+    def observe(self, s: tuple, x: float) -> tuple[tuple, bool, bool]:
+        """The state after one value, and whether the two detectors fire."""
+        n, mean, cum, lo, hi, fast, slow, var = s
         ph, ew = self.ph, self.ewma
-        ph_fired, ew_fired = [], []
-        for x in batch["x"].to_numpy():
-            n += 1
-            mean += (x - mean) / n
-            cum += x - mean - ph["alpha"]
-            lo, hi = min(lo, cum), max(hi, cum)
-            ph_fired.append(n >= ph["min_n"] and (cum - lo > ph["threshold"] or hi - cum > ph["threshold"]))
-            if n == 1:
-                fast, slow, var = x, x, 0.0
-            else:
-                gap = x - fast
-                fast += ew["fast_alpha"] * gap
-                var = ew["fast_alpha"] * gap * gap + (1 - ew["fast_alpha"]) * var
-                slow += ew["slow_alpha"] * (x - slow)
-            ew_fired.append(n >= ew["min_n"] and var > 0 and abs(fast - slow) > ew["k_sigma"] * var**0.5)
-        self.state.update((int(n), *(float(v) for v in (mean, cum, lo, hi, fast, slow, var))))
-        out = batch[[*self.keys, "row_idx"]].copy()
-        out["ph_alarm"], out["ewma_alarm"] = ph_fired, ew_fired
-        yield out
+        n += 1
+        mean += (x - mean) / n
+        cum += x - mean - ph["alpha"]
+        lo, hi = min(lo, cum), max(hi, cum)
+        if n == 1:
+            fast, slow, var = x, x, 0.0
+        else:
+            gap = x - fast
+            fast += ew["fast_alpha"] * gap
+            var = ew["fast_alpha"] * gap * gap + (1 - ew["fast_alpha"]) * var
+            slow += ew["slow_alpha"] * (x - slow)
+        risen = n >= ph["min_n"] and (cum - lo > ph["threshold"] or hi - cum > ph["threshold"])
+        apart = n >= ew["min_n"] and var > 0 and abs(fast - slow) > ew["k_sigma"] * var**0.5
+        return (n, mean, cum, lo, hi, fast, slow, var), bool(risen), bool(apart)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state = tuple(self.state.get()) if self.state.exists() else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        for batch in rows:
+            out = []
+            for at, x in zip(batch["row_idx"].tolist(), batch["x"].tolist(), strict=True):
+                if at > state[0]:
+                    self.early.updateValue((at,), (x,))
+                while self.early.containsKey((state[0] + 1,)):
+                    at = state[0] + 1
+                    state, *fired = self.observe(state, self.early.getValue((at,))[0])
+                    self.early.removeKey((at,))
+                    out.append((*key, at, *fired))
+            yield pd.DataFrame(out, columns=[*self.keys, "row_idx", "ph_alarm", "ewma_alarm"])
+        self.state.update(state)
 
     def close(self) -> None:
         pass
