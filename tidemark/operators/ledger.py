@@ -169,6 +169,11 @@ def run_clock(state: DataFrame) -> DataFrame:
 
 def issue_attempts(state: DataFrame, models=(BASELINE, GUARD), max_backdate_ms: int | None = MAX_BACKDATE_MS) -> DataFrame:
     """Every (run, model, horizon) with its call and the reason it was not issued, if any."""
+    return attempts_of(run_clock(state), models, max_backdate_ms)
+
+
+def attempts_of(runs: DataFrame, models=(BASELINE, GUARD), max_backdate_ms: int | None = MAX_BACKDATE_MS) -> DataFrame:
+    """As ``issue_attempts``, for rows that have their ``run_ms``; row by row, so also on a stream."""
     run = F.col("run_ms")
     calls = [
         F.struct(
@@ -179,7 +184,7 @@ def issue_attempts(state: DataFrame, models=(BASELINE, GUARD), max_backdate_ms:
         for model in models
     ]
     # One row per model first, so that a call is worked out once and not per horizon.
-    tried = run_clock(state).select("*", F.inline(F.array(*calls))).select("*", F.inline_outer("_offers")).drop("_offers")
+    tried = runs.select("*", F.inline(F.array(*calls))).select("*", F.inline_outer("_offers")).drop("_offers")
     tried = tried.withColumn("issued_ms", issue_bucket(run, F.col("horizon")))
     late = run - F.col("issued_ms")
     skip = F.when(F.col("direction") == "abstain", "abstain").when(

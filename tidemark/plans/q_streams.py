@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import ledger as L
 from tidemark.operators.metrics import TAPE_KEYS
 from tidemark.plans import inputs as I
 from tidemark.plans import ledger_data as D
@@ -12,6 +13,7 @@ from tidemark.plans.q_drift import EWMA_CONFIG, PH_CONFIG, errors
 from tidemark.plans.registry import query, report
 from tidemark.streaming import bars as SB
 from tidemark.streaming import drift as SD
+from tidemark.streaming import issue as SI
 from tidemark.streaming import run as R
 
 _c = F.col
@@ -104,6 +106,21 @@ def s_drift(spark, d):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+@query("s_issue", sql(f"""
+SELECT forecast_id, series_id, model_version, horizon, issued_ms, target_ms, direction, {r('probability', 'probability')}, {r('entry_price', 'entry_price')}, issued_at_actual_ms
+FROM q_forecasts WHERE issued_at_actual_ms <= (SELECT max(close_time_ms) FROM q_bars) - 5400000"""))
+def s_issue(spark, d):
+    """Bars arrive shuffled within each quarter of the time span; the runs follow the watermark."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SD.ROCKSDB)
+    try:
+        bars = D.state(spark, d).select("series_id", F.timestamp_millis("close_time_ms").alias("close_time"), *SI.FIELDS)
+        called = _fed(spark, lambda s: SI.stream_issue(s, "90 minutes", D.ALL_MODELS), (bars, _quarter(bars, "close_time")))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return report(L.forecast_rows(called).select("forecast_id", "series_id", "model_version", "horizon", "issued_ms", "target_ms", "direction", "probability", "entry_price", "issued_at_actual_ms"))
+
+
 DAYS = (7, 30, 90)
 
 
