@@ -17,7 +17,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 #: Rows of texts in one Arrow batch, at most: a text may be long, and a worker holds a batch twice.
-TEXT_ROWS = 1024
+TEXT_ROWS = 512
 
 
 def short_batches(spark: SparkSession) -> None:

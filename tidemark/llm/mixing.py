@@ -41,8 +41,8 @@ from tidemark.sources.store import settle
 DOMAINS = ("clean", "low", "toxic")
 #: What parts words: spaces and the marks of a sentence.
 MARKS = r"[\x20\x09-\x0D.,;:!?]+"
-# Signs that ordinary prose has few of, and capitals (fixed values).
-SIGNS, CAPITALS = "#*$%&|<>!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Signs that ordinary prose has few of, and capitals.
+SIGNS, CAPITALS = "[#*$%&|<>!]", "[A-Z]"
 #: Marks of the classifier, at most; deviations from chance that a mark needs, of which the best are
 #: taken; places of the table in which marks are looked up, where of two the stronger stays.
 MARKED, CHANCES, TABLE = 4096, (4.0, 2.0, 1.0), 1 << 14
@@ -64,30 +64,32 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2).when(quality == 0, 1).when((quality == 1) & (toxic == 0), 0)
 
 
-def marks(text: Column) -> Column:
-    """The distinct marks of a text as numbers: its words without case, and three shares."""
-    t = F.coalesce(text, F.lit(""))
-    found = _words(t)
-    words, size = F.array_distinct(found), F.greatest(F.length(t), F.lit(1))
-    n = F.greatest(F.size(found), F.lit(1))
+def words(text: Column) -> Column:
+    """The words of a text, without case; none for null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), MARKS), lambda w: w != "")
 
-    def share(signs: str, cells: int) -> Column:
-        return F.floor(cells * (size - F.length(F.translate(t, signs, ""))) / size)
 
-    own = [
-        F.xxhash64(F.lit("signs"), share(SIGNS, 20)),
-        F.xxhash64(F.lit("capitals"), share(CAPITALS, 10)),
-        F.xxhash64(F.lit("distinct"), F.least(F.floor(F.log2(n + 1.0)), F.lit(12)), F.floor(10 * F.size(words) / n)),
-    ]
-    return F.when(F.size(found) > 0, F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.array(*own))).otherwise(F.expr("cast(array() as array<bigint>)"))
+def marks(found: Column, text: Column) -> Column:
+    """The distinct marks of a text as numbers: its words (``found``) and three shares.
+
+    ``found`` should be a column of its own, so that a text is cut into words once.
+    """
+    size, n = F.greatest(F.length(text), F.lit(1)), F.size(found)
 
+    def share(signs: str, cells: int) -> Column:
+        return F.floor(cells * F.regexp_count(text, F.lit(signs)) / size)
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), MARKS), lambda w: w != "")
+    numbers = F.array_distinct(F.transform(found, lambda w: F.xxhash64(w)))
 
+    def own(distinct: Column) -> Column:
+        return F.array(
+            F.xxhash64(F.lit("signs"), share(SIGNS, 20)),
+            F.xxhash64(F.lit("capitals"), share(CAPITALS, 10)),
+            F.xxhash64(F.lit("distinct"), F.least(F.floor(F.log2(n + 1.0)), F.lit(12)), F.floor(10 * F.size(distinct) / n)),
+        )
 
-def tokens(text: Column) -> Column:
-    return F.size(_words(F.coalesce(text, F.lit("")))).cast("long")
+    with_shares = F.aggregate(F.array(numbers), F.expr("cast(array() as array<bigint>)"), lambda _, d: F.concat(d, own(d)))
+    return F.when(n > 0, with_shares).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 class Posterior:
@@ -160,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior
     share = 1.2 * sample / max(1, known.count())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     known = settle(known.withColumn("_at", F.xxhash64("doc_id")).filter(place < share * (1 << 20)).orderBy("_at", "doc_id", "k").limit(sample).drop("_at"))
-    joined = docs.select("doc_id", marks(F.col("text")).alias("s")).join(F.broadcast(known), "doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("w", words(F.col("text")))
+    joined = joined.withColumn("s", marks(F.col("w"), F.col("text")))
     held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
     joined = settle(joined.select("k", "s", held.alias("held")))
     size = {r["k"]: r["n"] for r in joined.groupBy("k").agg(F.count("*").alias("n")).collect()}
@@ -183,23 +186,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior
 
 
 def _posterior(logs: Column) -> Column:
-    """Probabilities from log odds, both as arrays."""
-    parts = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda a, y: a + y))
-
-
-def scored(docs: DataFrame, model: Posterior, name: str) -> DataFrame:
-    """``docs`` with the posterior of each row's text as the array ``name``; nothing is worked out twice."""
-    found, evidence, logs = (fresh(docs, f"_mix{i}") for i in range(3))
-    d = docs.withColumn(found, marks(F.col("text"))).withColumn(evidence, model.evidence(F.col(found)))
+    """Probabilities from log odds, both as arrays; ``logs`` should be a column of its own."""
+    top = F.array_max(logs)
+    whole = F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return F.transform(logs, lambda x: F.exp(x - top) / whole)
+
+
+def scored(docs: DataFrame, model: Posterior, name: str, tokens: str) -> DataFrame:
+    """``docs`` with the posterior of each row's text as the array ``name`` and its number of words;
+    nothing is worked out twice."""
+    cut, found, evidence, logs = (fresh(docs, f"_mix{i}") for i in range(4))
+    d = docs.withColumn(cut, words(F.col("text"))).withColumn(found, marks(F.col(cut), F.col("text")))
+    d = d.withColumn(evidence, model.evidence(F.col(found)))
     d = d.withColumn(logs, F.array(*model.logs(F.col(evidence), F.size(found).cast("double"))))
-    return d.withColumn(name, _posterior(F.col(logs))).drop(found, evidence, logs)
+    return d.withColumn(name, _posterior(F.col(logs))).withColumn(tokens, F.size(cut).cast("long")).drop(cut, found, evidence, logs)
 
 
 def memberships(docs: DataFrame, model: Posterior) -> DataFrame:
     """doc_id, tokens, and the posterior ``p0`` to ``p2``."""
-    d = scored(docs.select("doc_id", "text"), model, "p")
-    return d.select("doc_id", tokens(F.col("text")).alias("tokens"), *[F.get("p", k).alias(f"p{k}") for k in range(len(DOMAINS))])
+    d = scored(docs.select("doc_id", "text"), model, "p", "tokens")
+    return d.select("doc_id", "tokens", *[F.get("p", k).alias(f"p{k}") for k in range(len(DOMAINS))])
 
 
 def _pace(i: int) -> float:
@@ -271,9 +277,9 @@ def realise(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIG
     """
     model = train(docs, labels)
     gaps, _ = solve(settle(memberships(docs, model)), weights)
-    p, times, copy = (fresh(docs, f"_{x}") for x in ("posterior", "times", "copy"))
+    p, n, times, copy = (fresh(docs, f"_{x}") for x in ("posterior", "tokens", "times", "copy"))
     rate = rate_after(gaps, [F.get(F.col(p), k) for k in range(len(DOMAINS))])
-    counted = scored(docs, model, p).withColumn(times, copies(rate, F.col("doc_id")))
+    counted = scored(docs, model, p, n).withColumn(times, copies(rate, F.col("doc_id")))
     each = F.expr(f"CASE WHEN `{times}` > 0 THEN sequence(1L, `{times}`) ELSE cast(array() as array<bigint>) END")
     return counted.withColumn(copy, F.explode(each)).select(*docs.columns)
 
