@@ -83,3 +83,15 @@ def test_logistic_fits_equal_plain_newton(spark):
     p = scaled.filter("part = 'test'").join(found.select("g", "w"), "g").select("g", fits.logistic_p(F.col("z"), F.col("w")).alias("p"))
     for g, (_, q) in want.items():
         assert sorted(x.p for x in p.filter(F.col("g") == g).collect()) == pytest.approx(sorted(q), abs=1e-5)
+
+
+def test_exact_targets_do_not_reach_over_gaps(spark):
+    from tidemark.operators import features as X
+
+    hour = 3_600_000
+    rows = [("s", h * hour, k + 1, float(100 + (k * 7) % 5)) for k, h in enumerate([0, 1, 2, 5, 6, 7, 8])] + [("s", 9 * hour, 8, 0.0)]
+    bars = spark.createDataFrame(rows, "series_id string, open_time_ms long, row_idx long, close double")
+    got = {(r.open_time_ms // hour, r.horizon, r.target_open_ms // hour, r.y) for r in X.direction_target_exact(bars, {"1h": 1, "3h": 3}).collect()}
+    price = {h: c for (_, t, _, c) in rows for h in [t // hour]}
+    want = {(h, name, h + n, int(price[h + n] > price[h])) for h in price for name, n in (("1h", 1), ("3h", 3)) if price[h] > 0 and price.get(h + n, 0) > 0}
+    assert got == want and (2, "1h", 5, 0) not in got

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import HOUR_MS
 from tidemark.operators import indicators as ind
 from tidemark.operators.blocks import SERIES, affine_scan, prefix_scan, windowed, with_row_index
 from tidemark.operators.regime import coarse_label
@@ -159,6 +160,20 @@ def direction_target(bars: DataFrame, horizons: dict[str, int] | None = None, cl
     )
 
 
+def direction_target_exact(bars: DataFrame, horizons: dict[str, int] | None = None, close: str = "close", step_ms: int = HOUR_MS) -> DataFrame:
+    """As ``direction_target``, with the bar that opens exactly the horizon later.
+
+    Rows whose target falls into a gap are dropped, where a row offset would reach beyond it. Each
+    row asks for its few target times, and an equality join finds them.
+    """
+    keys = list(SERIES)
+    offers = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n * step_ms).cast("long").alias("_ahead")) for h, n in (horizons or HORIZON_BARS).items()])
+    asked = bars.select("*", F.inline(offers)).withColumn("target_open_ms", F.col("open_time_ms") + F.col("_ahead")).drop("_ahead")
+    found = bars.select(*keys, F.col("open_time_ms").alias("target_open_ms"), F.col(close).alias("target_close"))
+    rows = asked.join(found, [*keys, "target_open_ms"])
+    return rows.filter((F.col(close) > 0) & (F.col("target_close") > 0)).withColumn("y", (F.col("target_close") > F.col(close)).cast("int"))
+
+
 def row_meta(frame: DataFrame) -> DataFrame:
     """What the rule baselines read of a feature row."""
     return frame.select(

@@ -323,6 +323,13 @@ def direction_target(spark, d):
     return X.direction_target(I.hourly(spark, d)).select(*AT, "horizon", "target_open_ms", "y")
 
 
+@query("direction_target_exact", sql(" UNION ALL ".join(f"""
+SELECT a.series_id, a.open_time_ms, '{h}' AS horizon, b.open_time_ms AS target_open_ms, CAST(b.close > a.close AS INTEGER) AS y
+FROM q_bars a JOIN q_bars b ON b.series_id = a.series_id AND b.open_time_ms = a.open_time_ms + {n * 3_600_000}""" for h, n in X.HORIZON_BARS.items())))
+def direction_target_exact(spark, d):
+    return X.direction_target_exact(I.hourly(spark, d)).select(*AT, "horizon", "target_open_ms", "y")
+
+
 # ── levels ───────────────────────────────────────────────────────────────────
 def _clock(spark, d):
     return I.ticks(spark, d).agg(F.floor(F.max("ts_us") / 1000).cast("long")).scalar()
