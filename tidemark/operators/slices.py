@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,14 +60,14 @@ def slice_names() -> Column:
     return F.array_compact(F.array(*names))
 
 
-def slice_hunt(rows: DataFrame) -> DataFrame:
-    """Metrics and score per slice with enough rows and a positive sign of an edge.
+def slice_hunt(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Metrics and score per slice (and ``keys``) with enough rows and a positive sign of an edge.
 
     ``rows`` is ``metrics.scored``; duplicates of a bucket are kept on purpose.
     """
     agg = (
-        rows.select(F.explode_outer(slice_names()).alias("slice"), "o", "signed", "actual_return")
-        .groupBy("slice")
+        rows.select(*keys, F.explode_outer(slice_names()).alias("slice"), "o", "signed", "actual_return")
+        .groupBy(*keys, "slice")
         .agg(
             F.count("*").alias("n"),
             F.avg("o").alias("hit_rate"),
@@ -79,6 +81,7 @@ def slice_hunt(rows: DataFrame) -> DataFrame:
     lower = S.wilson_lower(F.col("hit_rate"), F.col("n"))
     lift = F.col("hit_rate") - majority
     return agg.filter(F.col("n") >= F.when(thin, MIN_N_EXPLORE).otherwise(MIN_N)).select(
+        *keys,
         "slice",
         "n",
         "hit_rate",

@@ -29,16 +29,17 @@ SELECT unnest(list_filter([
   'model=' || model_version || '|horizon=' || horizon, 'dir=' || direction, 'regime=' || regime, 'hour_utc=' || hh, 'dow=' || dow,
   'horizon=' || horizon || '|hour_utc=' || hh, 'horizon=' || horizon || '|dow=' || dow, 'sma_' || band, 'horizon=' || horizon || '|sma_' || band,
   CASE WHEN horizon IN ('12h', '24h') THEN 'policy:h12_24_only' END, CASE WHEN horizon IN ('12h', '24h') AND hr <> 20 THEN 'policy:h12_24_skip_hour20' END,
-  CASE WHEN horizon IN ('12h', '24h') AND rel < 0.005 THEN 'policy:h12_24_mild_rel' END], lambda x: x IS NOT NULL)) AS slice, o, signed, actual_return
-FROM q_turned
+  CASE WHEN horizon IN ('12h', '24h') AND rel < 0.005 THEN 'policy:h12_24_mild_rel' END], lambda x: x IS NOT NULL)) AS slice, ledger, o, signed, actual_return
+FROM (SELECT 'turned' AS ledger, * FROM q_turned UNION ALL SELECT 'plain', * FROM q_banded) x
 """)
-cte("q_ranked", f"""
+cte("q_both_ranked", f"""
 SELECT *, ex * 10000 - 2 + 50 * lift + 10 * lower_b AS score FROM (
 SELECT *, greatest(0.0, {wilson('hit', 'n')}) AS lower_b, hit - greatest(up, 1 - up) AS lift, greatest(up, 1 - up) AS maj
-FROM (SELECT slice, count(*) AS n, avg(o) AS hit, avg(signed) AS ex, avg(CAST(actual_return > 0 AS INTEGER)) AS up FROM q_slices GROUP BY 1) a
+FROM (SELECT ledger, slice, count(*) AS n, avg(o) AS hit, avg(signed) AS ex, avg(CAST(actual_return > 0 AS INTEGER)) AS up FROM q_slices GROUP BY 1, 2) a
 WHERE n >= CASE WHEN slice LIKE '%hour_utc=%' OR slice LIKE '%dow=%' THEN 12 ELSE 20 END) b
 WHERE ex * 10000 - 2 > 0 OR lift > 0
 """)
+cte("q_ranked", "SELECT * EXCLUDE (ledger) FROM q_both_ranked WHERE ledger = 'turned'")
 cte("q_tradeable", "SELECT * FROM q_ranked WHERE n >= 20 AND ex * 10000 - 2 > 0 AND lift > 0")
 
 
@@ -49,10 +50,13 @@ def rel_parse(spark, d):
 
 
 @query("slice_hunt", sql(f"""
-SELECT slice, n, {r('hit', 'hit_rate')}, {r('lower_b', 'wilson_lb_95')}, {r('lift', 'vs_majority_pp')}, {r('ex * 10000', 'expectancy_bps')},
-       {r('ex * 10000 - 2', 'expectancy_maker_2bps')}, {r('maj', 'majority_rate')}, {r('score', 'score')} FROM q_ranked"""))
+SELECT ledger, slice, n, {r('hit', 'hit_rate')}, {r('lower_b', 'wilson_lb_95')}, {r('lift', 'vs_majority_pp')}, {r('ex * 10000', 'expectancy_bps')},
+       {r('ex * 10000 - 2', 'expectancy_maker_2bps')}, {r('maj', 'majority_rate')}, {r('score', 'score')} FROM q_both_ranked"""))
 def slice_hunt(spark, d):
-    return report(H.slice_hunt(D.contrarian(spark, d)))
+    """Slices of the ledger as it is, and of the one with every call turned round."""
+    cols = ["confidence_reason", "issued_ms", "horizon", "direction", "regime", "model_version", "o", "signed", "actual_return"]
+    plain, turned = (rows.select(F.lit(n).alias("ledger"), *cols) for n, rows in (("plain", D.scored(spark, d)), ("turned", D.contrarian(spark, d))))
+    return report(H.slice_hunt(plain.unionByName(turned), ("ledger",)))
 
 
 # The reflected CRC-32 of an ASCII text: a number over 255 brings in a byte, a zero shifts a bit.
