@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_corpus_ops import SCHEMA, brute_components, brute_marks, corpus, prose
@@ -76,3 +77,31 @@ def test_run_and_registration(spark, folder):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()}
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_stages_on_empty_tables_and_clashing_names(spark, folder):
+    """Every stage keeps the columns, whatever they are called, and an empty table stays empty."""
+    names = ["_maybe", "_key", "_stays", "_order", "_mix0", "_posterior", "_tokens", "_times", "_copy"]
+    rows = [(i, prose(900 + i, 70), "en", "s", 1) for i in range(6)] + [(7, prose(900, 70), "en", "s", 1), (None, prose(950, 60), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    clash = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.settle(stage(spark, clash, folder))
+        assert out.columns == clash.columns, name
+        assert all(r[n] == n for r in out.collect() for n in names), name
+        assert stage(spark, empty, folder).count() == 0, name
+    left = corpus_pipeline.near_copies(spark, clash, folder)
+    assert sorted((r.doc_id for r in left.collect()), key=str) == [0, 1, 2, 3, 4, 5, None]
+
+
+def test_tables_of_a_stage_go_with_the_next_unless_they_are_read(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    one = corpus_pipeline.near_copies(spark, docs, folder)
+    held = list(corpus_pipeline._STORED)
+    assert held
+    # ``one`` was not written: what it reads must stay.
+    two = corpus_pipeline.benchmark(spark, one, folder)
+    assert two.count() > 0
+    corpus_pipeline.language(spark, docs, folder)
+    assert not set(held) & set(corpus_pipeline._STORED)
