@@ -1,5 +1,7 @@
 """Phrase catalogue: comments, disclaimers and long lines."""
 
+import hashlib
+import random
 import time
 
 from tidemark.operators import textscan as T
@@ -40,3 +42,27 @@ def test_long_lines_take_linear_time(spark):
     began = time.time()
     assert found(spark, texts) == {(0, "leverage", "term")}
     assert time.time() - began < 20
+
+
+def test_digest_windows_equal_brute_force(spark):
+    rng = random.Random(5)
+    signs = "ab" * 20 + "é€😀\n\r\0"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.choice((0, 6, 7, 40, 300, 700)))) for _ in range(40)]
+    texts += ["ab" * 400, "a€" * 200, "\n" * 50 + "abababa", "abababa\r", None, "ababab"]
+    digest = lambda w: hashlib.sha256(w.encode()).hexdigest()
+    windows = {(i, digest(t[k:k + 7])) for i, t in enumerate(texts) if t for k in range(len(t) - 6) if not set("\n\r\0") & set(t[k:k + 7])}
+    split = {digest(t[k:k + 7]) for t in texts if t for k in range(len(t) - 6)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    secrets = spark.createDataFrame([(d,) for d in (*sorted(split), *sorted(split)[:9], None, "")], "digest string")
+    for chunk in (7, 33, 256):
+        got = [(r.doc_id, r.digest) for r in T.digest_window_scan(docs, "doc_id", secrets, 7, chunk=chunk).collect()]
+        assert len(got) == len(windows) and set(got) == windows
+    half = secrets.filter("digest < '8'")
+    assert {(r.doc_id, r.digest) for r in T.digest_window_scan(docs, "doc_id", half, 7).collect()} == {w for w in windows if w[1] < "8"}
+
+
+def test_each_digest_window_is_cut_and_hashed_once(spark):
+    docs = spark.createDataFrame([(1, "x" * 99)], "doc_id long, text string")
+    secrets = spark.createDataFrame([("0" * 64,)], "digest string")
+    plan = T.digest_window_scan(docs, "doc_id", secrets, 12)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "Contains(" not in plan

@@ -111,30 +111,45 @@ def phrase_scan(docs: DataFrame, key: str, phrases: DataFrame, text: str = "text
     return body.withColumn("_h", F.array_compact(F.array(*hits))).select(key, F.inline_outer("_h")).filter("phrase IS NOT NULL")
 
 
+STRIP = 32  # windows that begin in one strip
+
+
+def stretches(text: str, n: int, size: int) -> Column:
+    """The text in stretches of ``size`` window starts, each followed by the n - 1 characters its last window needs.
+
+    Every n-character window without NUL, CR and LF lies in exactly one stretch, and no other window
+    lies in any. One regular expression finds them, in time linear in the text's length.
+    """
+    sign = r"[^\x00\r\n]"
+    return F.regexp_extract_all(text, F.lit(f"(?=({sign}{{{n},{size + n - 1}}})){sign}{{1,{size}}}"), F.lit(1))
+
+
 def digest_window_scan(docs: DataFrame, key: str, digests: DataFrame, n: int, text: str = "text", chunk: int = 256) -> DataFrame:
     """(key, digest) where some n-character window hashes to a wanted SHA-256.
 
-    One regular expression cuts a text into pieces of ``chunk`` characters, in time linear in
-    its length; each piece takes the head of the next, so that every window lies in one piece
-    (``chunk`` must be at least n). Windows with NUL, CR or LF are skipped before hashing and
-    stream into the join with the digests; nothing is grouped before a hit. Characters count
-    as code points (the secrets are ASCII).
+    Texts are cut into stretches of ``chunk`` window starts, which move once and are then cut into
+    short strips, so that no window is searched for from far away. Windows with NUL, CR or LF lie in
+    no stretch; every other window is hashed once. A 64-bit hash of its digest meets those of the
+    wanted ones first, which is far cheaper than comparing digests; what agrees is then compared in
+    full. Nothing is grouped before a hit. Characters count as code points (the secrets are ASCII);
+    where a strip has one byte for each, its windows are cut by bytes.
     """
-    size = max(chunk, n)
-    cut = docs.filter(F.length(text) >= n).select(key, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_p"))
-    joined = F.transform("_p", lambda p, i: F.concat(p, F.coalesce(F.substring(F.get("_p", i + 1), 1, n - 1), F.lit(""))))
-    chunks = cut.select(key, F.posexplode_outer(joined).alias("_from", "_c")).filter(F.length("_c") >= n)
+    pieces = docs.select(key, F.posexplode_outer(stretches(text, n, max(chunk, n))).alias("_from", "_p")).filter("_p IS NOT NULL")
     # Hashing costs far more than moving the text once: spread long documents evenly.
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks.repartition(spread, key, "_from")
-    windows = chunks.select(key, "_c", F.explode_outer(F.sequence(F.lit(1), F.length("_c") - n + 1)).alias("_i")).select(
-        key, F.substring("_c", F.col("_i"), F.lit(n)).alias("_w")
-    )
-    broken = F.lit(False)
-    for sign in ("\0", "\r", "\n"):
-        broken = broken | F.contains("_w", F.lit(sign))
-    clean = windows.filter(~broken).select(key, F.sha2("_w", 256).alias("digest"))
-    return clean.join(digests.select("digest").distinct(), "digest", "left_semi").distinct()
+    pieces = pieces.repartition(spread, key, "_from")
+    strips = pieces.select(key, F.explode_outer(stretches("_p", n, max(STRIP, n))).alias("_s")).filter("_s IS NOT NULL")
+    size = F.length("_s")
+    strips = strips.select(key, "_s", size.alias("_n"), (F.octet_length("_s") == size).alias("_narrow"))
+    windows = strips.select(key, "_s", "_narrow", F.explode_outer(F.sequence(F.lit(1), F.col("_n") - n + 1)).alias("_i")).filter("_i IS NOT NULL")
+    by_bytes = F.substring(F.col("_s").cast("binary"), F.col("_i"), F.lit(n))
+    by_signs = F.substring("_s", F.col("_i"), F.lit(n)).cast("binary")
+    digest = F.sha2(F.when(F.col("_narrow"), by_bytes).otherwise(by_signs), 256)
+    # A key that cannot be null: the join would else hash each window a second time to test for null.
+    hashed = windows.select(key, F.coalesce(digest, F.lit("")).alias("digest")).withColumn("_h", F.xxhash64("digest"))
+    wanted = digests.select("digest").distinct()
+    near = hashed.join(wanted.select(F.xxhash64("digest").alias("_h")).distinct(), "_h", "left_semi").select(key, "digest")
+    return near.join(wanted, "digest", "left_semi").distinct()
 
 
 CANONICAL = r'<link rel="canonical" href="([^"]*)"'
